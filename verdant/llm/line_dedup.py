@@ -241,3 +241,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     out = dedup_lines(docs, rest, keep_text=True).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
+
+
+OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l, lower_key AS k FROM (
+    SELECT doc_id, i, l, translate(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents))),
+frequent AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN l END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f ON lines.k = f.k GROUP BY doc_id
+"""

@@ -235,3 +235,19 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, minimiser: int = MINI
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
+
+
+OP5_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+places AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM twice),
+spread AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+kept AS (
+  SELECT s.doc_id, count(h.p) AS n_removed, string_agg(CASE WHEN h.p IS NULL THEN s.word END, ' ' ORDER BY s.p) AS kept
+  FROM spread s LEFT JOIN places h ON s.doc_id = h.doc_id AND s.p = h.p GROUP BY s.doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
