@@ -1,7 +1,8 @@
 """Toxicity: misspelled lexicon terms by automaton, and their contexts.
 
 The lexicon is learned from training rows: words that mark toxic documents, chosen one after another
-by how many toxic documents they explain. Its trie is intersected with Levenshtein automata (distance
+by how many toxic documents they explain, and in the same way stems (the first letters of words, which
+inflected languages continue in many ways; written with a star). Its trie is intersected with Levenshtein automata (distance
 0 below 5 letters, 1 below 8, else 2): an automaton state is a set of (trie node, edits), made when
 first met, so a word costs a look-up per letter and most words end in the dead state at once. Each hit
 is weighed by the words around it: quotation marks and words of reporting within CONTEXT words tell
@@ -25,7 +26,7 @@ from verdant.llm import _text as tx
 from verdant.llm.quality_gam import MOST_ROWS, fold, training_rows
 
 FOLDS, HELD_OUT, CUT, CONTEXT, WINDOW = 3, 1, 0.7, 6, 25
-MOST_CANDIDATES, MOST_TERMS, PRECISION = 2000, 200, 0.85
+MOST_CANDIDATES, MOST_TERMS, PRECISION, STEM_PRECISION, EVIDENCE, STEMS = 4000, 200, 0.85, 0.97, 28.0, (4, 5, 6)
 STRIP = b".,;:!?()[]{}\"'*_-<>|/\\"
 #: Signs and words that mark reported speech.
 QUOTES = (b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode())
@@ -44,8 +45,10 @@ class Automaton:
         self.children: list[dict[str, int]] = [{}]
         self.end: list[int] = [-1]  # allowed edits of the term that ends here
         self.most: list[int] = [0]  # and of any term below
+        self.stem: list[bool] = [False]
         for term in terms:
-            allowed = 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+            stem, term = term.endswith("*"), term.rstrip("*")
+            allowed = 0 if stem or len(term) < 5 else 1 if len(term) < 8 else 2
             node = 0
             self.most[0] = max(self.most[0], allowed)
             for c in term:
@@ -54,14 +57,17 @@ class Automaton:
                     self.children.append({})
                     self.end.append(-1)
                     self.most.append(0)
+                    self.stem.append(False)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], allowed)
             self.end[node] = max(self.end[node], allowed)
+            self.stem[node] |= stem
         self.letters = {c for kids in self.children for c in kids}
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.verdict: list[int] = []
+        self.over: list[bool] = []  # a stem has been read: the rest may be anything
         self.dead = self._state(frozenset())
         self.start = self._state(self._closure({(0, 0)}))
 
@@ -81,6 +87,7 @@ class Automaton:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.next.append({})
+            self.over.append(any(self.stem[n] and e == 0 for n, e in items))
             self.verdict.append(min((e for n, e in items if e <= self.end[n]), default=-1))
         return self.states[items]
 
@@ -101,6 +108,8 @@ class Automaton:
                 to = known[letter] = self._step(state, letter)
             if (state := to) == self.dead:
                 return -1
+            if self.over[state]:
+                return 0
         return self.verdict[state]
 
 
@@ -141,34 +150,62 @@ def _features(lexicon: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def marks_of(text: bytes | None) -> set[str]:
+    """The words of a text and their stems."""
+    words = {o.decode("utf-8", "replace") for w in (text or b"").split() if 3 <= len(o := word_of(w)) <= 40}
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k}
+
+
+def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, toxic, clean: summed within a batch of labelled texts."""
     for chunk in tx.chunks(batches):
-        words = [sorted({o for w in (t or b"").split() if 3 <= len(o := word_of(w)) <= 40}) for t in chunk["text"].cast(pa.large_binary()).to_pylist()]
-        text = [[w.decode("utf-8", "replace") for w in own] for own in words]
-        yield pa.RecordBatch.from_arrays([chunk["doc"], chunk["y"], pa.array(text, pa.list_(pa.string()))], ["doc", "y", "words"])
+        seen: dict[str, list[int]] = {}
+        for text, y in zip(chunk["text"].cast(pa.large_binary()).to_pylist(), chunk["y"].to_pylist()):
+            for word in marks_of(text):
+                seen.setdefault(word, [0, 0])[0 if y else 1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], ["word", "toxic", "clean"])
+
+
+def _found(marks: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(marks & marks_of(t)) for t in chunk["text"].cast(pa.large_binary()).to_pylist()], pa.list_(pa.string()))], ["marks"])
+
+    return run
 
 
 def learn_lexicon(labelled: DataFrame) -> list[str]:
-    """Words of labelled texts (text, y) that explain toxic documents; at most MOST_TERMS."""
+    """Words and stems of labelled texts (text, y) that mark toxic documents; at most MOST_TERMS.
+
+    A mark needs a log-likelihood ratio of EVIDENCE and its precision. Marks are taken by the toxic
+    documents they explain; one that is explained already counts half for each mark it has.
+    """
     # copies of a text count once: else words of one copied document look like marks
-    distinct = labelled.groupBy(F.xxhash64("text").alias("doc")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
-    words = distinct.mapInArrow(_words, "doc long, y int, words array<string>").select("doc", "y", F.explode("words").alias("word"))
-    least = max(3, int(0.005 * distinct.filter("y = 1").count()))
-    counts = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    marks = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "word").limit(MOST_CANDIDATES)
-    found = words.filter("y = 1").join(F.broadcast(marks.select("word")), "word").groupBy("doc").agg(F.collect_list("word").alias("words"))
-    docs = [set(r["words"]) for r in found.collect()]  # of the bounded training sample only
+    distinct = labelled.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    sizes = distinct.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
+    if not sizes["toxic"] or sizes["toxic"] == sizes["n"]:
+        return []
+    share = sizes["toxic"] / sizes["n"]
+    counts = distinct.mapInArrow(_mark_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    both, part = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    ratio = 2 * (F.col("toxic") * F.log(part / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - share))).otherwise(0.0))
+    least = F.when(F.col("word").endswith("*"), STEM_PRECISION).otherwise(PRECISION)
+    marks = counts.filter((F.col("toxic") > 0) & (F.col("toxic") >= least * both)).filter(ratio >= EVIDENCE).orderBy(F.desc("toxic"), "word").limit(MOST_CANDIDATES)
+    known = frozenset(r["word"] for r in marks.select("word").collect())
+    # of the bounded training sample only
+    docs = [(1.0, r["marks"]) for r in distinct.filter("y = 1").select("text").mapInArrow(_found(known), "marks array<string>").collect()]
     chosen: list[str] = []
-    while docs and len(chosen) < MOST_TERMS:
-        gain: dict[str, int] = {}
-        for own in docs:
+    while len(chosen) < MOST_TERMS:
+        gain: dict[str, float] = {}
+        for weight, own in docs:
             for w in own:
-                gain[w] = gain.get(w, 0) + 1
-        best = max(gain, key=lambda w: (gain[w], w), default=None)
-        if best is None or gain[best] < least:
+                gain[w] = gain.get(w, 0.0) + weight
+        # of equal gain the longer mark, which says more
+        best = max((w for w in gain if w not in chosen), key=lambda w: (round(gain[w], 6), len(w.rstrip("*")), w), default=None)
+        if best is None or gain[best] < max(1.0, 0.002 * len(docs)):
             break
         chosen.append(best)
-        docs = [own for own in docs if best not in own]
+        docs = [(weight / 2 if best in own else weight, own) for weight, own in docs]
     return sorted(chosen)
 
 
