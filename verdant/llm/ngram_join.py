@@ -8,6 +8,8 @@ Texts with the same set of shingles form a class (its id: a hash of the set); th
 2. Prefix entries (shingle, class) go to blocks of shingles. A block drops shingles of one class only.
 3. First product, linear in a shingle's classes: each class with the shingle's least class. Pairs whose
    accumulated overlap reaches the bound are verified and give components.
+   A further linear round tries, for the classes still apart that share many shingles, some partners
+   drawn at random from their shingles' classes (LEADS of them: a head start, the next step is exact).
 4. Second product: all pairs of classes of a shingle that are not in one component yet. Overlaps are
    accumulated over all blocks; pairs under the size-derived bound (their shared prefix plus all that
    can follow is under 3/7 of both sizes) go; the rest are verified on whole sets.
@@ -27,13 +29,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
 from verdant.llm._shared import Scratch, partitions, with_key
 
 SHINGLE, PERCENT = 5, 75
-SKETCH_BITS, BLOOM_BITS = 22, 26
+SKETCH_BITS, BLOOM_BITS, LEADS = 22, 25, 32
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +100,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(counts, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, np.int32)
-        for chunk in tx.chunks(batches, most=8 << 20):
+        for chunk in tx.chunks(batches):
             grams, first = shingle_sets(chunk["text"])
             n = np.diff(first)
             cls = tx.window_hashes(grams, first[:-1], first[1:])
@@ -150,7 +153,7 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, shared: pairs of a shingle's classes in different components, summed within the block."""
-    most = 1 << 18
+    most = 1 << 20
 
     def pack(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
@@ -159,29 +162,32 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "shared"])
 
+    def partners(rows: np.ndarray) -> int:
+        """Rows of one shingle, in order of their components: partners begin with the next component."""
+        made = 0
+        for i in range(rows.shape[1]):
+            j = int(np.searchsorted(rows[1], rows[1, i], "right"))
+            if j < rows.shape[1]:
+                n = rows[3, j:]
+                other = rows[2, j:][100 * np.minimum(n, rows[3, i]) >= PERCENT * np.maximum(n, rows[3, i])]
+                if len(other):
+                    pairs.append((np.minimum(other, rows[2, i]), np.maximum(other, rows[2, i])))
+                    made += len(other)
+        return made
+
     held, size, pairs = None, 0, []
     for batch in batches:
-        now = np.stack([batch[c].to_numpy() for c in ("token", "comp", "cls")])
+        now = np.stack([batch[c].to_numpy() for c in ("token", "comp", "cls", "n")])
         now = now if held is None else np.concatenate([held, now], axis=1)
         cuts = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]]) if now.shape[1] else np.empty(0, np.int64)
         held = now[:, cuts[-1] :] if len(cuts) else None  # the last shingle may go on
         for x, y in zip(cuts[:-1], cuts[1:]):
-            for i in range(x, y):  # classes stand in order of their components: partners begin with the next one
-                j = i + int(np.searchsorted(now[1, i:y], now[1, i], "right"))
-                if j < y:
-                    other = now[2, j:y]
-                    pairs.append((np.minimum(other, now[2, i]), np.maximum(other, now[2, i])))
-                    size += y - j
+            size += partners(now[:, x:y])
             if size > most:
                 yield pack(pairs)
                 size, pairs = 0, []
     if held is not None:
-        y = held.shape[1]
-        for i in range(y):
-            j = i + int(np.searchsorted(held[1, i:], held[1, i], "right"))
-            if j < y:
-                other = held[2, j:]
-                pairs.append((np.minimum(other, held[2, i]), np.maximum(other, held[2, i])))
+        partners(held)
     if pairs:
         yield pack(pairs)
 
@@ -192,23 +198,24 @@ def _bits(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << BLOOM_BITS, bool)
+    bits, any_key = np.zeros((1 << BLOOM_BITS) // 8, np.uint8), False
     for batch in batches:
         for at in _bits(batch["key"].to_numpy().astype(np.int64)):
-            bits[at] = True
-    if bits.any():
-        yield pa.RecordBatch.from_arrays([tx.binary([pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)])], ["bits"])
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            any_key = True
+    if any_key:
+        yield pa.RecordBatch.from_arrays([tx.binary([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)])], ["bits"])
 
 
 def _sets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        known = np.frombuffer(bits.value, np.uint8)
 
         def wanted() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for at in _bits(batch["key"].to_numpy().astype(np.int64)):
-                    keep &= known[at]
+                    keep &= known[at >> 3] >> (7 - (at & 7)) & 1 == 1
                 yield batch.filter(pa.array(keep))
 
         for chunk in tx.chunks(wanted()):
@@ -237,7 +244,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scr
     own = scratch.write(own, f"{name}-pairs")
     keys = own.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
     bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for r in keys.coalesce(partitions(spark)).mapInArrow(_bloom, "bits binary").toLocalIterator():  # 8 MB each, one after the other
+    for r in keys.coalesce(partitions(spark)).mapInArrow(_bloom, "bits binary").toLocalIterator():  # 4 MB each at most, one after the other
         bits |= np.frombuffer(pa.decompress(bytes(r["bits"]), len(bits), codec="zstd", asbytes=True), np.uint8)
     sets = with_key(docs, "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits.tobytes())), "key long, grams binary")
     sets = scratch.write(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), f"{name}-sets")
@@ -265,6 +272,13 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()).distinct()
 
 
+def _still_apart(rows: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """token, comp, cls, n: rows of the shingles whose classes are in several components."""
+    placed = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", F.coalesce("comp", "cls").alias("comp"), "cls", "n")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    return scratch.write(placed.join(mixed, "token", "left_semi"), name)
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """key, n_shingles, cls, component_id: a row per key and text."""
     spark = docs.sparkSession
@@ -282,10 +296,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     stars = stars.join(one, "a").join(two, "b").filter(sizes & bound).select("a", "b")
     links = verified(docs, stars, classes, scratch, "star")
     comps = scratch.write(components(links, scratch, "first"), "first")
-    placed = shared.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", F.coalesce("comp", "cls").alias("comp"), "cls")
-    # shingles whose classes are all in one component have nothing left to compare
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    rows = placed.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "comp")
+    rows = _still_apart(shared.select("token", "cls").join(classes.select("cls", "n"), "cls"), comps, scratch, "apart")
+    many = rows.groupBy("cls").agg(F.count("*").alias("tokens"), F.max("n").alias("n")).filter("10 * tokens >= n").select("cls")
+    heavy = rows.join(many, "cls", "left_semi")
+    drawn = heavy.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "cls").alias("draw"), "cls", "comp", "n")).alias("lead"))
+    tried = heavy.join(drawn, "token").filter("comp <> lead.comp and 100 * least(n, lead.n) >= 75 * greatest(n, lead.n)").select("cls", F.col("lead.cls").alias("other")).distinct()
+    tried = tried.withColumn("turn", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64("cls", "other")))).filter(F.col("turn") <= LEADS)
+    links = links.union(verified(docs, tried.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct(), classes, scratch, "drawn"))
+    comps = scratch.write(components(links, scratch, "second"), "second")
+    rows = _still_apart(rows.select("token", "cls", "n"), comps, scratch, "rest").repartition(n, "token").sortWithinPartitions("token", "comp")
     cross = rows.mapInArrow(_cross_pairs, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     cross = cross.join(one, "a").join(two, "b").filter(sizes & bound).select("a", "b")
     more = verified(docs, cross, classes, scratch, "cross")
