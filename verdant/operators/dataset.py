@@ -15,7 +15,7 @@ def english_description(descriptions: str = "descriptions") -> Column:
 def first_metric(path: str, old_path: str | None = None) -> Column:
     """A field of the first entry of the first non-empty metric list: V31, V30, V2."""
     def of(version: str, field: str) -> str:
-        return f"when size(metrics.cvssMetric{version}) > 0 then metrics.cvssMetric{version}[0].cvssData.{field}"
+        return f"when size(metrics.cvssMetric{version}) > 0 then get(metrics.cvssMetric{version}, 0).cvssData.{field}"
 
     return F.expr(f"case {of('V31', path)} {of('V30', path)} {of('V2', old_path or path)} end")
 

@@ -7,9 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
@@ -22,8 +23,8 @@ def token_pairs(pairs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def component_match(rows: DataFrame, key: str, truth_tokens: str, answer_tokens: str, product: str, least: float = 0.8, score_from: float = 0.5) -> DataFrame:
     """key, score, matched: share of truth tokens found, and the product's first token among them (V3)."""
-    each = rows.select(key, product, F.explode(truth_tokens).alias("a"), answer_tokens).select(key, product, "a", F.explode_outer(answer_tokens).alias("b"))
-    alike = token_pairs(each.dropna(subset=["b"]), least).withColumn("hit", F.lit(1))
-    found = each.join(alike, ["a", "b"], "left").groupBy(key, product, "a").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
-    out = found.groupBy(key).agg(F.avg("hit").alias("score"), F.max(F.when(F.col("a") == F.col(product), F.col("hit"))).alias("first"))
+    each = rows.select(key, F.col(product).alias("_product"), F.explode(truth_tokens).alias("_a"), F.col(answer_tokens).alias("_answer")).select(key, "_product", "_a", F.explode_outer("_answer").alias("_b"))
+    alike = token_pairs(each.select(F.col("_a").alias("a"), F.col("_b").alias("b")).dropna(), least).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(1).alias("hit"))
+    found = each.join(alike, ["_a", "_b"], "left").groupBy(key, "_product", "_a").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    out = found.groupBy(key).agg(F.avg("hit").alias("score"), F.max(F.when(F.col("_a") == F.col("_product"), F.col("hit"))).alias("first"))
     return out.select(key, "score", ((F.col("score") >= score_from) & (F.coalesce("first", F.lit(0)) == 1)).alias("matched"))

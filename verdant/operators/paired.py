@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXACT_BELOW = 25
 
@@ -24,7 +25,7 @@ def paired_counts(rows: DataFrame, item: str, system: str, condition: str, corre
     ).withColumn("favours", F.when(F.col("b") > F.col("c"), "a").when(F.col("b") < F.col("c"), "b").otherwise("neither"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi_tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)))
 
