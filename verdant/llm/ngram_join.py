@@ -252,19 +252,24 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scr
     return scratch.write(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), f"{name}-links")
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, comp (least node reachable) of the nodes of links, by large and small stars in turn."""
+def components(links: DataFrame, scratch: Scratch, name: str, rounds: int | None = None) -> DataFrame:
+    """node, comp (least node reachable) of the nodes of links, by large and small stars in turn.
+
+    With a number of rounds it stops early: comp is then some node that can be reached.
+    """
     edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     seen, turn = None, 0
     while True:
         turn += 1
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = scratch.write(small, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
+        if turn == rounds:
+            break
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
             break
@@ -295,7 +300,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     stars = shared.filter("cls <> lead").groupBy(F.col("lead").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared"))
     stars = stars.join(one, "a").join(two, "b").filter(sizes & bound).select("a", "b")
     links = verified(docs, stars, classes, scratch, "star")
-    comps = scratch.write(components(links, scratch, "first"), "first")
+    comps = scratch.write(components(links, scratch, "first", 2), "first")
     rows = _still_apart(shared.select("token", "cls").join(classes.select("cls", "n"), "cls"), comps, scratch, "apart")
     many = rows.groupBy("cls").agg(F.count("*").alias("tokens"), F.max("n").alias("n")).filter("10 * tokens >= n").select("cls")
     heavy = rows.join(many, "cls", "left_semi")
@@ -303,7 +308,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     tried = heavy.join(drawn, "token").filter("comp <> lead.comp and 100 * least(n, lead.n) >= 75 * greatest(n, lead.n)").select("cls", F.col("lead.cls").alias("other")).distinct()
     tried = tried.withColumn("turn", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64("cls", "other")))).filter(F.col("turn") <= LEADS)
     links = links.union(verified(docs, tried.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct(), classes, scratch, "drawn"))
-    comps = scratch.write(components(links, scratch, "second"), "second")
+    comps = scratch.write(components(links, scratch, "second", 2), "second")
     rows = _still_apart(rows.select("token", "cls", "n"), comps, scratch, "rest").repartition(n, "token").sortWithinPartitions("token", "comp")
     cross = rows.mapInArrow(_cross_pairs, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     cross = cross.join(one, "a").join(two, "b").filter(sizes & bound).select("a", "b")
