@@ -37,6 +37,7 @@ from verdant.llm._shared import Scratch, partitions, with_key
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, BLOOM_BITS, LEADS = 22, 25, 32
+CHUNK_BYTES = 2 << 20  # text hashed at once: a worker holds some thirty times that in arrays
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +60,9 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(1 << SKETCH_BITS, np.int64)
-    for chunk in tx.chunks(batches):
+    for chunk in tx.chunks(batches, most=CHUNK_BYTES):
         grams, _ = shingle_sets(chunk["text"])
-        table += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(table))
+        np.add.at(table, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
     parts = np.minimum(table, 2**31 - 1).astype(np.int32).reshape(64, -1)
     used = [i for i in range(64) if parts[i].any()]
     if used:
@@ -90,7 +91,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in tx.chunks(batches):
+    for chunk in tx.chunks(batches, most=CHUNK_BYTES):
         grams, first = shingle_sets(chunk["text"])
         n = np.diff(first)
         cls = tx.window_hashes(grams, first[:-1], first[1:]).view(np.int64)
@@ -100,7 +101,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(counts, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, np.int32)
-        for chunk in tx.chunks(batches):
+        for chunk in tx.chunks(batches, most=CHUNK_BYTES):
             grams, first = shingle_sets(chunk["text"])
             n = np.diff(first)
             cls = tx.window_hashes(grams, first[:-1], first[1:])
@@ -218,7 +219,7 @@ def _sets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
                     keep &= known[at >> 3] >> (7 - (at & 7)) & 1 == 1
                 yield batch.filter(pa.array(keep))
 
-        for chunk in tx.chunks(wanted()):
+        for chunk in tx.chunks(wanted(), most=CHUNK_BYTES):
             grams, first = shingle_sets(chunk["text"])
             yield pa.RecordBatch.from_arrays([chunk["key"], tx.binary([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])])], ["key", "grams"])
 
