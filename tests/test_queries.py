@@ -5,7 +5,7 @@ import pytest
 from verdant.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
 def rows_of(df: pd.DataFrame) -> list[str]:

@@ -80,3 +80,9 @@ def binary_scores(rows: DataFrame, cell: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("outcome") == "Match").alias("matched"), F.count_if(F.col("outcome") == "Partial").alias("partial"),
         F.count_if(F.col("outcome") == "No Match").alias("no_match"), F.count_if(F.col("outcome") == "Declined").alias("declined"), (2 * r / (1 + r)).alias("f1"),
     )
+
+
+def across_cells(table: DataFrame, cell: list[str], cells: list[tuple]) -> DataFrame:
+    """Per-class F1, one column f1_<cell> for each of the named cells."""
+    here = [(F.max(F.when(F.array(*(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cell, own))) == F.array(*[F.lit(True)] * len(cell)), F.col("f1")))).alias("f1_" + "_".join(map(str, own))) for own in cells]
+    return table.groupBy("class").agg(*here)

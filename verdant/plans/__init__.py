@@ -1,0 +1 @@
+from verdant.plans import labelled as _labelled  # adds its queries to the registry
