@@ -37,6 +37,7 @@ from verdant.llm._shared import Scratch, partitions, with_key
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, BLOOM_BITS, LEADS = 22, 25, 32
+EDGES_A_TASK, FEW_TASKS = 250_000, 16
 CHUNK_BYTES = 2 << 20  # text hashed at once: a worker holds some thirty times that in arrays
 
 
@@ -259,14 +260,20 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int | None
     With a number of rounds it stops early: comp is then some node that can be reached.
     """
     edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
+    tasks = 1 + edges.count() // EDGES_A_TASK
+
+    def spread(df: DataFrame, *by: str) -> DataFrame:
+        """Few edges go to few tasks; many are left to the session's partitions and skew handling."""
+        return df.repartition(tasks, *by) if tasks <= FEW_TASKS else df
+
     seen, turn = None, 0
     while True:
         turn += 1
-        both = edges.union(edges.select("v", "u"))
+        both = spread(edges.union(edges.select("v", "u")), "u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+        large = spread(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v"), "u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = spread(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v"), "u", "v").distinct()
         edges = scratch.write(small, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
         if turn == rounds:
@@ -275,7 +282,8 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int | None
         if now == seen:
             break
         seen = now
-    return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()).distinct()
+    reached = spread(edges, "u").groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
+    return spread(reached.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))), "node", "comp").distinct()
 
 
 def _still_apart(rows: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
