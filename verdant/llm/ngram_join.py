@@ -246,7 +246,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scr
     own = scratch.write(own, f"{name}-pairs")
     keys = own.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
     bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for r in keys.coalesce(partitions(spark)).mapInArrow(_bloom, "bits binary").toLocalIterator():  # 4 MB each at most, one after the other
+    tasks = min(partitions(spark), 1 + own.count() // EDGES_A_TASK)  # few keys: few filters to merge
+    for r in keys.coalesce(tasks).mapInArrow(_bloom, "bits binary").toLocalIterator():  # 4 MB each at most, one after the other
         bits |= np.frombuffer(pa.decompress(bytes(r["bits"]), len(bits), codec="zstd", asbytes=True), np.uint8)
     sets = with_key(docs, "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits.tobytes())), "key long, grams binary")
     sets = scratch.write(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), f"{name}-sets")
