@@ -44,7 +44,7 @@ def component_scores(spark, sf_dir):
 
 @query()
 def fuzzy_component_match(spark, sf_dir):
-    """Truth tokens: the brand and the words of the name; the answer misspells the first word."""
+    """Truth tokens: the words of the name; answers have them with an s, reversed or unchanged."""
     words = F.split("p_name", " ")
     rows = _table(spark, sf_dir, "part").select("p_partkey", words.alias("truth"), words[0].alias("product"), F.transform(words, lambda w: F.when(F.col("p_partkey") % 3 == 0, F.concat(w, F.lit("s"))).when(F.col("p_partkey") % 3 == 1, F.reverse(w)).otherwise(w)).alias("answer"))
     return _rounded(fuzzy.component_match(rows, "p_partkey", "truth", "answer", "product"))
