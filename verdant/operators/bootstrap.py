@@ -63,3 +63,19 @@ def macro_f1(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
         tp, both = drawn[:, truth & seen].sum(axis=1), drawn[:, truth].sum(axis=1) + drawn[:, seen].sum(axis=1)
         parts.append(np.where(both > 0, 2 * tp / np.maximum(both, 1), 0.0))
     return {"macro_f1": np.mean(parts, axis=0)}
+
+
+def accuracy_and_shares(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
+    """Of patterns (ok, category): accuracy, and each category's share of the wrong ones, 0 where none is."""
+    ok = rows["ok"].to_numpy(bool)
+    wrong = drawn[:, ~ok].sum(axis=1)
+    out = {"accuracy": drawn[:, ok].sum(axis=1) / drawn.sum(axis=1)}
+    for c in sorted(rows["category"].dropna().unique()):
+        own = drawn[:, ~ok & (rows["category"] == c).to_numpy()].sum(axis=1)
+        out[f"share_{c}"] = np.where(wrong > 0, own / np.maximum(wrong, 1), 0.0)
+    return out
+
+
+def mean_of_means(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
+    """Of patterns with the items' own `mean` (B5): the mean over the items drawn."""
+    return {"mean": drawn @ rows["mean"].to_numpy(float) / drawn.sum(axis=1)}

@@ -1 +1 @@
-from verdant.plans import labelled as _labelled  # adds its queries to the registry
+from verdant.plans import labelled as _labelled, matched as _matched  # add their queries to the registry

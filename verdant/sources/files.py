@@ -27,7 +27,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path), None
     whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")  # by text, as Spark refuses to read bad lines alone from JSON
+    rows = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
 
 
