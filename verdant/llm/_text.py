@@ -6,6 +6,7 @@ documents never run into each other, as a document's first byte always begins a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,24 +19,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD = ~SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_P = np.uint64(0x9E6C63D0876A9A47)
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64, at least n of each."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        made = []
-        for b in (base, inverse):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            made.append(np.multiply.accumulate(out))
-        _powers[int(base)] = have = (made[0], made[1])
-    return have
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+LONG_RANGE = 512  # bytes: longer ranges are hashed one by one, by blake2b
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,9 +112,8 @@ class Words:
         h = self.hashes()
         if len(h) < k:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        at = np.arange(len(h) - k + 1)
-        at = at[np.repeat(self.first[1:], self.counts)[at] >= at + k]
-        return at, window_hashes(h, at, at + k)
+        at = np.flatnonzero(np.repeat(self.first[1:], self.counts)[: len(h) - k + 1] >= np.arange(k, len(h) + 1))
+        return at, window_hashes(h, at, k)
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """All words, each followed by one space, and the byte where each begins (and the end)."""
@@ -143,19 +128,37 @@ class Words:
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
-    up, down = powers(_P, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
-def window_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ranges of a hash sequence."""
-    up, down = powers(_Q, len(h) + 1)
+    """64-bit hashes of byte ranges, eight bytes at a time; equal bytes give equal hashes wherever they stand."""
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * _GOLD
+    live = np.flatnonzero((size > 0) & (size <= LONG_RANGE))
+    done = 0
+    while len(live):
+        h[live] = mix(h[live] ^ (lanes[start[live] + done] & _TAILS[np.minimum(size[live] - done, 8)])) + _GOLD
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_RANGE):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def window_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the k values that begin at each place: a sum with an odd factor for each position."""
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
+    total = np.full(len(at), np.uint64(k), np.uint64)
+    for j in range(k):
+        total += h[at + j] * factors[j]
+    return mix(total)
+
+
+def set_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the sets h[first[i]:first[i + 1]], whatever their order."""
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(mix(h ^ _GOLD), out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64) * _GOLD)
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -169,11 +172,9 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of n places lie in any of the ranges."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge[:-1]) > 0
+    """Which of n places lie in any of the ranges; what a range has beyond them is ignored."""
+    edge = np.bincount(np.minimum(start, n), minlength=n + 1) - np.bincount(np.minimum(end, n), minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
 
 def binary(values: list[bytes] | np.ndarray) -> pa.Array:

@@ -8,8 +8,8 @@ counts as contaminated. Texts are not shuffled: a scan gives hits, and one row p
 carries its number of words.
 
 Null and empty texts and items have no words and no windows. Equal windows of several items count for
-each. Repeated rows of a document are each reported. Rows that share a doc_id are taken for copies of
-one document. An empty benchmark leaves all documents clean.
+each. Repeated rows of a document are each reported. Rows that share a doc_id
+and differ in text are documents of their own. An empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm._shared import with_key
+from verdant.llm._shared import KEY, keyed
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,13 +45,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, n_words, hit_at (sorted positions of hit words), items (sorted as strings): a row per doc_id."""
+    """KEY, n_words, hit_at (sorted positions of hit words), items (sorted as strings): a row per key."""
     spark = docs.sparkSession
     grams = item_windows(benchmark, window)
     lengths = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     # each document matches this row once, so that it is in the result whether it has hits or not
     every = spark.range(1).select(F.lit(EVERY).alias("hash"), F.lit(0).alias("len"), F.lit("").alias("gram"), F.array().cast(grams.schema["items"].dataType).alias("items"))
-    keyed = with_key(docs, words(F.col("text")).alias("w"))
+    split = keyed(docs, words(F.col("text")).alias("w"))
     found = []
     for length in sorted(lengths) or [window]:
         blocks = max(1, -(-lengths.get(length, 0) // MOST_BROADCAST_WINDOWS))
@@ -64,22 +64,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             # the hashes are a column before they are exploded: so the explosion and the look-up share
             # generated code, and the words of a document are not copied for each of its windows (outer:
             # else Spark infers a filter on the array and computes the words again within it)
-            hashed = keyed.select("key", "w", F.size("w").alias("n_words"), array.alias("hashes"))
-            scan = hashed.select("key", "w", "n_words", F.posexplode_outer("hashes").alias("at", "hash")).withColumn("at", F.col("at") - shift)
+            hashed = split.select(*KEY, "w", F.size("w").alias("n_words"), array.alias("hashes"))
+            scan = hashed.select(*KEY, "w", "n_words", F.posexplode_outer("hashes").alias("at", "hash")).withColumn("at", F.col("at") - shift)
             hits = scan.join(F.broadcast(own), "hash").filter(F.expr("array_join(slice(w, greatest(at, 0) + 1, len), ' ') = gram"))
-            found.append(hits.select("key", "n_words", "at", "len", "items"))
+            found.append(hits.select(*KEY, "n_words", "at", "len", "items"))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
     ranges = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("len") > 0, F.expr("sequence(at, at + len - 1)")))))
     items = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("len") > 0, F.expr("transform(items, i -> cast(i as string))")))))
-    return hits.groupBy("key").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(ranges).alias("hit_at"), F.array_sort(items).alias("items"))
+    return hits.groupBy(*KEY).agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(ranges).alias("hit_at"), F.array_sort(items).alias("items"))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return with_key(docs, "doc_id").join(found, "key").select(
+    return keyed(docs, "doc_id").join(found, KEY).select(
         "doc_id", "n_words", F.size("hit_at").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_at") > 0).alias("contaminated"),
     )
@@ -87,9 +87,8 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a benchmark window go."""
-    dirty = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit_at") > 0).select("key")
-    key = with_key(docs, *docs.columns)
-    return key.join(dirty, "key", "left_anti").select(docs.columns)
+    dirty = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit_at") > 0).select(*KEY)
+    return keyed(docs, *docs.columns).join(dirty, KEY, "left_anti").select(docs.columns)
 
 
 OP4_SQL = r"""

@@ -10,8 +10,11 @@ bucket along the keys, so a source that holds a third of all rows is spread over
 epochs take every document; the rest of the budget is cut in key order at the exact word, so one
 document of a source may be taken in part.
 
+Sizes are counted once and written with the source and key of each document; all sums read that table.
+
 Null texts have size 0. A null source is a source. Rows that share a doc_id get the same key and are
-ordered by size. Without any word all targets are 0. Empty tables give an empty result.
+ordered by size. Without any word all targets are 0. Empty tables give an empty result. The stage adds
+size, source_size, target and taken to the columns of documents; columns of these names are replaced.
 """
 
 from __future__ import annotations
@@ -20,8 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verdant.llm._shared import Scratch
+
 WEIGHTS, MOST_EPOCHS, SEED, DOCS_PER_BUCKET = 3, 3, "mix-1", 20_000
 KEY_BITS = 52
+MOST_BROADCAST_SOURCES = 200_000  # rows of some 50 bytes; more sources are joined by shuffles
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -57,37 +63,49 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("hash_key", hash_key(F.col("doc_id")))
-    sizes = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    targets = F.broadcast(source_targets(sizes))  # a row per source, as the contract's weights are
-    s, t = sized.alias("s"), targets.alias("t")
-    placed = s.join(t, F.expr("s.source <=> t.source")).select("s.*", "n_docs", "source_size", "target").withColumn("buckets", F.ceil(F.col("n_docs") / docs_per_bucket)).withColumn("bucket", (F.col("hash_key") * F.col("buckets").cast("decimal(20,0)") / F.lit(1 << KEY_BITS).cast("decimal(20,0)")).cast("long"))
-    totals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    along = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)).alias("earlier"))
-    p, b = placed.alias("p"), before.alias("b")
-    both = p.join(b, F.expr("p.source <=> b.source and p.bucket = b.bucket")).select("p.*", "earlier")
-    within = W.partitionBy("source", "bucket").orderBy("hash_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    budget = F.floor(F.col("target")).cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    return (
-        both.withColumn("start", F.col("earlier") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("epochs", epochs)
-        .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-        .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))))
-        .select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
-    )
+def mix_sources(docs: DataFrame, docs_per_bucket: int = DOCS_PER_BUCKET, scratch: Scratch | None = None, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document row; whole: all its other columns too."""
+    scratch = scratch or Scratch(docs.sparkSession, "mix-sources")
+    own = {"__size": word_count(F.col("text")), "__key": hash_key(F.col("doc_id"))}
+    narrow = scratch.write(docs.select("doc_id", F.col("source").alias("__source"), *(v.alias(k) for k, v in own.items())), "sizes")
+    sizes = narrow.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("n_docs"), F.sum("__size").alias("source_size"))
+    targets = scratch.write(source_targets(sizes), "targets").withColumnsRenamed({c: f"__{c}" for c in ("n_docs", "source_size", "target")})
+    few = targets.count() <= MOST_BROADCAST_SOURCES
+    buckets = F.ceil(F.col("__n_docs") / docs_per_bucket)
+    bucket = (F.col("__key") * buckets.cast("decimal(20,0)") / F.lit(1 << KEY_BITS).cast("decimal(20,0)")).cast("long")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        s, t = rows.alias("s"), (F.broadcast(targets) if few else targets).alias("t")
+        return s.join(t, F.expr("s.__source <=> t.source")).select("s.*", "t.__n_docs", "t.__source_size", "t.__target").withColumn("__bucket", bucket)
+
+    totals = placed(narrow).groupBy("__source", "__bucket").agg(F.sum("__size").alias("bucket_size"))
+    along = W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = scratch.write(totals.select("__source", "__bucket", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)).alias("__earlier")), "buckets")
+    rows = docs.withColumn("__source", F.col("source")).withColumns(own) if whole else narrow
+    p, b = placed(rows).alias("p"), before.alias("b")
+    both = p.join(b, F.expr("p.__source <=> b.__source and p.__bucket = b.__bucket")).select("p.*", "__earlier")
+    within = W.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("__earlier") + F.coalesce(F.sum("__size").over(within), F.lit(0))
+    budget = F.floor(F.col("__target")).cast("long")
+    epochs = F.when(F.col("__source_size") > 0, F.floor(budget / F.col("__source_size"))).otherwise(0).cast("long")
+    taken = F.col("__epochs") * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), budget - F.col("__epochs") * F.col("__source_size") - F.col("__start")))
+    out = both.withColumn("__start", start).withColumn("__epochs", epochs).withColumn("__taken", taken.cast("long"))
+    made = [F.col(f"__{c}").alias(c) for c in MADE]
+    if whole:
+        return out.select(*(f"`{c}`" for c in docs.columns if c not in MADE), *made)
+    return out.select("doc_id", F.col("__source").alias("source"), *made)
+
+
+MADE = ["size", "source_size", "target", "taken"]
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *MADE)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: what the mix takes of each document."""
-    return mix_sources(docs).filter("taken > 0")
+    """Last pipeline stage: the documents that the mix takes, whole or in part, and how many words of each."""
+    return mix_sources(docs, whole=True).filter("taken > 0")
 
 
 OP6_SQL = r"""

@@ -10,16 +10,22 @@ Texts with the same set of shingles form a class (its id: a hash of the set); th
    accumulated overlap reaches the bound are verified and give components.
    A further linear round tries, for the classes still apart that share many shingles, some partners
    drawn at random from their shingles' classes (LEADS of them: a head start, the next step is exact).
-4. Second product: all pairs of classes of a shingle that are not in one component yet. Overlaps are
-   accumulated over all blocks; pairs under the size-derived bound (their shared prefix plus all that
-   can follow is under 3/7 of both sizes) go; the rest are verified on whole sets.
-Within a group of near copies the first product finds the links that join it, so its pairs are not
+4. Second product: the pairs of classes of a shingle that are not in one component yet. Each class has a
+   parity bitmap of its set: bits that differ between two bitmaps are never more than the shingles that
+   the sets do not share, which may be at most (x + y) / 7. Pairs beyond that go before anything is written,
+   as do pairs of too different sizes; so what is written is close to the threshold or above it. Shingles
+   with the same least class go to one task (in parts of PART_ROWS rows), where overlaps are accumulated;
+   then over all tasks. Pairs under the size-derived bound (their shared prefix plus all that can follow is
+   under 3/7 of both sizes) go; the rest are verified on whole sets.
+Within a group of near copies the first products find the links that join it, so its pairs are not
 written out. Nothing is capped. Verification reads only documents that a filter of fixed size lets
 through, and exact joins decide.
 
 Texts without a word (or null) have no shingle and link with nothing; shorter texts than five words
-are one shingle. Repeated rows and equal texts share a class. Rows of one doc_id count as one document
-when their texts are equal. Class ids are 64-bit hashes.
+are one shingle. Repeated rows and equal texts share a class. Rows of one doc_id that differ in text are
+documents of their own. component_id is the least doc_id of a component that is not null; a component
+of rows without doc_id has none. Class ids are 64-bit hashes of whole sets: among 10^9 distinct texts
+the odds of one pair that is taken for equal are about 3 in 100.
 """
 
 from __future__ import annotations
@@ -33,12 +39,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
-from verdant.llm._shared import Scratch, partitions, with_key
+from verdant.llm._shared import KEY, Scratch, key_filter, keyed, let_through, partitions
 
 SHINGLE, PERCENT = 5, 75
-SKETCH_BITS, BLOOM_BITS, LEADS = 22, 25, 32
+SKETCH_BITS, LEADS = 22, 32
+PARITY_BITS, PART_ROWS = 1024, 50_000
 EDGES_A_TASK, FEW_TASKS = 250_000, 16
-CHUNK_BYTES = 2 << 20  # text hashed at once: a worker holds some thirty times that in arrays
+CHUNK_BYTES = 2 << 20  # text hashed at once: a worker holds some ten times that in arrays
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +55,10 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     doc, counts = words.doc[at], words.counts
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        first = words.first[short]
-        grams = np.concatenate([grams, tx.window_hashes(words.hashes(), first, first + counts[short])])
-        doc = np.concatenate([doc, short])
+        for n in range(1, k):
+            own = short[counts[short] == n]
+            grams = np.concatenate([grams, tx.window_hashes(words.hashes(), words.first[own], n)])
+            doc = np.concatenate([doc, own])
     order = np.lexsort((grams, doc))
     grams, doc = grams[order], doc[order]
     keep = np.ones(len(grams), bool)
@@ -91,12 +99,21 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def parity_bitmaps(grams: np.ndarray, first: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """A row of bits per set: whether an odd number of its shingles fall on the bit."""
+    out = np.zeros((len(first) - 1, bits // 8), np.uint8)
+    place = (grams >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(first) - 1), np.diff(first)), place >> 3), (1 << (place & 7)).astype(np.uint8))
+    return out
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in tx.chunks(batches, most=CHUNK_BYTES):
         grams, first = shingle_sets(chunk["text"])
         n = np.diff(first)
-        cls = tx.window_hashes(grams, first[:-1], first[1:]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([chunk["key"], pa.array(cls, pa.int64(), mask=n == 0), pa.array(n, pa.int64())], ["key", "cls", "n"])
+        cls = tx.set_hashes(grams, first).view(np.int64)
+        bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARITY_BITS // 8), len(n), [None, pa.py_buffer(parity_bitmaps(grams, first).tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([chunk["doc_id"], *(chunk[k] for k in KEY), pa.array(cls, pa.int64(), mask=n == 0), pa.array(n, pa.int64()), bits], ["doc_id", *KEY, "cls", "n", "bits"])
 
 
 def _prefixes(counts, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -105,7 +122,7 @@ def _prefixes(counts, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for chunk in tx.chunks(batches, most=CHUNK_BYTES):
             grams, first = shingle_sets(chunk["text"])
             n = np.diff(first)
-            cls = tx.window_hashes(grams, first[:-1], first[1:])
+            cls = tx.set_hashes(grams, first)
             _, one = np.unique(cls, return_index=True)
             doc = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((grams, table[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
@@ -154,75 +171,65 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, shared: pairs of a shingle's classes in different components, summed within the block."""
-    most = 1 << 20
+    """a, b, shared: pairs of a shingle's classes in different components that sizes and bitmaps leave."""
+    most, step = 1 << 20, 1 << 15
+    pairs: list[tuple[np.ndarray, ...]] = []
 
-    def pack(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    def merged() -> tuple[np.ndarray, ...]:
+        a, b, n = (np.concatenate([p[i] for p in pairs]) for i in range(3))
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "shared"])
-
-    def partners(rows: np.ndarray) -> int:
-        """Rows of one shingle, in order of their components: partners begin with the next component."""
-        made = 0
-        for i in range(rows.shape[1]):
-            j = int(np.searchsorted(rows[1], rows[1, i], "right"))
-            if j < rows.shape[1]:
-                n = rows[3, j:]
-                other = rows[2, j:][100 * np.minimum(n, rows[3, i]) >= PERCENT * np.maximum(n, rows[3, i])]
-                if len(other):
-                    pairs.append((np.minimum(other, rows[2, i]), np.maximum(other, rows[2, i])))
-                    made += len(other)
-        return made
-
-    held, size, pairs = None, 0, []
+        a, b, n = a[order], b[order], n[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+        return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
+
+    def partners(token: np.ndarray, comp: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarray) -> None:
+        """Rows of whole shingles, in order of shingles: row i meets row i + d where both are of one shingle."""
+        d, at = 1, np.arange(len(token))
+        while True:
+            at = at[at < len(token) - d]
+            at = at[token[at] == token[at + d]]
+            if not len(at):
+                return
+            other = at + d
+            fit = (comp[at] != comp[other]) & (100 * np.minimum(n[at], n[other]) >= PERCENT * np.maximum(n[at], n[other]))
+            x, y = at[fit], other[fit]
+            for k in range(0, len(x), step):
+                i, j = x[k : k + step], y[k : k + step]
+                # J >= 3/4 means that at most (x + y) / 7 shingles are in one set only
+                near = 7 * np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+                i, j = i[near], j[near]
+                pairs.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.ones(len(i), np.int64)))
+            if sum(len(p[0]) for p in pairs) > most:
+                pairs[:] = [merged()]
+            d += 1
+
+    def table(batch: pa.RecordBatch) -> list[np.ndarray]:
+        words = PARITY_BITS // 64
+        return [*(batch[c].to_numpy() for c in ("token", "comp", "cls", "n")), np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(-1, words)]
+
+    held = None
     for batch in batches:
-        now = np.stack([batch[c].to_numpy() for c in ("token", "comp", "cls", "n")])
-        now = now if held is None else np.concatenate([held, now], axis=1)
-        cuts = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]]) if now.shape[1] else np.empty(0, np.int64)
-        held = now[:, cuts[-1] :] if len(cuts) else None  # the last shingle may go on
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            size += partners(now[:, x:y])
-            if size > most:
-                yield pack(pairs)
-                size, pairs = 0, []
+        if not batch.num_rows:
+            continue
+        now = table(batch)
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])  # the last shingle may go on
+        partners(*(x[:cut] for x in now))
+        held = [x[cut:] for x in now]
     if held is not None:
-        partners(held)
+        partners(*held)
     if pairs:
-        yield pack(pairs)
-
-
-def _bits(keys: np.ndarray) -> list[np.ndarray]:
-    h = tx.mix(keys.view(np.uint64))
-    return [(h >> np.uint64(s)).astype(np.int64) & ((1 << BLOOM_BITS) - 1) for s in (0, 19, 38)]
-
-
-def _bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits, any_key = np.zeros((1 << BLOOM_BITS) // 8, np.uint8), False
-    for batch in batches:
-        for at in _bits(batch["key"].to_numpy().astype(np.int64)):
-            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-            any_key = True
-    if any_key:
-        yield pa.RecordBatch.from_arrays([tx.binary([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)])], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["a", "b", "shared"])
 
 
 def _sets(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits.value, np.uint8)
+    """cls, grams of the documents that the filter lets through."""
 
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for at in _bits(batch["key"].to_numpy().astype(np.int64)):
-                    keep &= known[at >> 3] >> (7 - (at & 7)) & 1 == 1
-                yield batch.filter(pa.array(keep))
-
-        for chunk in tx.chunks(wanted(), most=CHUNK_BYTES):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = (batch.filter(pa.array(let_through(bits.value, batch[KEY[0]].to_numpy()))) for batch in batches)
+        for chunk in tx.chunks(wanted, most=CHUNK_BYTES):
             grams, first = shingle_sets(chunk["text"])
-            yield pa.RecordBatch.from_arrays([chunk["key"], tx.binary([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])])], ["key", "grams"])
+            yield pa.RecordBatch.from_arrays([_signed(tx.set_hashes(grams, first)), tx.binary([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])])], ["cls", "grams"])
 
     return run
 
@@ -242,17 +249,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b of classes) whose whole shingle sets reach the threshold."""
     spark = docs.sparkSession
-    own = pairs.join(classes.select(F.col("cls").alias("a"), F.col("key").alias("ka")), "a").join(classes.select(F.col("cls").alias("b"), F.col("key").alias("kb")), "b")
-    own = scratch.write(own, f"{name}-pairs")
-    keys = own.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    tasks = min(partitions(spark), 1 + own.count() // EDGES_A_TASK)  # few keys: few filters to merge
-    for r in keys.coalesce(tasks).mapInArrow(_bloom, "bits binary").toLocalIterator():  # 4 MB each at most, one after the other
-        bits |= np.frombuffer(pa.decompress(bytes(r["bits"]), len(bits), codec="zstd", asbytes=True), np.uint8)
-    sets = with_key(docs, "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits.tobytes())), "key long, grams binary")
-    sets = scratch.write(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), f"{name}-sets")
-    both = own.join(sets.select(F.col("key").alias("ka"), F.col("grams").alias("x")), "ka").join(sets.select(F.col("key").alias("kb"), F.col("grams").alias("y")), "kb")
-    return scratch.write(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), f"{name}-links")
+    own = scratch.write(pairs.select("a", "b"), f"{name}-pairs")
+    named = own.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = scratch.write(named.join(classes.select("cls", "key"), "cls"), f"{name}-needed")
+    tasks = min(partitions(spark), 1 + needed.count() // EDGES_A_TASK)  # few keys: few filters to merge
+    bits = spark.sparkContext.broadcast(key_filter(needed, tasks))
+    sets = keyed(docs, "text").mapInArrow(_sets(bits), "cls long, grams binary")
+    sets = scratch.write(sets.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
+    both = own.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
+    links = scratch.write(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-sets", f"{name}-needed")
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch, name: str, rounds: int | None = None) -> DataFrame:
@@ -288,52 +295,94 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int | None
 
 
 def _still_apart(rows: DataFrame, comps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """token, comp, cls, n: rows of the shingles whose classes are in several components."""
-    placed = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", F.coalesce("comp", "cls").alias("comp"), "cls", "n")
+    """token, lead, comp, cls, n: rows of the shingles whose classes are in several components."""
+    placed = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "lead", F.coalesce("comp", "cls").alias("comp"), "cls", "n")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     return scratch.write(placed.join(mixed, "token", "left_semi"), name)
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """key, n_shingles, cls, component_id: a row per key and text."""
+def _second_product(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, shared: overlaps of the pairs that are left, accumulated over all shingles."""
+    parts = rows.groupBy("lead").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).filter("parts > 1")
+    own = rows.join(classes.select("cls", "bits"), "cls").join(parts, "lead", "left")
+    own = own.select("token", "lead", F.expr("pmod(xxhash64(token), coalesce(parts, 1))").alias("part"), "comp", "cls", "n", "bits")
+    own = own.repartition(partitions(rows.sparkSession), "lead", "part").sortWithinPartitions("lead", "token").select("token", "comp", "cls", "n", "bits")
+    return own.mapInArrow(_cross_pairs, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+
+def class_components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """A row per document row (doc_id, KEY, cls, n; without a word cls is null), and cls, comp of the linked classes."""
     spark = docs.sparkSession
-    scratch, n = scratch or Scratch(spark, "ngram-join"), partitions(spark)
+    n = partitions(spark)
     counts = spark.sparkContext.broadcast(shingle_counts(docs).tobytes())
-    table = scratch.write(with_key(docs, "text").mapInArrow(_classes, "key long, cls long, n long"), "table")
-    classes = scratch.write(table.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n")), "classes")
+    table = scratch.write(keyed(docs, "doc_id", "text").mapInArrow(_classes, "doc_id long, __id long, __th int, cls long, n long, bits binary"), "table")
+    classes = scratch.write(table.filter("cls is not null").groupBy("cls").agg(F.min("__id").alias("key"), F.max("n").alias("n"), F.first("bits").alias("bits")), "classes")
     sent = docs.select("text").mapInArrow(_prefixes(counts, 4 * n), "bucket int, n long, blob binary")
     shared = scratch.write(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "token long, cls long, lead long"), "shared")
     one, two = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     # x + y shingles: an overlap of 3/7 of them is needed; what can follow a prefix is ceil(0.75 n) - 1
-    bound = F.expr(f"100 * (shared + greatest(({PERCENT} * na + 99) div 100, ({PERCENT} * nb + 99) div 100) - 1) + {PERCENT} * (shared + greatest(({PERCENT} * na + 99) div 100, ({PERCENT} * nb + 99) div 100) - 1) >= {PERCENT} * (na + nb)")
-    sizes = F.expr(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    most = f"(shared + greatest(({PERCENT} * na + 99) div 100, ({PERCENT} * nb + 99) div 100) - 1)"
+    bound = F.expr(f"(100 + {PERCENT}) * {most} >= {PERCENT} * (na + nb) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     stars = shared.filter("cls <> lead").groupBy(F.col("lead").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared"))
-    stars = stars.join(one, "a").join(two, "b").filter(sizes & bound).select("a", "b")
-    links = verified(docs, stars, classes, scratch, "star")
+    links = verified(docs, stars.join(one, "a").join(two, "b").filter(bound), classes, scratch, "star")
     comps = scratch.write(components(links, scratch, "first", 2), "first")
-    rows = _still_apart(shared.select("token", "cls").join(classes.select("cls", "n"), "cls"), comps, scratch, "apart")
+    rows = _still_apart(shared.join(classes.select("cls", "n"), "cls"), comps, scratch, "apart")
     many = rows.groupBy("cls").agg(F.count("*").alias("tokens"), F.max("n").alias("n")).filter("10 * tokens >= n").select("cls")
     heavy = rows.join(many, "cls", "left_semi")
-    drawn = heavy.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "cls").alias("draw"), "cls", "comp", "n")).alias("lead"))
-    tried = heavy.join(drawn, "token").filter("comp <> lead.comp and 100 * least(n, lead.n) >= 75 * greatest(n, lead.n)").select("cls", F.col("lead.cls").alias("other")).distinct()
+    drawn = heavy.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "cls").alias("draw"), "cls", "comp", "n")).alias("draw"))
+    tried = heavy.join(drawn, "token").filter(f"comp <> draw.comp and 100 * least(n, draw.n) >= {PERCENT} * greatest(n, draw.n)").select("cls", F.col("draw.cls").alias("other")).distinct()
     tried = tried.withColumn("turn", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64("cls", "other")))).filter(F.col("turn") <= LEADS)
     links = links.union(verified(docs, tried.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct(), classes, scratch, "drawn"))
     comps = scratch.write(components(links, scratch, "second", 2), "second")
-    rows = _still_apart(rows.select("token", "cls", "n"), comps, scratch, "rest").repartition(n, "token").sortWithinPartitions("token", "comp")
-    cross = rows.mapInArrow(_cross_pairs, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    cross = cross.join(one, "a").join(two, "b").filter(sizes & bound).select("a", "b")
+    rows = _still_apart(rows.select("token", "lead", "cls", "n"), comps, scratch, "rest")
+    cross = _second_product(rows, classes).join(one, "a").join(two, "b").filter(bound)
     more = verified(docs, cross, classes, scratch, "cross")
     comps = scratch.write(components(links.union(more), scratch, "last"), "last")
-    reached = table.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = reached.filter("comp is not null").groupBy("comp").agg(F.min("key").alias("component_id"))
-    return reached.join(least, "comp", "left").select("key", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "key").alias("component_id"))
+    scratch.drop("shared", "apart", "rest", "first", "second")
+    return table.drop("bits"), comps.select(F.col("node").alias("cls"), "comp")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, cls, component_id: a row per document row."""
+    table, comps = class_components(docs, scratch or Scratch(docs.sparkSession, "ngram-join"))
+    reached = table.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    least = reached.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return reached.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least doc_id stays."""
-    best = near_duplicates(docs).filter("key = component_id").select("key").distinct()
-    return with_key(docs, *docs.columns).join(best, "key", "left_semi").select(docs.columns)
+    """Pipeline stage: of each group of near copies one row stays, of the least doc_id (null comes last).
+
+    Repeated rows are copies; rows without a word link with nothing and stay.
+    """
+    table, comps = class_components(docs, Scratch(spark, "ngram-stage"))
+    reached = table.filter("cls is not null").join(comps, "cls", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("first")
+    best = reached.groupBy(F.coalesce("comp", "cls").alias("comp")).agg(first).select(*(F.col(f"first.{k}").alias(k) for k in KEY))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed(docs.filter(worded), *docs.columns).join(best, KEY, "left_semi").dropDuplicates(KEY)
+    return kept.select(docs.columns).union(docs.filter(~worded))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) END AS g FROM words),
+sizes AS (SELECT doc_id, len(g)::BIGINT AS n_shingles FROM sets),
+grams AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (na + nb - shared)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, to_id) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.to_id = e.a)
+SELECT s.doc_id, n_shingles, min(to_id) AS component_id FROM sizes s JOIN reach r ON s.doc_id = r.doc_id GROUP BY ALL
+"""

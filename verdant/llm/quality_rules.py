@@ -18,11 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdant.llm import _text as tx
 from verdant.llm._shared import Scratch
 
-MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
+MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT, KEEP_FROM = 20, 8, 30, 0.5
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs", "n_stutters"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -87,82 +88,95 @@ def document_features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, " + ", ".join(f"{c} long" for c in FEATURES))
 
 
-def rule_votes() -> dict[str, Column]:
-    """Rules as columns over FEATURES: 1 good, 0 bad, -1 abstains."""
-    words, letters = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_letters"), F.lit(1))
+def rule_votes(prefix: str = "") -> dict[str, Column]:
+    """Rules as columns over FEATURES (whose names may have a prefix): 1 good, 0 bad, -1 abstains."""
+
+    def col(name: str) -> Column:
+        return F.col(prefix + name)
+
+    words, letters = F.greatest(col("n_words"), F.lit(1)), F.greatest(col("n_letters"), F.lit(1))
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, 0).when(good, 1).otherwise(-1)
 
-    mean, symbols, upper = F.col("word_chars") / words, F.col("n_symbols") / words, F.col("n_upper") / letters
-    again, bangs = F.col("n_repeat_words") / words, F.col("n_bangs") / words
-    dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    mean, symbols, upper = col("word_chars") / words, col("n_symbols") / words, col("n_upper") / letters
+    again, bangs = col("n_repeat_words") / words, col("n_bangs") / words
+    dup = col("n_dup_lines") / F.greatest(col("n_lines"), F.lit(1))
     return {
-        "length": vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 50),
+        "length": vote(col("n_words") < MIN_WORDS, col("n_words") >= 50),
         "mean_word": vote((mean < 2.5) | (mean > 12), (mean >= 3.5) & (mean <= 8)),
         "symbols": vote(symbols > 0.1, symbols < 0.02),
         "upper": vote(upper > 0.4, upper < 0.15),
         "repeats": vote(again > 0.28, again < 0.05),
         "dup_lines": vote(dup > 0.5, dup < 0.05),
         "bangs": vote(bangs > 0.1, bangs < 0.02),
-        "stutters": vote(F.col("n_stutters") / words > 0.2, F.col("n_stutters") / words < 0.05),
+        "stutters": vote(col("n_stutters") / words > 0.2, col("n_stutters") / words < 0.05),
     }
 
 
-#: Bounds and starting points of the vote model. A rule is written so that it flags at most
-#: MOST_FALSE_ALARMS of the good documents and at least LEAST_RECALL of those with its own defect.
-MOST_FALSE_ALARMS, LEAST_RECALL, START_GOOD = 0.02, 0.7, 0.85
+#: A lone flag of a rule may be a false alarm or a defect that only this rule sees; votes alone cannot tell
+#: which. So one belief is set by hand: no rule flags more than MOST_FALSE_ALARMS of the good documents. The
+#: starting values weigh as much as PRIOR_DOCS documents, whatever the size of the corpus.
+MOST_FALSE_ALARMS, START_GOOD, PRIOR_DOCS, ROUNDS = 0.02, 0.8, 10.0, 200
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 60, weight: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, prior: float = PRIOR_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over distinct vote patterns.
 
     The hidden class of a document is good, or the one defect among as many as there are rules that
     spoils it most: a bad document breaks one rule or two, so the other rules' silence is no evidence
     for it. Returns the posterior of good per pattern, each class's share of bad votes per rule (row
-    0: good; abstentions count as no vote) and the classes' shares. weight: of the starting values in
-    each estimate, relative to all documents.
+    0: good; abstentions count as no vote) and the classes' shares.
     """
     n_rules, counts = votes.shape[1], counts.astype(float)
     bad, cast = (votes == 0).astype(float), (votes != -1).astype(float)
     start = np.vstack([np.full(n_rules, 0.005), np.full((n_rules, n_rules), 0.05) + np.eye(n_rules) * 0.85])
     flags, share = start, np.r_[START_GOOD, np.full(n_rules, (1 - START_GOOD) / max(n_rules, 1))]
-    first, strength = share, weight * counts.sum() + 1
+    first = share
     each = np.tile(share, (len(counts), 1))
     for _ in range(rounds):
         log = bad @ np.log(flags).T + (cast - bad) @ np.log(1 - flags).T + np.log(share)
         each = np.exp(log - log.max(axis=1, keepdims=True))
         each /= each.sum(axis=1, keepdims=True)
         w = each * counts[:, None]
-        flags = (w.T @ bad + strength * start / 10) / (w.T @ cast + strength / 10)
+        flags = (w.T @ bad + prior * start) / (w.T @ cast + prior)
         flags[0] = np.minimum(flags[0], MOST_FALSE_ALARMS)
-        own = np.arange(n_rules)
-        flags[own + 1, own] = np.maximum(flags[own + 1, own], LEAST_RECALL)
-        flags = np.clip(flags, 1e-4, 0.999)
-        share = (w.sum(axis=0) + strength * first) / (counts.sum() + strength)
+        share = (w.sum(axis=0) + prior * first) / (counts.sum() + prior)
     return each[:, 0], flags, share
 
 
-def quality_scores(docs: DataFrame, scratch: Scratch | None = None, keep_from: float = 0.5) -> DataFrame:
+def base_failed(prefix: str = "") -> Column:
+    words = F.col(f"{prefix}n_words")
+    return (words < MIN_WORDS) | (F.col(f"{prefix}n_repeat_words") * 100 > words * MAX_REPEAT_PERCENT)
+
+
+def _posteriors(table: DataFrame) -> DataFrame:
+    """The votes' patterns, at most 3 ** rules of them, and the posterior probability of good quality of each."""
+    names = [f"vote_{k}" for k in rule_votes()]
+    patterns = table.groupBy(*names).count().orderBy(*names).collect()
+    votes = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
+    posterior, _, _ = fit_votes(votes, np.array([r["count"] for r in patterns], float))
+    rows = [(*map(int, v), float(p)) for v, p in zip(votes, posterior)]
+    return table.sparkSession.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", posterior double")
+
+
+def _with_votes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.write(document_features(docs), "features").withColumns({f"vote_{k}": v for k, v in rule_votes().items()})
+
+
+def vote_posteriors(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    return _posteriors(_with_votes(docs, scratch))
+
+
+def quality_scores(docs: DataFrame, scratch: Scratch | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, the counts, the rules' votes, posterior, base_failed and kept, for every document.
 
     The one written table has a row of numbers per document; texts are read once and never shuffled.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "quality-rules")
-    rules = rule_votes()
-    table = scratch.write(document_features(docs), "features").withColumns({f"vote_{k}": v for k, v in rules.items()})
-    names = [f"vote_{k}" for k in rules]
-    patterns = table.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    votes = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
-    posterior, _, _ = fit_votes(votes, np.array([r["count"] for r in patterns], float))
-    known = spark.createDataFrame([(*map(int, v), float(p)) for v, p in zip(votes, posterior)], ", ".join(f"{n} int" for n in names) + ", posterior double")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return (
-        table.join(F.broadcast(known), names, "left")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("posterior") >= keep_from))
-    )
+    table = _with_votes(docs, scratch or Scratch(docs.sparkSession, "quality-rules"))
+    names = [f"vote_{k}" for k in rule_votes()]
+    out = table.join(F.broadcast(_posteriors(table)), names, "left").withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -171,6 +185,17 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
-    kept = quality_scores(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: documents that the rules reject go.
+
+    A row's votes name its posterior, so each row is judged where it is, and no text is shuffled.
+    """
+    known = F.broadcast(vote_posteriors(docs, Scratch(spark, "quality-stage")).withColumnsRenamed({"posterior": "__posterior", **{f"vote_{k}": f"__vote_{k}" for k in rule_votes()}}))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.chunks(batches):
+            made = text_features(chunk["text"])
+            yield pa.RecordBatch.from_arrays([*chunk.columns, *(pa.array(made[c].astype(np.int64)) for c in FEATURES)], [*chunk.schema.names, *(f"__{c}" for c in FEATURES)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in FEATURES)])
+    rows = docs.mapInArrow(features, schema).withColumns({f"__vote_{k}": v for k, v in rule_votes("__").items()})
+    return rows.join(known, [f"__vote_{k}" for k in rule_votes()]).filter(~base_failed("__") & (F.col("__posterior") >= KEEP_FROM)).select(*(f"`{c}`" for c in docs.columns))

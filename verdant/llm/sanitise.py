@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
-from verdant.llm._shared import Scratch, with_key
+from verdant.llm._shared import ID, KEY, TH, Scratch, keyed
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, MIN_TOGETHER, DISCLOSURE = 4, 3, 0.8
@@ -94,7 +94,7 @@ def term(word: str) -> str:
     return word.strip(".,;:!?()[]\"'").lower()
 
 
-_SCHEMA = "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<entity:bigint,term:bigint,begin:int,end:int>>"
+_SCHEMA = "doc_id long, __id long, __th int, n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<entity:bigint,term:bigint,begin:int,end:int>>"
 _CONTEXTS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())]))
 
 
@@ -116,7 +116,7 @@ def _find(context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         if all(word[1] <= x or word[0] >= y for _, x, y in spans) and (t := term(text[word[0] : word[1]])):
                             near.append({"entity": entity, "term": hash64(t), "begin": word[0], "end": word[1]})
                 contexts.append(near)
-            yield pa.RecordBatch.from_arrays([chunk["key"], chunk["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(contexts, _CONTEXTS)], ["key", "doc_id", *(f"n_{k}" for k in KINDS), "base", "contexts"])
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk[ID], chunk[TH], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(contexts, _CONTEXTS)], ["doc_id", *KEY, *(f"n_{k}" for k in KINDS), "base", "contexts"])
 
     return run
 
@@ -184,9 +184,9 @@ def _bitmap(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term: the pairs over the disclosure threshold, from counts over all documents."""
     spark, bits = docs.sparkSession, 22
-    near = found.select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.term").distinct()
+    near = found.select(*KEY, F.explode("contexts").alias("c")).select(*KEY, "c.entity", "c.term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_together)
-    entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # a filter of half a MB lets the pass over all texts drop words that no pair has; the join is exact
     wanted = np.zeros((1 << bits) // 8, np.uint8)
     for r in pairs.select("term").mapInArrow(_bitmap(bits), "bits binary").toLocalIterator():
@@ -201,12 +201,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_together: int = MIN_
 def sanitise(docs: DataFrame, scratch: Scratch | None = None, context: int = CONTEXT, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, counts per kind, base (described base spans), spans (base, then added terms), n_terms."""
     scratch = scratch or Scratch(docs.sparkSession, "sanitise")
-    found = scratch.write(with_key(docs, "doc_id", "text").mapInArrow(_find(context), _SCHEMA), "found")
+    found = scratch.write(keyed(docs, "doc_id", "text").mapInArrow(_find(context), _SCHEMA), "found")
     chosen = disclosing_terms(docs, found, min_together, disclosure)
-    each = found.filter("size(contexts) > 0").select("key", F.explode("contexts").alias("c")).select("key", "c.*")
-    added = each.join(chosen, ["entity", "term"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
+    each = found.filter("size(contexts) > 0").select(*KEY, F.explode("contexts").alias("c")).select(*KEY, "c.*")
+    added = each.join(chosen, ["entity", "term"], "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
     text = F.expr("array_join(transform(added, s -> concat('term:', s.begin, ':', s.end)), ',')")
-    return found.drop("contexts").join(added, "key", "left").withColumn("n_terms", F.coalesce(F.size(F.coalesce("added", F.expr("cast(array() as array<struct<begin:int,end:int>>)"))), F.lit(0)).cast("long")).withColumn(
+    return found.drop("contexts").join(added, KEY, "left").withColumn("n_terms", F.coalesce(F.size(F.coalesce("added", F.expr("cast(array() as array<struct<begin:int,end:int>>)"))), F.lit(0)).cast("long")).withColumn(
         "spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("n_terms") > 0, text))
     )
 
@@ -226,8 +226,8 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sanitised_texts(docs: DataFrame, **how) -> DataFrame:
     """doc_id, text (base values generalised to their kind, disclosing terms removed), spans."""
-    spans = sanitise(docs, **how).select("key", "spans").dropDuplicates(["key"])
-    return with_key(docs, "doc_id", "text").join(spans, "key").select("doc_id", "text", "spans").mapInArrow(_rewrite, "doc_id long, text string, spans string")
+    spans = sanitise(docs, **how).select(*KEY, "spans").dropDuplicates(KEY)
+    return keyed(docs, "doc_id", "text").join(spans, KEY).select("doc_id", "text", "spans").mapInArrow(_rewrite, "doc_id long, text string, spans string")
 
 
 def op1_sanitise(spark, sf_dir: str) -> DataFrame:

@@ -10,9 +10,14 @@ Hot passages: equal super-k-mers of a map batch are known to be repeated at once
 reported from there and one string goes on for all of them, so a passage in a third of all documents
 sends a bucket a string per map batch. Nothing is capped or sampled.
 
+A minimiser that stands in many different windows would make one bucket large. Minimisers that have
+more than half a bucket's share of a sample of the documents (one in HOT_SAMPLE, by hash) are hot: their
+windows go one by one to buckets by their own hash instead. All senders use the same list, so equal
+windows still meet; the sample decides where windows meet, never which repeat.
+
 Null and empty texts have no words; nothing is removed from them. Texts under WINDOW words have no
-window. Repeated rows are copies like any others: both lose the words. Rows that share a doc_id are
-taken for copies of one document.
+window. Repeated rows are copies like any others: both lose the words. Rows that share a doc_id and
+differ in text are documents of their own, as are rows without a doc_id.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
-from verdant.llm._shared import partitions, with_key
+from verdant.llm._shared import ID, KEY, TH, keyed, partitions
 
-WINDOW, MINIMISER, LONGEST_RUN = 35, 5, 512
-BATCH_BYTES = 8 << 20
+WINDOW, MINIMISER, LONGEST_RUN, HOT_SAMPLE = 35, 5, 512, 64
+BATCH_BYTES = 4 << 20
 _MARKS = -1
 
 
@@ -48,20 +53,26 @@ def _unpack(blob: bytes, types: str) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def super_kmers(words: tx.Words, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and minimiser of each super-k-mer of a chunk."""
+def super_kmers(words: tx.Words, window: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and minimiser of each super-k-mer of a chunk.
+
+    Windows of a hot minimiser stand alone, under a hash of the whole window.
+    """
     h = words.hashes()
+    none = (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     if len(h) < window:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    at = np.arange(len(h) - m + 1)
-    least = tx.sliding_min(tx.window_hashes(h, at, at + m), window - m + 1)
-    inside = np.repeat(words.first[1:], words.counts)[: len(least)] >= np.arange(len(least)) + window
-    where = np.flatnonzero(inside)
+        return none
+    least = tx.sliding_min(tx.window_hashes(h, np.arange(len(h) - m + 1), m), window - m + 1)
+    where = np.flatnonzero(np.repeat(words.first[1:], words.counts)[: len(least)] >= np.arange(len(least)) + window)
     if not len(where):
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+        return none
     value = least[where]
     new = np.ones(len(where), bool)
     new[1:] = (value[1:] != value[:-1]) | (where[1:] != where[:-1] + 1) | (words.doc[where[1:]] != words.doc[where[:-1]])
+    if hot is not None and len(hot):
+        alone = np.flatnonzero(np.isin(value, hot))
+        value[alone] = tx.window_hashes(h, where[alone], window)
+        new[alone] = new[alone[alone < len(new) - 1] + 1] = True
     first = np.flatnonzero(new)
     run = np.arange(len(where)) - np.repeat(first, np.diff(np.r_[first, len(where)]))
     new |= run % LONGEST_RUN == 0
@@ -69,34 +80,49 @@ def super_kmers(words: tx.Words, window: int, m: int) -> tuple[np.ndarray, np.nd
     return where[first], np.diff(np.r_[first, len(where)]), value[first]
 
 
-def _send(window: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _minimiser_bytes(window: int, m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for chunk in tx.chunks(batches, most=BATCH_BYTES):
-            key = chunk["key"].to_numpy()
             words = tx.Words(*tx.buffers(chunk["text"]))
             first, n, least = super_kmers(words, window, m)
+            value, group = np.unique(least, return_inverse=True)
+            size = np.bincount(group, words.end[first + n + window - 2] - words.start[first], len(value)) if len(first) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64), pa.int64()), pa.array(size.astype(np.int64), pa.int64())], ["least", "size"])
+
+    return run
+
+
+def hot_minimisers(docs: DataFrame, window: int, m: int, buckets: int) -> np.ndarray:
+    """Minimisers with over half a bucket's share of a sample's bytes: fewer than twice the buckets."""
+    sample = docs.select("doc_id", "text").filter(F.expr(f"pmod(xxhash64(doc_id, text), {HOT_SAMPLE}) = 0"))
+    each = sample.select("text").mapInArrow(_minimiser_bytes(window, m), "least long, size long").groupBy("least").agg(F.sum("size").alias("size"))
+    total = each.agg(F.sum("size").alias("total"))
+    rows = each.crossJoin(F.broadcast(total)).filter(F.col("size") * 2 * buckets > F.col("total")).select("least").collect()
+    return np.sort(np.array([r["least"] for r in rows], np.int64).view(np.uint64))
+
+
+def _send(window: int, m: int, buckets: int, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, split = 0, hot.value
+        for chunk in tx.chunks(batches, most=BATCH_BYTES):
+            words = tx.Words(*tx.buffers(chunk["text"]))
+            first, n, least = super_kmers(words, window, m, split)
             if not len(first):
                 continue
             text, where = words.joined()
-            begin, end = where[first], where[first + n + window - 1]
-            whole = tx.window_hashes(words.hashes(), first, first + n + window - 1)
-            _, lead, group, size = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-            several = size[group] > 1
-            for i in np.flatnonzero(several):  # equal hashes are not yet equal words
-                j = lead[group[i]]
-                if i != j and text[begin[i] : end[i]] != text[begin[j] : end[j]]:
-                    several[i] = several[j] = False
-            own = first - words.first[words.doc[first]]
-            keys = key[words.doc[first]]
+            begin, end = where[first].tolist(), where[first + n + window - 1].tolist()
+            strings = [text[x:y] for x, y in zip(begin, end)]
+            leads: dict[bytes, int] = {}
+            lead = np.array([leads.setdefault(x, i) for i, x in enumerate(strings)])
+            several = np.bincount(lead, minlength=len(lead))[lead] > 1
+            doc = words.doc[first]
+            own, ids, ths = first - words.first[doc], chunk[ID].to_numpy()[doc], chunk[TH].to_numpy()[doc]
             rows: list[tuple[int, bytes]] = []
             if several.any():
                 k = np.flatnonzero(several)
-                rows.append((turn % buckets, struct.pack("<b", 1) + _pack([keys[k], own[k].astype(np.int32), (own[k] + n[k] + window - 1).astype(np.int32)], b"")))
+                rows.append((turn % buckets, struct.pack("<b", 1) + _pack([ids[k], ths[k], own[k].astype(np.int32), (own[k] + n[k] + window - 1).astype(np.int32)], b"")))
                 turn += 1
-            led = np.zeros(len(first), bool)
-            led[lead] = True
-            go = np.flatnonzero(~several | led)
+            go = np.flatnonzero(lead == np.arange(len(lead)))
             bucket = (least[go] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             go, bucket = go[order], bucket[order]
@@ -104,8 +130,9 @@ def _send(window: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatc
             for a, b in zip(cuts[:-1], cuts[1:]):
                 k = go[a:b]
                 known = np.where(several[k], _MARKS, own[k]).astype(np.int32)
-                strings = b"".join([text[x:y] for x, y in zip(begin[k].tolist(), end[k].tolist())])
-                rows.append((int(bucket[a]), struct.pack("<b", 0) + _pack([least[k], keys[k], known, n[k].astype(np.int32), (end[k] - begin[k]).astype(np.int64)], strings)))
+                own_strings = [strings[i] for i in k.tolist()]
+                size = np.array([len(x) for x in own_strings], np.int32)
+                rows.append((int(bucket[a]), struct.pack("<b", 0) + _pack([least[k], ids[k], ths[k], known, n[k].astype(np.int32), size], b"".join(own_strings))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), tx.binary([r[1] for r in rows])], ["bucket", "blob"])
 
     return run
@@ -118,7 +145,7 @@ def repeated_windows(text: bytes, lengths: np.ndarray, n_windows: np.ndarray, wi
     string = np.repeat(np.arange(len(n_windows)), n_windows)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     at = words.first[string] + offset
-    h = tx.window_hashes(words.hashes(), at, at + window)
+    h = tx.window_hashes(words.hashes(), at, window)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     lead = np.arange(len(h))
@@ -146,12 +173,14 @@ def repeated_windows(text: bytes, lengths: np.ndarray, n_windows: np.ndarray, wi
 
 def _count(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(b, "<u8,<i8,<i4,<i4,<i8".split(",")) for b in blobs]
-        least, key, own, n, size = (np.concatenate([p[0][i] for p in parts]) for i in range(5))
+        parts = [_unpack(b, "<u8,<i8,<i4,<i4,<i4,<i4".split(",")) for b in blobs]
+        least, ids, ths, own, n, size = (np.concatenate([p[0][i] for p in parts]) for i in range(6))
+        size = size.astype(np.int64)
         _, group, many = np.unique(least, return_inverse=True, return_counts=True)
         alone = (many[group] == 1) & (n == 1)  # one window, met nowhere else
         ends = np.cumsum(size)
         text = b"".join(p[1] for p in parts)
+        del parts
         order = np.argsort(group, kind="stable")
         order = order[~alone[order]]
         at = 0
@@ -172,10 +201,10 @@ def _count(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             i = np.flatnonzero(new)
             length = np.diff(np.r_[i, len(string)])
             begin = own[k][string[i]] + offset[i]
-            yield marks(key[k][string[i]], begin, begin + length + window - 1)
+            yield marks(ids[k][string[i]], ths[k][string[i]], begin, begin + length + window - 1)
 
-    def marks(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["key", "begin", "end"])
+    def marks(ids: np.ndarray, ths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (ths, begin, end))], [ID, TH, "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -184,8 +213,7 @@ def _count(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"]):
                 blob = blob.as_py()
                 if blob[0] == 1:
-                    (key, begin, end), _ = _unpack(blob[1:], ["<i8", "<i4", "<i4"])
-                    yield marks(key, begin, end)
+                    yield marks(*_unpack(blob[1:], ["<i8", "<i4", "<i4", "<i4"])[0])
                     continue
                 if bucket != now and held:
                     yield from settle(held)
@@ -199,10 +227,11 @@ def _count(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """key, begin, end: word ranges of documents that repeated windows cover."""
+    """KEY, begin, end: word ranges of documents that repeated windows cover."""
     n = partitions(docs.sparkSession)
-    sent = with_key(docs, "text").mapInArrow(_send(window, minimiser, 4 * n), "bucket int, blob binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), "key long, begin int, end int")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(docs, window, minimiser, 4 * n))
+    sent = keyed(docs, "text").mapInArrow(_send(window, minimiser, 4 * n, hot), "bucket int, blob binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), f"{ID} long, {TH} int, begin int, end int")
 
 
 def _finish(keep_text: bool, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -226,10 +255,10 @@ def _finish(keep_text: bool, columns: list[str]) -> Callable[[Iterator[pa.Record
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document."""
-    ranges = repeated_ranges(docs, window, minimiser).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    ranges = ranges.select("key", F.col("ranges.begin").alias("begins"), F.col("ranges.end").alias("ends"))
-    both = with_key(docs, "doc_id", "text").join(ranges, "key", "left").select("doc_id", "text", "begins", "ends")
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document row."""
+    ranges = repeated_ranges(docs, window, minimiser).groupBy(*KEY).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    ranges = ranges.select(*KEY, F.col("ranges.begin").alias("begins"), F.col("ranges.end").alias("ends"))
+    both = keyed(docs, "doc_id", "text").join(ranges, KEY, "left").select("doc_id", "text", "begins", "ends")
     return both.mapInArrow(_finish(keep_text, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
