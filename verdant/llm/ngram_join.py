@@ -43,7 +43,7 @@ from verdant.llm._shared import KEY, Scratch, key_filter, keyed, let_through, pa
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, LEADS = 22, 32
-PARITY_BITS, PART_ROWS = 1024, 50_000
+PARITY_BITS, PART_ROWS = 1024, 10_000
 EDGES_A_TASK, FEW_TASKS = 250_000, 16
 CHUNK_BYTES = 2 << 20  # text hashed at once: a worker holds some ten times that in arrays
 
