@@ -1,19 +1,25 @@
 """Token counts by a two-tier look-up where the texts are.
 
-A text's tokens are the sum over its pre-tokens, and few pre-tokens make most of a corpus. One pass
-finds, in each partition, its most frequent pre-tokens; only those few rows per partition are merged.
-Their lengths are broadcast as one table of at most TABLE rows. A second pass looks each pre-token up
-in the table, then in the worker's cache; the library encodes the misses of a batch together. No
-pre-token of a text is ever shuffled. The table decides speed, never results.
-
-Texts with characters whose class may differ between Unicode versions, or with a special token's
-string, go to the library whole. Null and empty texts have 0 bytes and 0 tokens. Repeated rows are
-counted alike.
+A text's tokens are the sum over its pre-tokens, and few pre-tokens make most of a corpus. One pass over a
+sample of the documents (one in SAMPLE, by hash) finds frequent pre-tokens; their lengths are broadcast as
+one table of at most TABLE rows. It decides speed, never results. The pass over all documents looks each
+pre-token up in the table, then in the worker's cache; the library encodes the misses of a batch together.
+No pre-token of a text is ever shuffled.
+
+Pre-tokens depend on the Unicode classes letter, number, white space and other. Characters whose class is
+not the same in Unicode 3.2 and today might be split otherwise by the library; the run between spaces that
+holds one is a look-up of its own, which the library splits. A piece cut before a space that begins a word,
+or after a word, has the same tokens alone as in its text. Texts with a character that may or may not be
+white space (rare controls), or with a special token's string, go to the library whole.
+
+Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted alike.
 """
 
 from __future__ import annotations
 
 import functools
+import os
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -25,78 +31,128 @@ from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
 
-LIMIT, TABLE, PER_PARTITION, CACHE = 1024, 32_768, 8_192, 400_000
+LIMIT, TABLE, PER_PARTITION, CACHE, SAMPLE = 1024, 32_768, 8_192, 400_000, 16
 #: Fixed value: how the vocabulary's library splits a text before it merges bytes.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _split = regex.compile(PRE_TOKEN).findall
-_odd = regex.compile(r"[^\t\n\r\x20-\x7E -¬®-ɏ]").search
+#: Beyond it every character counts as uncertain.
+_LAST = 0x30000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a vocabulary where this is called: executors look for their own copy."""
+    if os.path.isabs(name):
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class of these code points."""
+    out, begin = [], None
+    for c, after in zip(codes, [*codes[1:], None]):
+        begin = c if begin is None else begin
+        if after != c + 1:
+            out.append(f"\\U{begin:08x}-\\U{c:08x}")
+            begin = None
+    return "[" + "".join(out) + "]"
+
+
+@functools.lru_cache(maxsize=1)
+def uncertain():
+    """A search for characters that may be white space or not, and the runs between spaces with a character of uncertain class."""
+
+    def kind(category: str) -> str:
+        return category[0] if category[0] in "LN" else "space" if category[0] == "Z" else "other"
+
+    spaces, classes = [], []
+    for c in range(_LAST):
+        old, now = (u.category(chr(c)) for u in (unicodedata.ucd_3_2_0, unicodedata))
+        if c in (9, 10, 13):
+            continue
+        if "Z" in (old[0], now[0]) and old[0] != now[0] or now in ("Cc", "Zl", "Zp") or c in (0x200B, 0x180E, 0xFEFF):
+            spaces.append(c)
+        elif kind(old) != kind(now) or now == "Cn":
+            classes.append(c)
+    classes += range(_LAST, 0x110000)
+    return regex.compile(_ranges(spaces)).search, regex.compile(_ranges(classes)).search, regex.compile(rf" ?[^\s]*{_ranges(classes)}[^\s]*")
+
+
+def pieces(text: str) -> list[str]:
+    """The pre-tokens of a text; runs with a character of uncertain class in one piece."""
+    _, search, runs = uncertain()
+    if text.isascii() or search(text) is None:
+        return _split(text)
+    out, at = [], 0
+    for m in runs.finditer(text):
+        before = text[at : m.start()]
+        if before and before[-1].isspace() and m[0][0] != " ":
+            out += _split(before + "x")[:-1]  # white space before a word, not at the end
+        elif before:
+            out += _split(before)
+        out.append(m[0])
+        at = m.end()
+    return out + _split(text[at:])
+
+
 @functools.lru_cache(maxsize=2)
-def library(path: str):
+def library(name: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
+    made = Tokenizer.from_file(vocabulary(name))
     made.no_truncation()
     made.no_padding()
     return made, [t.content for t in made.get_added_tokens_decoder().values()]
 
 
-def lengths(path: str, parts: list[str]) -> list[int]:
-    return [len(e.ids) for e in library(path)[0].encode_batch(parts, add_special_tokens=False)]
+def lengths(name: str, parts: list[str]) -> list[int]:
+    return [len(e.ids) for e in library(name)[0].encode_batch(parts, add_special_tokens=False)]
 
 
 def whole(text: str, special: list[str]) -> bool:
     """Whether only the library may split this text."""
-    return _odd(text) is not None or any(s in text for s in special)
-
+    return uncertain()[0](text) is not None or any(s in text for s in special)
 
-def _frequent(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for chunk in tx.chunks(batches):
-            for text in chunk["text"].to_pylist():
-                if text:
-                    seen.update(_split(text))
-            if len(seen) > 20 * PER_PARTITION:
-                seen = Counter(dict(seen.most_common(10 * PER_PARTITION)))
-        top = seen.most_common(PER_PARTITION)
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["part", "n"])
 
-    return run
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter[str] = Counter()
+    for chunk in tx.chunks(batches):
+        for text in chunk["text"].to_pylist():
+            if text:
+                seen.update(pieces(text))
+        if len(seen) > 20 * PER_PARTITION:
+            seen = Counter(dict(seen.most_common(10 * PER_PARTITION)))
+    top = seen.most_common(PER_PARTITION)
+    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["part", "n"])
 
 
-def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
-    """Lengths of at most TABLE frequent pre-tokens."""
-    found = docs.select("text").mapInArrow(_frequent(path), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+def frequent_lengths(docs: DataFrame, name: str, sample: int = SAMPLE) -> dict[str, int]:
+    """Lengths of at most TABLE frequent pre-tokens of a sample."""
+    own = docs.filter(F.expr(f"pmod(xxhash64(doc_id, text), {sample}) = 0")).select("text")
+    found = own.mapInArrow(_frequent, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
     parts = [r["part"] for r in found.orderBy(F.desc("n"), "part").limit(TABLE).collect()]
-    return dict(zip(parts, lengths(path, parts)))
+    return dict(zip(parts, lengths(name, parts)))
 
 
-def _count(path: str, table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(name: str, table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, special = library(path)
-        first, second = table.value, _caches.setdefault(path, {})
+        _, special = library(name)
+        first, second = table.value, _caches.setdefault(name, {})
         both = _Two(first, second)
         for chunk in tx.chunks(batches):
             texts = chunk["text"].to_pylist()
             total, own, new = [0] * len(texts), {}, {}
             for i, text in enumerate(texts):
                 if not text or whole(text, special):
-                    total[i] = lengths(path, [text])[0] if text else 0
+                    total[i] = lengths(name, [text])[0] if text else 0
                     continue
-                own[i] = parts = _split(text)
+                own[i] = parts = pieces(text)
                 new.update((p, 0) for p in set(parts) if p not in first and p not in second)
             missing = list(new)
             for at in range(0, len(missing), 5000):
                 some = missing[at : at + 5000]
-                new.update(zip(some, lengths(path, some)))
+                new.update(zip(some, lengths(name, some)))
             second.update(new)
             for i, parts in own.items():
                 total[i] = sum(map(both.__getitem__, parts))
@@ -123,11 +179,10 @@ class _Two(dict):
 _caches: dict[str, dict[str, int]] = {}
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every document row."""
-    path = path or vocabulary()
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
-    out = docs.select("doc_id", "text").mapInArrow(_count(path, table), "doc_id long, n_bytes long, n_tokens long")
+def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document row. name: of a vocabulary, or its absolute path."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, name))
+    out = docs.select("doc_id", "text").mapInArrow(_count(name, table), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
