@@ -7,7 +7,8 @@ sum of table entries, looked up for whole batches at once.
 
 The model is fitted on at most MOST_ROWS labelled training rows (those of the least hash, a documented
 bound); every document is scored. Null and empty texts have all features 0 and are scored like any
-text. Without labelled rows of both classes every score is 0.5. Rows labelled twice count twice.
+text. Without labelled rows of both classes every score is 0.5. A doc_id labelled twice counts once, with its
+least label; of repeated rows of a doc_id one is used.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 def training_rows(labels: DataFrame, label: str, folds: int, held_out: int, most: int = MOST_ROWS) -> DataFrame:
     """doc_id, y of at most that many labelled training rows: small enough to broadcast."""
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter((fold(F.col("doc_id"), folds) != held_out) & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
-    return own.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    return own.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch | No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality-gam")
     table = scratch.write(docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES)), "features")
-    rows = table.join(F.broadcast(training_rows(labels, "quality", folds, held_out)), "doc_id").select(*FEATURES, "y").limit(2 * MOST_ROWS).toArrow()
+    rows = table.join(F.broadcast(training_rows(labels, "quality", folds, held_out)), "doc_id").dropDuplicates(["doc_id"]).select(*FEATURES, "y").toArrow()  # of at most MOST_ROWS training rows
     x = np.stack([rows[c].to_numpy() for c in FEATURES], axis=1)
     order = np.lexsort(x.T)  # the same model whatever order the rows came in
     model = Additive(len(FEATURES)).fit(x[order], rows["y"].to_numpy()[order].astype(float))

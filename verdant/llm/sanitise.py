@@ -1,21 +1,27 @@
 """Information-theoretic sanitisation of personal data.
 
 Base: e-mail addresses, IP addresses, card and phone numbers, found by fixed patterns in whole texts.
-Method: each distinct value is a protected entity. Words within CONTEXT words of its mentions are
-candidate terms. Over all documents, with n documents in all, n(t) having the term, n(e) the entity
-and n(t, e) the term near the entity, the term reveals PMI(t; e) = log2(n n(t, e) / (n(t) n(e))) of
-the entity's information IC(e) = log2(n / n(e)). A term that stands near the entity in at least
-MIN_TOGETHER documents and reveals at least DISCLOSURE of IC(e) is added as a span of kind `term`;
-base spans stay. `sanitised_texts` removes terms and generalises base values to their kind.
+Method: each distinct value is a protected entity, and so is each secret: a value that is assigned to a
+name such as token or password, or a run of 20 letters and digits or more with SECRET_BITS bits of
+information a character. Words within CONTEXT words of an entity's mentions are candidate terms. Over all
+documents, with n documents in all, n(t) having the term, n(e) the entity and n(t, e) the term near the
+entity, the term reveals PMI(t; e) = log2(n n(t, e) / (n(t) n(e))) of the entity's information
+IC(e) = log2(n / n(e)). A term that reveals at least DISCLOSURE of IC(e) is added as a span of kind
+`term`. Most entities stand in one document; a word near such an entity reveals it the more, the rarer it
+is, so MIN_TOGETHER is 1, and a higher value only restricts terms to entities met that often. Secrets are
+added as spans of kind `secret`; base spans stay. `sanitised_texts` removes terms and generalises
+the other spans to their kind.
 
 Null and empty texts have no spans. Spans that would overlap a base span are not added. Repeated rows
-count as documents of the statistics; rows of one doc_id share the added spans that fit their text.
+count as documents of the statistics; rows of one doc_id that differ in text have spans of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ from verdant.llm import _text as tx
 from verdant.llm._shared import ID, KEY, TH, Scratch, keyed
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, MIN_TOGETHER, DISCLOSURE = 4, 3, 0.8
+CONTEXT, MIN_TOGETHER, DISCLOSURE, SECRET_BITS = 4, 1, 0.8, 3.0
 
 # The patterns that the results are defined by. The first two are applied from where
 # their leftmost match must begin, which is the same and takes linear time.
@@ -37,6 +43,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+NAMED_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"',;]{6,})")
+DENSE_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _not_local = re.compile(r"[^A-Za-z0-9._%+-]")
 _digits = str.maketrans("", "", " ()-.+")
 
@@ -82,6 +90,25 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def bits_a_character(text: str) -> float:
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values())
+
+
+def secret_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Values of secret-like names and dense runs with both letters and digits, in order, that overlap nothing."""
+    found = [m.span(1) for m in NAMED_SECRET.finditer(text)]
+    for m in DENSE_RUN.finditer(text):
+        run = m[0]
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and bits_a_character(run) >= SECRET_BITS:
+            found.append(m.span())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if all(b <= x or a >= y for x, y in [*taken, *out[-1:]]):
+            out.append((a, b))
+    return out
+
+
 def described(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -94,7 +121,7 @@ def term(word: str) -> str:
     return word.strip(".,;:!?()[]\"'").lower()
 
 
-_SCHEMA = "doc_id long, __id long, __th int, n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<entity:bigint,term:bigint,begin:int,end:int>>"
+_SCHEMA = "doc_id long, __id long, __th int, n_email long, n_ip long, n_card long, n_phone long, base string, secrets string, n_secrets long, contexts array<struct<entity:bigint,term:bigint,begin:int,end:int>>"
 _CONTEXTS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())]))
 
 
@@ -102,13 +129,17 @@ def _find(context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
             counts: list[list[int]] = [[], [], [], []]
-            base, contexts = [], []
+            base, secrets, n_secrets, contexts = [], [], [], []
             for text in chunk["text"].to_pylist():
                 found = base_spans(text) if text else [[], [], [], []]
                 for c, f in zip(counts, found):
                     c.append(len(f))
                 spans = [(k, a, b) for k, f in zip(KINDS, found) for a, b in f]
                 base.append(described(spans))
+                more = [("secret", a, b) for a, b in secret_spans(text or "", [(a, b) for _, a, b in spans])]
+                secrets.append(described(more))
+                n_secrets.append(len(more))
+                spans += more
                 near = []
                 for kind, a, b in spans:
                     entity = hash64(f"{kind}:{text[a:b].lower()}")
@@ -116,7 +147,7 @@ def _find(context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         if all(word[1] <= x or word[0] >= y for _, x, y in spans) and (t := term(text[word[0] : word[1]])):
                             near.append({"entity": entity, "term": hash64(t), "begin": word[0], "end": word[1]})
                 contexts.append(near)
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk[ID], chunk[TH], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(contexts, _CONTEXTS)], ["doc_id", *KEY, *(f"n_{k}" for k in KINDS), "base", "contexts"])
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk[ID], chunk[TH], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(secrets, pa.string()), pa.array(n_secrets, pa.int64()), pa.array(contexts, _CONTEXTS)], ["doc_id", *KEY, *(f"n_{k}" for k in KINDS), "base", "secrets", "n_secrets", "contexts"])
 
     return run
 
@@ -166,7 +197,13 @@ def _terms(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                         total[h] = total.get(h, 0) + 1
             if len(memo) > 300_000:
                 memo.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+            if len(total) > 300_000:
+                yield counted(total)
+                total = {}
+        yield counted(total)
+
+    def counted(total: dict[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     return run
 
@@ -199,16 +236,16 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_together: int = MIN_
 
 
 def sanitise(docs: DataFrame, scratch: Scratch | None = None, context: int = CONTEXT, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, counts per kind, base (described base spans), spans (base, then added terms), n_terms."""
+    """doc_id, KEY, counts per kind, n_secrets, n_terms, n_spans, base (described base spans), spans (base, secrets, terms): a row per document row."""
     scratch = scratch or Scratch(docs.sparkSession, "sanitise")
     found = scratch.write(keyed(docs, "doc_id", "text").mapInArrow(_find(context), _SCHEMA), "found")
     chosen = disclosing_terms(docs, found, min_together, disclosure)
     each = found.filter("size(contexts) > 0").select(*KEY, F.explode("contexts").alias("c")).select(*KEY, "c.*")
     added = each.join(chosen, ["entity", "term"], "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
-    text = F.expr("array_join(transform(added, s -> concat('term:', s.begin, ':', s.end)), ',')")
-    return found.drop("contexts").join(added, KEY, "left").withColumn("n_terms", F.coalesce(F.size(F.coalesce("added", F.expr("cast(array() as array<struct<begin:int,end:int>>)"))), F.lit(0)).cast("long")).withColumn(
-        "spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("n_terms") > 0, text))
-    )
+    terms = F.expr("array_join(transform(added, s -> concat('term:', s.begin, ':', s.end)), ',')")
+    out = found.drop("contexts").join(added, KEY, "left").withColumn("n_terms", F.coalesce(F.size("added"), F.lit(0)).cast("long"))
+    out = out.withColumn("spans", F.concat_ws(",", *(F.when(t != "", t) for t in (F.col("base"), F.col("secrets"), F.coalesce(terms, F.lit(""))))))
+    return out.withColumn("n_spans", sum((F.col(f"n_{k}") for k in KINDS), F.col("n_secrets") + F.col("n_terms"))).drop("added")
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,4 +269,4 @@ def sanitised_texts(docs: DataFrame, **how) -> DataFrame:
 
 def op1_sanitise(spark, sf_dir: str) -> DataFrame:
     out = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_terms")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_secrets", "n_terms", "n_spans")

@@ -5,11 +5,13 @@ by how many toxic documents they explain, and in the same way stems (the first l
 inflected languages continue in many ways; written with a star). Its trie is intersected with Levenshtein automata (distance
 0 below 5 letters, 1 below 8, else 2): an automaton state is a set of (trie node, edits), made when
 first met, so a word costs a look-up per letter and most words end in the dead state at once. Each hit
-is weighed by the words around it: quotation marks and words of reporting within CONTEXT words tell
-quotation from abuse. A logistic model over the weighed hits gives the score.
+is weighed by its context window: a hit between two quotation marks of its line, or with a word of
+reporting within CONTEXT words, is a quotation and not abuse. A logistic model over the weighed hits gives
+the score; quoted hits add nothing to density and rate.
 
-Labels are used of at most MOST_ROWS training rows (those of the least hash, a documented bound);
-every document is scored. Null and empty texts have no hit. Without labelled rows of both classes
+Labels are used of at most MOST_ROWS training rows (those of the least hash; of repeated rows of a doc_id
+one; a documented bound). At most MOST_CANDIDATES marks are looked at (the most frequent in toxic rows)
+and at most MOST_TERMS make the lexicon; both are bounds of the fit. Every document is scored. Null and empty texts have no hit. Without labelled rows of both classes
 every score is 0.5 or less. Repeated rows are scored alike.
 """
 
@@ -23,21 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
+from verdant.llm._shared import Scratch
 from verdant.llm.quality_gam import MOST_ROWS, fold, training_rows
 
 FOLDS, HELD_OUT, CUT, CONTEXT, WINDOW = 3, 1, 0.7, 6, 25
-MOST_CANDIDATES, MOST_TERMS, PRECISION, STEM_PRECISION, EVIDENCE, STEMS = 4000, 200, 0.85, 0.97, 28.0, (4, 5, 6)
-STRIP = b".,;:!?()[]{}\"'*_-<>|/\\"
-#: Signs and words that mark reported speech.
-QUOTES = (b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode())
-REPORTING = frozenset(b"said says wrote writes called calls quote quoted quotes term word words slur quoting".split())
+MOST_CANDIDATES, MOST_TERMS, PRECISION, STEM_PRECISION, STEMS = 4000, 200, 0.85, 0.97, (4, 5, 6)
+#: Signs at the ends of words.
+STRIP = ".,;:!?()[]{}\"'*_-<>|/\\“”„‟‘’‚‛«»‹›…–—¡¿·•、。，！？：；「」『』（）#$%&~^+=`"
+#: Signs and words that mark reported speech, by language; a parameter, as is CONTEXT.
+QUOTES = frozenset("\"“”„‟«»‹›「」『』")
+REPORTING = {
+    "en": "said says wrote writes called calls quote quoted quotes term word words slur quoting",
+    "de": "sagte sagt schrieb schreibt nannte nennt zitat zitiert zitierte wort wörter begriff schimpfwort",
+    "fr": "dit disait écrit écrivait appelle appelait citation cite cité mot mots terme insulte",
+    "es": "dijo dice escribió escribe llamó llama cita citado palabra palabras término insulto",
+}
 FEATURES = ["exact", "quoted", "near", "near_quoted", "dense", "rate"]
 
 
-def word_of(raw: bytes) -> bytes:
+def word_of(raw: str) -> str:
     return raw.strip(STRIP).lower()
 
 
+def reporting_words(by_language: dict[str, str] = REPORTING) -> frozenset[str]:
+    return frozenset(w for words in by_language.values() for w in words.split())
+
+
 class Automaton:
     """The trie of a lexicon, intersected with the Levenshtein automaton of whatever word is read."""
 
@@ -113,36 +126,46 @@ class Automaton:
         return self.verdict[state]
 
 
-def hit_features(text: bytes, seen: dict[bytes, int], automaton: Automaton) -> list[float]:
-    raw = text.split()
-    hits = []
-    for i, w in enumerate(raw):
-        d = seen.get(w)
-        if d is None:
-            own = word_of(w)
-            d = seen[w] = automaton.distance(own.decode("utf-8", "replace")) if own else -1
-        if d >= 0:
-            hits.append((i, d))
+def inside_quotes(line: str, begin: int, end: int) -> bool:
+    """Whether an odd number of quotation marks stands before the place in its line, and another after it."""
+    before = sum(c in QUOTES for c in line[:begin])
+    return before % 2 == 1 and any(c in QUOTES for c in line[end:])
+
+
+def hit_features(text: str, seen: dict[str, int], automaton: Automaton, reporting: frozenset[str]) -> list[float]:
+    out, n_words, hits = dict.fromkeys(FEATURES, 0.0), 0, []
+    for line in text.split("\n"):
+        raw = line.split()
+        for i, w in enumerate(raw):
+            d = seen.get(w)
+            if d is None:
+                own = word_of(w)
+                d = seen[w] = automaton.distance(own) if own else -1
+            if d >= 0:
+                hits.append((n_words + i, d, line, raw, i))
+        n_words += len(raw)
+    plain = []
+    for at, d, line, raw, i in hits:
+        # the place of word i in its line, quotation marks at the word's own ends outside it
+        begin = len(" ".join(raw[:i])) + (i > 0) + len(raw[i]) - len(raw[i].lstrip(STRIP))
+        quoted = inside_quotes(" ".join(raw), begin, begin + len(raw[i].strip(STRIP))) if any(q in line for q in QUOTES) else False
+        quoted = quoted or any(word_of(w) in reporting for w in raw[max(0, i - CONTEXT) : i + CONTEXT + 1])
+        out[("exact" if d == 0 else "near") if not quoted else ("quoted" if d == 0 else "near_quoted")] += 1.0
+        if d == 0 and not quoted:
+            plain.append(at)
     if not hits:
         return [0.0] * len(FEATURES)
-    out = dict.fromkeys(FEATURES, 0.0)
-    for i, d in hits:
-        around = raw[max(0, i - CONTEXT) : i + CONTEXT + 1]
-        marks = sum(any(q in w for q in QUOTES) for w in around)
-        quoted = marks >= 2 or any(word_of(w) in REPORTING for w in around)
-        out[("exact" if d == 0 else "near") if not quoted else ("quoted" if d == 0 else "near_quoted")] += 1.0
-    exact = [i for i, d in hits if d == 0]
-    dense = max((sum(1 for j in exact[k : k + 20] if j < i + WINDOW) for k, i in enumerate(exact)), default=0)
+    dense = max((sum(1 for j in plain[k : k + 20] if j < i + WINDOW) for k, i in enumerate(plain)), default=0)
     out = {k: float(np.log1p(v)) for k, v in out.items()}
-    out["dense"], out["rate"] = float(np.log1p(dense)), len(exact) / len(raw)
+    out["dense"], out["rate"] = float(np.log1p(dense)), len(plain) / n_words
     return [out[k] for k in FEATURES]
 
 
-def _features(lexicon: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _features(lexicon: list[str], reporting: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen = Automaton(lexicon), {}
         for chunk in tx.chunks(batches):
-            x = np.array([hit_features(t or b"", seen, automaton) for t in chunk["text"].cast(pa.large_binary()).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([hit_features(t or "", seen, automaton, reporting) for t in chunk["text"].to_pylist()]).reshape(-1, len(FEATURES))
             if len(seen) > 400_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([chunk["doc_id"], *(pa.array(x[:, i]) for i in range(len(FEATURES)))], ["doc_id", *FEATURES])
@@ -150,9 +173,9 @@ def _features(lexicon: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def marks_of(text: bytes | None) -> set[str]:
+def marks_of(text: str | None) -> set[str]:
     """The words of a text and their stems."""
-    words = {o.decode("utf-8", "replace") for w in (text or b"").split() if 3 <= len(o := word_of(w)) <= 40}
+    words = {o for w in (text or "").split() if 3 <= len(o := word_of(w)) <= 40}
     return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k}
 
 
@@ -160,7 +183,7 @@ def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, toxic, clean: summed within a batch of labelled texts."""
     for chunk in tx.chunks(batches):
         seen: dict[str, list[int]] = {}
-        for text, y in zip(chunk["text"].cast(pa.large_binary()).to_pylist(), chunk["y"].to_pylist()):
+        for text, y in zip(chunk["text"].to_pylist(), chunk["y"].to_pylist()):
             for word in marks_of(text):
                 seen.setdefault(word, [0, 0])[0 if y else 1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], ["word", "toxic", "clean"])
@@ -169,28 +192,35 @@ def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(marks: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(marks & marks_of(t)) for t in chunk["text"].cast(pa.large_binary()).to_pylist()], pa.list_(pa.string()))], ["marks"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(marks & marks_of(t)) for t in chunk["text"].to_pylist()], pa.list_(pa.string()))], ["marks"])
 
     return run
 
 
-def learn_lexicon(labelled: DataFrame) -> list[str]:
+def learn_lexicon(labelled: DataFrame, scratch: Scratch | None = None) -> list[str]:
     """Words and stems of labelled texts (text, y) that mark toxic documents; at most MOST_TERMS.
 
-    A mark needs a log-likelihood ratio of EVIDENCE and its precision. Marks are taken by the toxic
-    documents they explain; one that is explained already counts half for each mark it has.
+    A mark needs its precision, and so large a log-likelihood ratio that among all marks less than one is
+    expected to reach it by chance. Marks are taken by the toxic documents they explain; one that is
+    explained already counts half for each mark it has.
     """
-    # copies of a text count once: else words of one copied document look like marks
-    distinct = labelled.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    scratch = scratch or Scratch(labelled.sparkSession, "toxicity")
+    # near copies count once, else words of one text that was copied look like marks: texts with the same four least word hashes
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x09-\x0D\x20-\x2F\x3A-\x40]+"))
+    sketch = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 4)
+    distinct = labelled.groupBy(sketch).agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    distinct = scratch.write(distinct, "distinct")
     sizes = distinct.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     if not sizes["toxic"] or sizes["toxic"] == sizes["n"]:
         return []
     share = sizes["toxic"] / sizes["n"]
     counts = distinct.mapInArrow(_mark_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = scratch.write(counts, "marks")
+    evidence = 2 * float(np.log(max(counts.count(), 2)))
     both, part = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     ratio = 2 * (F.col("toxic") * F.log(part / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - share))).otherwise(0.0))
     least = F.when(F.col("word").endswith("*"), STEM_PRECISION).otherwise(PRECISION)
-    marks = counts.filter((F.col("toxic") > 0) & (F.col("toxic") >= least * both)).filter(ratio >= EVIDENCE).orderBy(F.desc("toxic"), "word").limit(MOST_CANDIDATES)
+    marks = counts.filter((F.col("toxic") > 0) & (F.col("toxic") >= least * both)).filter(ratio >= evidence).orderBy(F.desc("toxic"), "word").limit(MOST_CANDIDATES)
     known = frozenset(r["word"] for r in marks.select("word").collect())
     # of the bounded training sample only
     docs = [(1.0, r["marks"]) for r in distinct.filter("y = 1").select("text").mapInArrow(_found(known), "marks array<string>").collect()]
@@ -225,14 +255,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, lexicon: list[str] | None = None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, lexicon: list[str] | None = None, reporting: dict[str, str] = REPORTING) -> DataFrame:
     """doc_id, score of every document row; texts are not shuffled, but for the bounded training rows."""
     train = F.broadcast(training_rows(labels, "toxic", folds, held_out))
-    labelled = docs.join(train, "doc_id").select("doc_id", "text", "y")
+    labelled = docs.join(train, "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
     lexicon = learn_lexicon(labelled.select("text", "y")) if lexicon is None else lexicon
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES)
-    features = _features(lexicon)
-    rows = labelled.select("doc_id", "text").mapInArrow(features, schema).join(train, "doc_id").select(*FEATURES, "y").limit(4 * MOST_ROWS).toArrow()
+    features = _features(lexicon, reporting_words(reporting))
+    rows = labelled.select("doc_id", "text").mapInArrow(features, schema).join(train, "doc_id").select(*FEATURES, "y").toArrow()  # of at most MOST_ROWS training rows
     x, y = np.stack([rows[c].to_numpy() for c in FEATURES], axis=1), rows["y"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
     w = [float(v) for v in np.round(fit_logistic(x[order], y[order]), 9)]
