@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm._shared import Scratch
 
-WEIGHTS, MOST_EPOCHS, SEED, DOCS_PER_BUCKET = 3, 3, "mix-1", 20_000
+WEIGHTS, MOST_EPOCHS, SEED, DOCS_PER_BUCKET = 3, 3, "mix-1", 5_000
 KEY_BITS = 52
 MOST_BROADCAST_SOURCES = 200_000  # rows of some 50 bytes; more sources are joined by shuffles
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
