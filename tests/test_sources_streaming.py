@@ -12,8 +12,17 @@ ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.S
 def test_json_sources(spark, tmp_path):
     (tmp_path / "array.json").write_text(json.dumps([{"id": 1, "name": "a"}, {"id": 2, "name": None}]))
     assert files.read_json_array(spark, str(tmp_path / "array.json"), ROW, ["id"]).count() == 2
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="other"):
         files.read_json_array(spark, str(tmp_path / "array.json"), ROW, ["other"])
+    (tmp_path / "lacks.json").write_text(json.dumps([{"id": 1, "name": "a"}, {"id": 2}]))
+    with pytest.raises(ValueError, match="name"):  # the field is in the schema, but not in the data
+        files.read_json_array(spark, str(tmp_path / "lacks.json"), ROW, ["id", "name"])
+    for k, text in enumerate(["{\"id\": 1}", "[1, 2]", "not json"]):
+        (tmp_path / f"bad{k}.json").write_text(text)
+        with pytest.raises(ValueError, match="list of objects"):
+            files.read_json_array(spark, str(tmp_path / f"bad{k}.json"), ROW, ["id"])
+    (tmp_path / "none.json").write_text(" [] ")
+    assert files.read_json_array(spark, str(tmp_path / "none.json"), ROW, ["id"]).count() == 0
     (tmp_path / "page.json").write_text(json.dumps({"totalResults": 2, "vulnerabilities": [{"cve": {"id": 3, "name": "c"}}, {"cve": {"id": 4, "name": "d"}}]}))
     assert sorted(r["id"] for r in files.read_feed_pages(spark, str(tmp_path / "page.json"), ROW).collect()) == [3, 4]
     (tmp_path / "keyed.json").write_text(json.dumps({"one": [{"id": 5, "name": "e"}], "two": [{"id": 6, "name": "f"}], "total_time": 1.5}))
@@ -34,6 +43,9 @@ def test_csv_and_tables(spark, tmp_path):
     files.write_csv(rows, str(tmp_path / "csv"))
     back = {r["id"]: r for r in files.read_csv(spark, str(tmp_path / "csv"), "id long, tags string, ok string", ["ok"]).collect()}
     assert back[1]["tags"] == "a; b" and back[1]["ok"] is None and back[2]["ok"] is True
+    files.write_json(rows, str(tmp_path / "json"))
+    lines = sorted(x for p in (tmp_path / "json").glob("part-*.json") for x in p.read_text().split("\n") if x)
+    assert [json.loads(x) for x in lines] == [{"id": 1, "tags": ["a", "b"], "ok": None}, {"id": 2, "tags": [], "ok": "True"}]
     part = spark.createDataFrame([(1, "x"), (2, "y")], "id long, day string")
     files.replace_partitions(part, str(tmp_path / "table"), ["day"])
     files.replace_partitions(spark.createDataFrame([(3, "y")], "id long, day string"), str(tmp_path / "table"), ["day"])

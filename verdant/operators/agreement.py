@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Least kappa of each band; below the last, and below 0, it is Slight.
+BANDS = [(0.8, "Almost perfect"), (0.6, "Substantial"), (0.4, "Moderate"), (0.2, "Fair")]
+
 
 def kappa(pairs: DataFrame, one: str, two: str, labels: list) -> DataFrame:
     """n, observed and expected agreement over the label list, kappa and its band."""
@@ -14,11 +17,34 @@ def kappa(pairs: DataFrame, one: str, two: str, labels: list) -> DataFrame:
     po = F.coalesce("same", F.lit(0)) / F.col("n")
     pe = sum((F.coalesce(f"a{i}", F.lit(0)) / F.col("n") * (F.coalesce(f"b{i}", F.lit(0)) / F.col("n")) for i in range(len(labels))), F.lit(0.0))
     out = own.select("n", po.alias("po"), pe.alias("pe")).withColumn("kappa", F.when(F.col("pe") != 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))))
-    bands = [(0.0, "poor"), (0.2, "slight"), (0.4, "fair"), (0.6, "moderate"), (0.8, "substantial")]
-    band = F.when(F.col("kappa") < bands[0][0], bands[0][1])
-    for upto, name in bands[1:]:
-        band = band.when(F.col("kappa") <= upto, name)
-    return out.withColumn("band", band.otherwise("almost perfect"))
+    band = F.when(F.col("kappa") >= BANDS[0][0], BANDS[0][1])
+    for least, name in BANDS[1:]:
+        band = band.when(F.col("kappa") >= least, name)
+    return out.withColumn("band", F.when(F.col("kappa").isNotNull(), band.otherwise("Slight")))
+
+
+def joint_table(pairs: DataFrame, one: str, two: str) -> DataFrame:
+    """How often each pair of labels was given: the confusion table of two annotators."""
+    return pairs.groupBy(one, two).agg(F.count("*").alias("n"))
+
+
+def verdict_agreement(rows: DataFrame, group: list[str], cell: list[str], verdicts: list[str]) -> DataFrame:
+    """Per cell and field: groups with a verdict, those whose verdicts all agree, and the share (A28); null verdicts are left out."""
+    own = rows.groupBy(*group).agg(*(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(v) for v in verdicts))
+    each = own.select(*cell, F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(f"{v}.lo").alias("lo"), F.col(f"{v}.hi").alias("hi")) for v in verdicts))).alias("x")).filter("x.lo is not null")
+    out = each.groupBy(*cell, "x.field").agg(F.count("*").alias("n_groups"), F.count_if(F.col("x.lo") == F.col("x.hi")).alias("n_agree"))
+    return out.withColumn("rate", F.col("n_agree") / F.col("n_groups"))
+
+
+def nullable_verdict(predicted: Column, truth: Column) -> Column:
+    """Right or wrong; null where either is missing or has no class, so that it is left out."""
+    return F.when(predicted.isNotNull() & truth.isNotNull(), predicted == truth)
+
+
+def member_verdict(predicted: Column, truths: Column) -> Column:
+    """Whether an answer is among the truths; null where it, or every truth, is missing."""
+    known = F.filter(truths, lambda t: t.isNotNull())
+    return F.when(predicted.isNotNull() & (F.size(known) > 0), F.array_contains(known, predicted))
 
 
 def stability(rows: DataFrame, group: list[str], cell: list[str], answer: str, valid: str, reps: int) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MOST_PATTERNS, BLOCK = 100_000, 100
@@ -49,33 +50,120 @@ def interval(draws: DataFrame, replicates: int, level: float = 0.95, upper_exclu
     return own.select("metric", F.element_at("v", lo + 1).alias("lo"), F.element_at("v", min(hi, replicates - 1) + 1).alias("hi"))
 
 
-def accuracy_and_f1(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
-    """Of patterns with a boolean `ok` (B3): accuracy and 2a / (1 + a)."""
-    a = drawn[:, rows["ok"].to_numpy(bool)].sum(axis=1) / drawn.sum(axis=1)
-    return {"accuracy": a, "f1": 2 * a / (1 + a)}
+def item_patterns(rows: DataFrame, item: str, cell: list[str], value: str) -> DataFrame:
+    """pattern, n: an item's values in all cells, and how many items have them, so that all cells share a draw.
+
+    A pattern is a sorted array of cell=value; an item without a row in a cell counts for nothing there.
+    """
+    own = rows.groupBy(item).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.concat_ws("/", *cell), F.lit("="), F.coalesce(value, F.lit(""))))), "|").alias("pattern"))
+    return own.groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+def _by_cell(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The value of each pattern in each cell, None where it has none."""
+    parts = [dict(x.split("=", 1) for x in p.split("|")) for p in rows["pattern"]]
+    return {c: np.array([p.get(c) for p in parts], object) for c in sorted({c for p in parts for c in p})}
+
+
+def _share(drawn: np.ndarray, of: np.ndarray, among: np.ndarray) -> np.ndarray:
+    total = drawn[:, among].sum(axis=1)
+    return np.where(total > 0, drawn[:, of & among].sum(axis=1) / np.maximum(total, 1), 0.0)
+
+
+def accuracies_of_cells(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
+    """Of patterns of true and false (B3): each cell's accuracy a, and 2a / (1 + a)."""
+    out = {}
+    for c, v in _by_cell(rows).items():
+        a = _share(drawn, v == "true", v != None)  # noqa: E711
+        out |= {f"{c} accuracy": a, f"{c} f1": 2 * a / (1 + a)}
+    return out
 
 
-def macro_f1(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
-    """Of patterns (truth, seen): macro-F1 over the truths' classes (B1, B2)."""
-    parts = []
-    for c in sorted(rows["truth"].dropna().unique()):
-        truth, seen = (rows["truth"] == c).to_numpy(), (rows["seen"] == c).to_numpy()
-        tp, both = drawn[:, truth & seen].sum(axis=1), drawn[:, truth].sum(axis=1) + drawn[:, seen].sum(axis=1)
-        parts.append(np.where(both > 0, 2 * tp / np.maximum(both, 1), 0.0))
-    return {"macro_f1": np.mean(parts, axis=0)}
+def class_f1(truth: np.ndarray, seen: np.ndarray, drawn: np.ndarray, supported_from: int = 20, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """F1 of every class among the truths, and their mean over all and over well-supported classes."""
+    out, supported = {}, []
+    for c in sorted({t for t in truth if t}):
+        t, s = truth == c, seen == c
+        both = drawn[:, t].sum(axis=1) + drawn[:, s].sum(axis=1)
+        out[f"f1_{c}"] = np.where(both > 0, 2 * drawn[:, t & s].sum(axis=1) / np.maximum(both, 1), 0.0)
+        if counts is not None and counts[t].sum() >= supported_from:
+            supported.append(out[f"f1_{c}"])
+    all_classes = list(out.values())
+    out["macro_f1"] = np.mean(all_classes, axis=0) if all_classes else np.zeros(len(drawn))
+    if supported:
+        out["macro_f1_supported"] = np.mean(supported, axis=0)
+    return out
 
 
-def accuracy_and_shares(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
-    """Of patterns (ok, category): accuracy, and each category's share of the wrong ones, 0 where none is."""
-    ok = rows["ok"].to_numpy(bool)
-    wrong = drawn[:, ~ok].sum(axis=1)
-    out = {"accuracy": drawn[:, ok].sum(axis=1) / drawn.sum(axis=1)}
-    for c in sorted(rows["category"].dropna().unique()):
-        own = drawn[:, ~ok & (rows["category"] == c).to_numpy()].sum(axis=1)
-        out[f"share_{c}"] = np.where(wrong > 0, own / np.maximum(wrong, 1), 0.0)
+def f1_of_cells(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
+    """Of patterns of truth>class, - for no class (B1)."""
+    out = {}
+    for c, v in _by_cell(rows).items():
+        pairs = [x.split(">", 1) if x else (None, None) for x in v]
+        truth, seen = (np.array([p[i] for p in pairs], object) for i in (0, 1))
+        out |= {f"{c} {k}": x for k, x in class_f1(truth, seen, drawn, counts=rows["n"].to_numpy()).items()}
     return out
 
 
+def shares_of_cells(rows: pd.DataFrame, drawn: np.ndarray, right: str = "Correct") -> dict[str, np.ndarray]:
+    """Of patterns of categories (B4): accuracy, and each wrong category's share of the wrong ones, 0 where none is."""
+    out = {}
+    for c, v in _by_cell(rows).items():
+        there = v != None  # noqa: E711
+        out[f"{c} accuracy"] = _share(drawn, v == right, there)
+        for kind in sorted({x for x in v if x and x != right}):
+            out[f"{c} share_{kind}"] = _share(drawn, v == kind, there & (v != right))
+    return out
+
+
+def cell_intervals(matrix: DataFrame, cell: list[str], replicates: int = 5000, seed: int = 42, supported_from: int = 20) -> DataFrame:
+    """Cell, metric, lo, hi, support, low_support: each cell drawn by itself from its confusion table (B2).
+
+    matrix: cell, truth, seen, n; a few rows a cell, whatever the number of items.
+    """
+    def draw(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["truth", "seen"], na_position="last").reset_index(drop=True)
+        counts = own["n"].to_numpy(np.int64)
+        drawn = np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), replicates)
+        truth = own["truth"].to_numpy(object)
+        out = []
+        for metric, v in class_f1(truth, own["seen"].to_numpy(object), drawn, supported_from, counts).items():
+            v = np.sort(v)
+            support = int(counts[truth == metric[3:]].sum()) if metric.startswith("f1_") else int(counts.sum())
+            out.append({**{c: own[c].iloc[0] for c in cell}, "metric": metric, "lo": v[int(0.025 * replicates)], "hi": v[int(0.975 * replicates) - 1], "support": support, "low_support": support < supported_from})
+        return pd.DataFrame(out)
+
+    types = dict(matrix.dtypes)
+    return matrix.groupBy(*cell).applyInPandas(draw, ", ".join(f"{c} {types[c]}" for c in cell) + ", metric string, lo double, hi double, support long, low_support boolean")
+
+
+def dense_positions(items: DataFrame, item: str, width: int = 10_000) -> DataFrame:
+    """item, pos: 0, 1, 2 in order of whole-number items, numbered within ranges of `width` values and added up over the ranges."""
+    own = items.select(item).distinct().withColumn("_range", F.floor(F.col(item) / width))
+    before = own.groupBy("_range").agg(F.count("*").alias("_k"))
+    before = before.select("_range", (F.sum("_k").over(W.orderBy("_range")) - F.col("_k")).alias("_before"))  # a row for each range
+    turn = F.row_number().over(W.partitionBy("_range").orderBy(item))
+    return own.withColumn("_turn", turn).join(before, "_range").select(item, (F.col("_before") + F.col("_turn") - 1).alias("pos"))
+
+
+def resampled(rows: DataFrame, item: str, cell: list[str], ok: str, draws: int, modulus: int = 2147483647) -> DataFrame:
+    """lo, hi of each cell's accuracy over draws that integer mixing makes, so that any engine gets the same.
+
+    Draw r takes, for j from 0 to n - 1, the item at position mix(r * 1000003 + j * 7919 + 17) % n.
+    """
+    places = dense_positions(rows, item)
+    n = places.agg(F.count("*").alias("_n"))
+    each = places.select("pos", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r")).crossJoin(F.broadcast(n))  # one row
+    mixed = F.expr(f"aggregate(array(1, 2, 3), cast((r * 1000003 + pos * 7919 + 17) % {modulus} as bigint), (m, i) -> (m * m + 12345) % {modulus}) % _n")
+    times = each.select("r", mixed.alias("pos")).groupBy("r", "pos").agg(F.count("*").alias("times"))
+    wide = rows.groupBy(item).agg(F.collect_list(F.struct(*cell, F.col(ok).cast("int").alias("ok"))).alias("cells")).join(places, item).select("pos", "cells")
+    drawn = times.join(wide, "pos").select("r", "times", F.explode("cells").alias("c")).select("r", "times", "c.*")
+    rates = drawn.groupBy(*cell, "r").agg((F.sum(F.col("times") * F.col("ok")) / F.sum("times")).alias("v"))
+    lo, hi = int(round(0.025 * draws, 9)), int(round(0.975 * draws, 9)) - 1
+    own = rates.groupBy(*cell).agg(F.sort_array(F.collect_list("v")).alias("v"))
+    return own.select(*cell, F.element_at("v", lo + 1).alias("lo"), F.element_at("v", hi + 1).alias("hi"))
+
+
 def mean_of_means(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
     """Of patterns with the items' own `mean` (B5): the mean over the items drawn."""
     return {"mean": drawn @ rows["mean"].to_numpy(float) / drawn.sum(axis=1)}

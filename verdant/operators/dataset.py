@@ -20,15 +20,96 @@ def first_metric(path: str, old_path: str | None = None) -> Column:
     return F.expr(f"case {of('V31', path)} {of('V30', path)} {of('V2', old_path or path)} end")
 
 
-def weakness_ids(weaknesses: str = "weaknesses") -> Column:
-    """All ids of the first non-empty tier of source and type, order and repeats kept."""
-    valid = "x -> x.value like 'CWE-%'"
+# The feed's own source name, and values that name no weakness.
+FEED_SOURCE, NO_WEAKNESS = "nvd@nist.gov", ["NVD-CWE-Other", "NVD-CWE-noinfo"]
 
-    def tier(source: str, kind: str) -> str:
-        return f"flatten(transform(filter({weaknesses}, w -> w.source like '{source}' and w.type = '{kind}'), w -> transform(filter(w.description, {valid}), d -> d.value)))"
 
-    tiers = [tier(s, k) for s in ("nvd%", "cna%") for k in ("Primary", "Secondary")]
-    return F.expr("case " + " ".join(f"when size({t}) > 0 then {t}" for t in tiers) + " else cast(array() as array<string>) end")
+def weakness_ids(weaknesses: str = "weaknesses", feed: str = FEED_SOURCE, lang: str = "en") -> Column:
+    """All ids of the first non-empty tier, order and repeats kept (P6): the feed's primary and secondary, then any other source's."""
+
+    def tier(own: bool, kind: str) -> Column:
+        fits = F.filter(weaknesses, lambda w: (w["source"].eqNullSafe(F.lit(feed)) == F.lit(own)) & w["type"].eqNullSafe(F.lit(kind)))
+        values = F.flatten(F.transform(fits, lambda w: F.filter(F.coalesce(w["description"], F.array()), lambda d: d["lang"].eqNullSafe(F.lit(lang)) & ~d["value"].isin(NO_WEAKNESS))))
+        return F.transform(values, lambda d: d["value"])
+
+    out = F.array().cast("array<string>")
+    for own, kind in ((False, "Secondary"), (False, "Primary"), (True, "Secondary"), (True, "Primary")):
+        ids = tier(own, kind)
+        out = F.when(F.size(ids) > 0, ids).otherwise(out)
+    return out
+
+
+def affected_components(configurations: Column | str = "configurations", affected: Column | str = "affected") -> Column:
+    """source, components, raw_cpes (P7): distinct vendor and product of vulnerable CPEs, else of the affected list.
+
+    CPE strings are split at every colon here; cpe_component respects escapes and is for correcting them.
+    """
+    nodes = F.flatten(F.transform(configurations, lambda c: c["nodes"]))
+    matches = F.flatten(F.transform(nodes, lambda n: n["cpeMatch"]))
+    good = F.filter(F.transform(F.filter(matches, lambda m: m["vulnerable"]), lambda m: m["criteria"]), lambda c: F.size(F.split(c, ":")) >= 5)
+
+    def pair(c: Column) -> Column:
+        return F.concat_ws(" ", *(F.replace(F.split(c, ":")[i], F.lit("_"), F.lit(" ")) for i in (3, 4)))
+
+    named = F.transform(F.flatten(F.transform(affected, lambda a: a["affectedData"])), lambda d: F.trim(F.concat(F.coalesce(d["vendor"], F.lit("")), F.lit(" "), F.coalesce(d["product"], F.lit("")))))
+    none = F.array().cast("array<string>")
+    fallback = F.struct(F.lit("affected").alias("source"), F.coalesce(F.array_distinct(F.filter(named, lambda p: p != "")), none).alias("components"), none.alias("raw_cpes"))
+    own = F.struct(F.lit("cpe").alias("source"), F.array_distinct(F.transform(good, pair)).alias("components"), F.array_distinct(good).alias("raw_cpes"))
+    return F.when(F.size(good) > 0, own).otherwise(fallback)
+
+
+def flat_record(records: DataFrame, key: str = "id") -> DataFrame:
+    """The twelve fields of a labelled record from a nested one (P10)."""
+    own = records.withColumn("_affected", affected_components())
+    return own.select(
+        F.col(key).alias("cve_id"), "published", english_description().alias("description"), first_metric("vectorString").alias("cvss_vector"), weakness_ids().alias("cwe_ids"),
+        first_metric("attackVector", "accessVector").alias("attack_vector"), *(first_metric(f"{k}Impact").alias(f"{k}_impact") for k in ("confidentiality", "integrity", "availability")),
+        F.col("_affected.source").alias("affected_component_source"), F.col("_affected.components").alias("affected_components"), F.col("_affected.raw_cpes").alias("affected_cpes_raw"),
+    )
+
+
+def not_rejected(records: DataFrame, status: str = "vulnStatus") -> DataFrame:
+    """Records that were not withdrawn; a null status stays."""
+    return records.filter(~F.col(status).eqNullSafe(F.lit("Rejected")))
+
+
+def missing_parts() -> Column:
+    """Which of description, cvss_vector, cwe_ids and cpe a flat record lacks."""
+    no_cpe = ~F.col("affected_component_source").eqNullSafe(F.lit("cpe")) | (F.coalesce(F.size("affected_cpes_raw"), F.lit(0)) <= 0)
+    return F.array_compact(F.concat(missing_fields({"description": "string", "cvss_vector": "string", "cwe_ids": "array"}), F.array(F.when(no_cpe, F.lit("cpe")))))
+
+
+def is_complete() -> Column:
+    """Whether a flat record has all of them."""
+    return F.size(missing_parts()) == 0
+
+
+def only_fallback() -> Column:
+    """Whether its components come from the affected list alone (C4)."""
+    return (F.col("affected_component_source") == "affected") & (F.size("affected_components") > 0)
+
+
+def build_funnel(records: DataFrame, cap: int, key: str = "id", status: str = "vulnStatus") -> DataFrame:
+    """One row (A32): seen, rejected, examined, complete, fallback_only, missing by part (these overlap), over_quota, multi_cwe, days, most a day.
+
+    Over the whole input, not up to a target; cap: complete records kept of a publication day.
+    """
+    flat = flat_record(not_rejected(records, status), key).withColumns({"_missing": missing_parts(), "_day": publication_day(F.col("published"))})
+    complete = F.size("_missing") == 0
+    per_day = flat.groupBy("_day").agg(
+        F.count("*").alias("examined"), F.count_if(complete).alias("complete"), F.count_if(~complete & only_fallback()).alias("fallback_only"),
+        *(F.count_if(F.array_contains("_missing", m)).alias(f"missing_{m}") for m in ("description", "cvss_vector", "cwe_ids", "cpe")), F.count_if(complete & (F.size("cwe_ids") > 1)).alias("multi_cwe"),
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_day.columns if c != "_day"]
+    days = [F.coalesce(F.sum(F.greatest(F.col("complete") - cap, F.lit(0))), F.lit(0)).alias("over_quota"), F.count_if(F.col("complete") > 0).alias("days"), F.coalesce(F.max(F.least(F.col("complete"), F.lit(cap))), F.lit(0)).alias("most_a_day")]
+    own = per_day.agg(*sums, *days)
+    total = records.agg(F.count("*").alias("seen"), F.count_if(F.col(status).eqNullSafe(F.lit("Rejected"))).alias("rejected"))
+    return total.crossJoin(own).withColumn("completion_rate", F.when(F.col("examined") > 0, F.col("complete") / F.col("examined")))  # one row each
+
+
+def first_vendor(cpes: Column) -> Column:
+    """The vendor field of the first raw CPE."""
+    return F.try_element_at(F.split(F.try_element_at(cpes, F.lit(1)), ":"), F.lit(4))
 
 
 def cpe_component(criteria: Column) -> Column:
@@ -81,12 +162,17 @@ def slice_number(days_back: Column) -> Column:
     return F.when(days_back <= 2, 0).otherwise(F.ceil(days_back / 2) - 1).cast("int")
 
 
+def seeded_draw(key: str, seed: int) -> Column:
+    """A random order of keys that any engine can repeat: md5 of key and seed."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def stratified_sample(df: DataFrame, cells: list[str], key: str, n: int, seed: int) -> DataFrame:
     """n rows spread evenly over the cells, the remainder to the first cells; random by hash."""
     sizes = df.select(*cells).distinct()
     quota = sizes.withColumn("_rank", F.row_number().over(W.orderBy(*cells))).withColumn("_k", F.count("*").over(W.partitionBy()))
     quota = quota.withColumn("_quota", F.floor(F.lit(n) / F.col("_k")) + F.when(F.col("_rank") <= n % F.col("_k"), 1).otherwise(0))
-    own = df.join(F.broadcast(quota.select(*cells, "_quota")), cells).withColumn("_turn", F.row_number().over(W.partitionBy(*cells).orderBy(F.xxhash64(key, F.lit(seed)), key)))
+    own = df.join(F.broadcast(quota.select(*cells, "_quota")), cells).withColumn("_turn", F.row_number().over(W.partitionBy(*cells).orderBy(seeded_draw(key, seed), key)))
     return own.filter("_turn <= _quota").drop("_turn", "_quota")
 
 

@@ -23,11 +23,16 @@ def system_sets(declined: DataFrame) -> DataFrame:
 
 
 def cross_reference(rows: DataFrame, declined: DataFrame, item: str, system: str) -> DataFrame:
-    """How the other systems did on the items of the top decliner (ties: the first by name)."""
+    """How the other systems did on the items of the top decliner (ties: the first by name).
+
+    A system is wrong on an item if it is right under no condition; without any row on it, it is wrong too.
+    """
     top = system_sets(declined).orderBy(F.desc("n_declined"), "system").limit(1).select(F.col("system").alias("top"))
-    items = declined.join(F.broadcast(top), F.expr("array_contains(systems, top)")).select(item, "top")
-    per = rows.join(items, item).filter(F.col(system) != F.col("top")).groupBy(item, system).agg(F.bool_and(F.col("outcome") != "Correct").alias("all_wrong"))
-    each = per.groupBy(item).agg(F.bool_and("all_wrong").alias("all_wrong"), F.bool_or("all_wrong").alias("some_wrong"))
-    joined = items.join(each, item, "left")
-    verdict = F.when(F.coalesce("all_wrong", F.lit(True)), "all wrong").when(~F.col("some_wrong"), "none wrong").otherwise("mixed")
+    others = rows.select(F.col(system).alias("other")).distinct().join(F.broadcast(top), F.expr("other <> top"))
+    n_others = others.groupBy("top").agg(F.count("*").alias("n_others"))
+    items = declined.join(F.broadcast(top), F.expr("array_contains(systems, top)")).select(item, "top").join(F.broadcast(n_others), "top", "left")
+    right = rows.filter(F.col("outcome") == "Correct").select(item, F.col(system).alias("other")).distinct()
+    n_right = items.join(right, item).filter("other <> top").groupBy(item).agg(F.count("*").alias("n_right"))
+    joined = items.join(n_right, item, "left").withColumn("n_right", F.coalesce("n_right", F.lit(0))).withColumn("n_others", F.coalesce("n_others", F.lit(0)))
+    verdict = F.when(F.col("n_right") == 0, "all wrong").when(F.col("n_right") == F.col("n_others"), "none wrong").otherwise("mixed")
     return joined.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n_items"))

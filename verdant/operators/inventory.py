@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def first_items(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 def random_page(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows that follow each other by key, from a seeded offset; all rows where there are fewer."""
     n = rows.count()
-    offset = int(np.random.default_rng(seed).integers(0, max(n - k, 0) + 1))
+    offset = int(hashlib.md5(f"page:{seed}".encode()).hexdigest()[:13], 16) % (max(n - k, 0) + 1)
     return rows.orderBy(key).offset(offset).limit(k)
 
 

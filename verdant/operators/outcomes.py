@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdant.functions.matching import stripped
 from verdant.functions.normalize import component_tokens, vendor_token
 
+COMPONENT_OUTCOMES = ["Match", "Partial", "No Match", "Declined", "Malformed"]
 OUTCOMES = ["Correct", "Incorrect", "Unmapped", "Declined", "Malformed"]
 
 
@@ -18,8 +20,8 @@ def closed_class_outcome(has_block: Column, raw: Column, predicted: Column, trut
     )
 
 
-def component_outcome(answer: Column, truths: Column) -> Column:
-    """Blank: Declined; tokens contain or are contained: Match; a vendor named: Partial (V2)."""
+def component_outcome(answer: Column, truths: Column, has_block: Column | None = None) -> Column:
+    """No block: Malformed; blank: Declined; tokens contain or are contained: Match; a vendor named: Partial (V2)."""
     own = component_tokens(answer)
 
     def matches(t: Column) -> Column:
@@ -27,7 +29,7 @@ def component_outcome(answer: Column, truths: Column) -> Column:
         return (F.size(own) > 0) & (F.size(other) > 0) & ((F.size(F.array_except(other, own)) == 0) | (F.size(F.array_except(own, other)) == 0))
 
     return (
-        F.when(answer.isNull() | (F.trim(answer) == ""), "Declined").when(F.exists(truths, matches), "Match")
+        F.when(~(F.lit(True) if has_block is None else has_block), "Malformed").when(answer.isNull() | (stripped(answer) == ""), "Declined").when(F.exists(truths, matches), "Match")
         .when(F.exists(truths, lambda t: F.coalesce(F.array_contains(own, vendor_token(t)), F.lit(False))), "Partial").otherwise("No Match")
     )
 
@@ -62,23 +64,43 @@ def _flags(c: str) -> list[Column]:
 
 
 def scores(rows: DataFrame, cell: list[str], classes: list[str], supported_from: int = 20) -> DataFrame:
-    """Macro-F1 over all and over well-supported classes, accuracy and commit rate."""
-    tables = per_class(confusion(rows, cell), cell, classes).groupBy(*cell).agg(
+    """Macro-F1 over all and over well-supported classes, accuracy, commit and no-prediction rates.
+
+    Everything comes from the confusion table, so the rows are aggregated once.
+    """
+    matrix = confusion(rows, cell)
+    tables = per_class(matrix, cell, classes).groupBy(*cell).agg(
         F.avg("f1").alias("macro_f1"), F.avg(F.when(F.col("support") >= supported_from, F.col("f1"))).alias("macro_f1_supported")
     )
-    own = rows.groupBy(*cell).agg(
-        F.count("*").alias("n"), (F.count_if(F.col("outcome") == "Correct") / F.count("*")).alias("accuracy"),
-        (F.count_if(F.col("outcome").isin("Correct", "Incorrect")) / F.count("*")).alias("commit_rate"),
+
+    def share(of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / F.sum("n")
+
+    committed = F.col("seen").isin(classes)
+    own = matrix.groupBy(*cell).agg(
+        F.sum("n").alias("total"), share(F.col("seen") == F.col("truth")).alias("accuracy"), share(committed).alias("commit_rate"), share(~committed).alias("no_prediction_rate")
     )
-    return own.join(tables, cell)
+    return own.withColumnRenamed("total", "n").join(tables, cell)
+
+
+def unbalanced_cells(rows: DataFrame, cell: list[str], classes: list[str]) -> DataFrame:
+    """Cells whose tp + fn over the classes is not the number of their rows, or whose outcomes do not add up to it."""
+    matrix = confusion(rows, cell)
+    sums = per_class(matrix, cell, classes).groupBy(*cell).agg(F.sum("support").alias("supported"))
+    counts = outcome_counts(rows, cell).withColumn("counted", sum((F.col(o.lower()) for o in OUTCOMES), F.lit(0)))
+    return counts.join(sums, cell).filter("supported <> n or counted <> n").select(*cell, "n", "supported", "counted")
 
 
 def binary_scores(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """Match metrics without false positives: precision is 1 or 0, F1 = 2r / (1 + r)."""
-    r = F.count_if(F.col("outcome") == "Match") / F.count("*")
+    """Match metrics without false positives: precision is 1 or 0, F1 = 2r / (1 + r), and the counts' rates."""
+    n = F.count("*")
+    r = F.count_if(F.col("outcome") == "Match") / n
+    counts = {o: F.count_if(F.col("outcome") == o) for o in COMPONENT_OUTCOMES}
+    none = counts["Declined"] + counts["Malformed"]
     return rows.groupBy(*cell).agg(
-        F.count("*").alias("n"), F.count_if(F.col("outcome") == "Match").alias("matched"), F.count_if(F.col("outcome") == "Partial").alias("partial"),
-        F.count_if(F.col("outcome") == "No Match").alias("no_match"), F.count_if(F.col("outcome") == "Declined").alias("declined"), (2 * r / (1 + r)).alias("f1"),
+        n.alias("n"), counts["Match"].alias("matched"), counts["Partial"].alias("partial"), counts["No Match"].alias("no_match"), counts["Declined"].alias("declined"), counts["Malformed"].alias("malformed"),
+        F.when(counts["Match"] > 0, 1.0).otherwise(0.0).alias("precision"), r.alias("recall"), r.alias("accuracy"), (2 * r / (1 + r)).alias("f1"),
+        (counts["Partial"] / n).alias("partial_rate"), (counts["No Match"] / n).alias("no_match_rate"), (none / n).alias("no_prediction_rate"),
     )
 
 

@@ -25,6 +25,21 @@ def paired_counts(rows: DataFrame, item: str, system: str, condition: str, corre
     ).withColumn("favours", F.when(F.col("b") > F.col("c"), "a").when(F.col("b") < F.col("c"), "b").otherwise("neither"))
 
 
+def dropped_items(rows: DataFrame, item: str, system: str, condition: str, cell_a: tuple, cell_b: tuple) -> DataFrame:
+    """One row: items that one of two cells has alone, and items of any cell that lack one of the two."""
+    def of(cell: tuple) -> Column:
+        return F.coalesce(F.bool_or((F.col(system) == cell[0]) & (F.col(condition) == cell[1])), F.lit(False))
+
+    per_item = rows.groupBy(item).agg(of(cell_a).alias("a"), of(cell_b).alias("b"))
+    return per_item.agg(F.count_if(F.col("a") != F.col("b")).alias("unmatched"), F.count_if(~(F.col("a") & F.col("b"))).alias("lacking"))
+
+
+def mean_change(rates: DataFrame, system: str, condition: str, field: str, rate: str, before, after) -> DataFrame:
+    """Per system: the mean rate over the fields under either condition, and the change."""
+    mean = [F.avg(F.when(F.col(condition) == c, F.col(rate))).alias(k) for k, c in (("before", before), ("after", after))]
+    return rates.groupBy(system).agg(F.count_distinct(field).alias("n_fields"), *mean).withColumn("change", F.col("after") - F.col("before"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _chi_tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)))

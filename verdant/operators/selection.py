@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdant.operators.dataset import seeded_draw
+
 
 def date_window(rows: DataFrame, time: str, first: Column, last: Column) -> DataFrame:
     """Rows of whole days, both ends included."""
@@ -33,4 +35,4 @@ def top_values(rows: DataFrame, array: str, name: str, k: int) -> DataFrame:
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in random order by a hash of the key."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(seeded_draw(key, seed), key).limit(n)

@@ -16,6 +16,23 @@ def marginals(rows: DataFrame, system: str, condition: str) -> DataFrame:
     return rows.cube(system, condition).agg(F.count("*").alias("n"))
 
 
+def consolidation_check(rows: DataFrame, items: DataFrame, item: str, truth: str, systems: int, conditions: int) -> DataFrame:
+    """One row: rows, the rows that a full grid of the items would have, and rows without a truth."""
+    own = rows.agg(F.count("*").alias("rows"), F.count_if(F.col(truth).isNull()).alias("without_truth"))
+    full = items.agg((F.count_distinct(item) * systems * conditions).alias("expected"))
+    return own.crossJoin(full).withColumn("complete", F.col("rows") == F.col("expected"))
+
+
+def wrong_row_counts(rows: DataFrame, item: str, expected: int) -> DataFrame:
+    """Items that do not have so many rows (A10)."""
+    return rows.groupBy(item).agg(F.count("*").alias("rows")).filter(F.col("rows") != expected)
+
+
+def odd_truths(rows: DataFrame, truth: str, labels: list[str]) -> DataFrame:
+    """Truths outside the label set, null among them, and their rows."""
+    return rows.filter(F.col(truth).isNull() | ~F.col(truth).isin(labels)).groupBy(truth).agg(F.count("*").alias("n"))
+
+
 def inconsistent_truth(rows: DataFrame, item: str, truth: str) -> DataFrame:
     """Items with several truths; null counts as a value."""
     several = (F.min(truth) != F.max(truth)) | ((F.count(truth) > 0) & (F.count(truth) < F.count("*")))

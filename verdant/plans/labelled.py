@@ -9,26 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.operators import agreement, dataset, fuzzy, labels, outcomes, responses, selection
+from verdant.operators import agreement, dataset, fuzzy, labels, outcomes, paired, responses, selection, verify
 from verdant.plans.registry import _CLASS, CELL, CLASSES, V, _rounded, _table, eval_rows, query
 
 _TRUTH = "lower(replace(p_brand, '#', ' ')) || ' ' || p_name"
-_ANSWER = f"CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN {_TRUTH} || ' (the server)' WHEN 2 THEN 'brand of things' WHEN 3 THEN 'a zzz' WHEN 4 THEN ' ' END"
+_ANSWER = f"CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN {_TRUTH} || ' (the server)' WHEN 2 THEN 'brand of things' WHEN 3 THEN 'a zzz' WHEN 4 THEN ' ' WHEN 6 THEN p_name || ' plugin' WHEN 7 THEN 'the firmware module' END"
 
 
 def _tokens(x: str) -> str:
-    return f"list_distinct([t for t in string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' ') if length(t) > 1 and t not in ('the', 'a', 'an', 'of', 'in', 'for', 'and', 'or', 'to', 'on', 'with', 'by')])"
+    """As published: signs to spaces, words of more than one character that are not on the stop list."""
+    stop = "'a', 'an', 'and', 'api', 'app', 'application', 'component', 'extension', 'firmware', 'for', 'in', 'library', 'module', 'of', 'on', 'package', 'platform', 'plugin', 'service', 'software', 'system', 'the', 'tool', 'with'"
+    return f"list_distinct([t for t in string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' ') if length(t) > 1 and t not in ({stop})])"
 
 
 _COMPONENTS = f"""WITH p AS (SELECT p_partkey, p_brand, {_ANSWER} AS answer, {_TRUTH} AS truth FROM part),
 t AS (SELECT *, {_tokens("answer")} AS a, {_tokens("truth")} AS g FROM p),
-o AS (SELECT p_partkey, p_brand, CASE WHEN answer IS NULL OR trim(answer) = '' THEN 'Declined' WHEN len(a) > 0 AND len(g) > 0 AND (list_has_all(a, g) OR list_has_all(g, a)) THEN 'Match'
+o AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 11 = 0 THEN 'Malformed' WHEN answer IS NULL OR trim(answer) = '' THEN 'Declined' WHEN len(a) > 0 AND len(g) > 0 AND (list_has_all(a, g) OR list_has_all(g, a)) THEN 'Match'
   WHEN list_contains(a, 'brand') THEN 'Partial' ELSE 'No Match' END AS outcome FROM t)"""
 
 
 def component_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(_ANSWER).alias("answer"), F.array(F.expr(_TRUTH)).alias("truths"))
-    return rows.withColumn("outcome", outcomes.component_outcome(F.col("answer"), F.col("truths")))
+    return rows.withColumn("outcome", outcomes.component_outcome(F.col("answer"), F.col("truths"), F.col("p_partkey") % 11 != 0))
 
 
 @query(_COMPONENTS + " SELECT p_partkey, outcome FROM o")
@@ -37,7 +39,9 @@ def component_outcomes(spark, sf_dir):
 
 
 @query(_COMPONENTS + """, c AS (SELECT p_brand, count(*) AS n, count(*) FILTER (outcome = 'Match') AS matched, count(*) FILTER (outcome = 'Partial') AS "partial", count(*) FILTER (outcome = 'No Match') AS no_match,
-count(*) FILTER (outcome = 'Declined') AS declined FROM o GROUP BY ALL) SELECT *, round(2 * (matched / n) / (1 + matched / n), 6) AS f1 FROM c""")
+count(*) FILTER (outcome = 'Declined') AS declined, count(*) FILTER (outcome = 'Malformed') AS malformed FROM o GROUP BY ALL)
+SELECT *, CASE WHEN matched > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "precision", round(matched / n, 6) AS recall, round(matched / n, 6) AS accuracy, round(2 * (matched / n) / (1 + matched / n), 6) AS f1,
+round("partial" / n, 6) AS partial_rate, round(no_match / n, 6) AS no_match_rate, round((declined + malformed) / n, 6) AS no_prediction_rate FROM c""")
 def component_scores(spark, sf_dir):
     return _rounded(outcomes.binary_scores(component_rows(spark, sf_dir), ["p_brand"]))
 
@@ -52,11 +56,13 @@ def fuzzy_component_match(spark, sf_dir):
 
 _NAME = "trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g'))"
 _WEAK = f"""WITH v AS (SELECT 'CWE-' || n_nationkey AS id, n_regionkey AS pillar, {_NAME} AS alias, n_name, n_nationkey FROM nation),
-r AS (SELECT c_custkey, c_mktsegment, 'CWE-' || c_nationkey AS truth, CASE c_custkey % 7 WHEN 0 THEN 'CWE-' || c_nationkey WHEN 1 THEN a.n_name WHEN 2 THEN b.n_name WHEN 3 THEN 'Denial of Service' WHEN 4 THEN 'an unknown thing' WHEN 6 THEN 'cwe ' || ((c_nationkey + 1) % 25) END AS answer
+r AS (SELECT c_custkey, c_mktsegment, 'CWE-' || c_nationkey AS truth, CASE c_custkey % 7 WHEN 0 THEN 'CWE-' || c_nationkey WHEN 1 THEN a.n_name WHEN 2 THEN b.n_name WHEN 3 THEN 'Denial of Service' WHEN 4 THEN 'an unknown thing' WHEN 5 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Region-' || (c_nationkey % 5) END WHEN 6 THEN 'cwe ' || ((c_nationkey + 1) % 25) END AS answer
   FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON (c_nationkey + 5) % 25 = b.n_nationkey),
 n AS (SELECT *, trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) AS norm FROM r),
+b AS (SELECT 'region ' || n_regionkey AS term, 'CWE-' || n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0),
 d AS (SELECT n.*, coalesce(x.id, y.id) AS resolved, coalesce(x.pillar, y.pillar) AS mine, t.pillar AS theirs FROM n LEFT JOIN v x ON n.norm = 'cwe ' || x.n_nationkey LEFT JOIN v y ON n.norm = y.alias LEFT JOIN v t ON n.truth = t.id),
-w AS (SELECT *, CASE WHEN resolved = truth THEN 'correct' WHEN norm = 'denial of service' THEN 'consequence_term' WHEN resolved IS NOT NULL AND mine = theirs THEN 'same_group_wrong_id' WHEN resolved IS NOT NULL THEN 'different_group' ELSE 'unmapped_or_absent' END AS verdict FROM d)"""
+w AS (SELECT *, CASE WHEN resolved = truth THEN 'correct' WHEN norm = 'denial of service' THEN 'consequence_not_mechanism' WHEN resolved IS NOT NULL AND mine = theirs THEN 'same_pillar_wrong_cwe' WHEN resolved IS NOT NULL THEN 'different_pillar'
+  WHEN norm IN (SELECT term FROM b) THEN CASE WHEN EXISTS (SELECT 1 FROM b JOIN v ON b.id = v.id WHERE b.term = d.norm AND (b.id = d.truth OR v.pillar = d.theirs)) THEN 'same_pillar_wrong_cwe' ELSE 'different_pillar' END ELSE 'unmapped_or_absent' END AS verdict FROM d)"""
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -66,13 +72,19 @@ def label_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     index = labels.alias_index(nation.select(F.col("n_name").alias("alias"), F.concat(F.lit("CWE-"), "n_nationkey").alias("id")))
     own, next_ = (nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(v)) for k, v in (("k0", "own"), ("k5", "other")))
     rows = _table(spark, sf_dir, "customer").withColumn("k0", F.col("c_nationkey")).withColumn("k5", (F.col("c_nationkey") + 5) % 25).join(own, "k0").join(next_, "k5")
-    answer = F.expr("CASE c_custkey % 7 WHEN 0 THEN 'CWE-' || c_nationkey WHEN 1 THEN own WHEN 2 THEN other WHEN 3 THEN 'Denial of Service' WHEN 4 THEN 'an unknown thing' WHEN 6 THEN 'cwe ' || ((c_nationkey + 1) % 25) END")
+    answer = F.expr("CASE c_custkey % 7 WHEN 0 THEN 'CWE-' || c_nationkey WHEN 1 THEN own WHEN 2 THEN other WHEN 3 THEN 'Denial of Service' WHEN 4 THEN 'an unknown thing' WHEN 5 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Region-' || (c_nationkey % 5) END WHEN 6 THEN 'cwe ' || ((c_nationkey + 1) % 25) END")
     return rows.select("c_custkey", "c_mktsegment", answer.alias("answer"), F.array(F.concat(F.lit("CWE-"), "c_nationkey")).alias("truths")), vocabulary, index
 
 
 def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vocabulary, index = label_rows(spark, sf_dir)
-    return labels.layered_verdict(rows, "answer", "truths", labels.resolve(rows, "answer", index, vocabulary), vocabulary, ["denial of service"])
+    return labels.layered_verdict(rows, "answer", "truths", labels.resolve(rows, "answer", index, vocabulary), vocabulary, region_terms(spark, sf_dir))
+
+
+def region_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broad labels: a region's name for its even nations."""
+    own = _table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0")
+    return labels.broad_terms(own.select(F.concat(F.lit("REGION "), "n_regionkey").alias("term"), F.concat(F.lit("CWE-"), "n_nationkey").alias("id")), spark)
 
 
 @query(_WEAK + " SELECT c_custkey, verdict, resolved FROM w")
@@ -80,18 +92,19 @@ def layered_verdicts(spark, sf_dir):
     return verdict_rows(spark, sf_dir).select("c_custkey", "verdict", "resolved")
 
 
-@query(_WEAK + " SELECT c_mktsegment, count(*) AS n, round(count(*) FILTER (verdict = 'correct') / count(*), 6) AS strict_accuracy, " + ", ".join(f"count(*) FILTER (verdict = '{k}') AS n_{k}" for k in ("correct", "consequence_term", "same_group_wrong_id", "different_group", "unmapped_or_absent")) + " FROM w GROUP BY ALL")
+@query(_WEAK + " SELECT c_mktsegment, count(*) AS n, round(count(*) FILTER (verdict = 'correct') / count(*), 6) AS strict_accuracy, " + ", ".join(f"count(*) FILTER (verdict = '{k}') AS n_{k}" for k in ("correct", "consequence_not_mechanism", "same_pillar_wrong_cwe", "different_pillar", "unmapped_or_absent")) + " FROM w GROUP BY ALL")
 def layered_summary(spark, sf_dir):
     return _rounded(labels.verdict_summary(verdict_rows(spark, sf_dir), ["c_mktsegment"]))
 
 
-@query(_WEAK + """, q AS (SELECT coalesce(norm, '__ABSENT__') AS norm, answer, c_mktsegment, c_custkey, row_number() OVER (PARTITION BY coalesce(norm, '__ABSENT__') ORDER BY c_custkey) AS turn FROM n)
+@query(_WEAK + """, q AS (SELECT coalesce(norm, '__ABSENT__') AS norm, answer, c_mktsegment, c_custkey, truth, row_number() OVER (PARTITION BY coalesce(norm, '__ABSENT__') ORDER BY c_custkey) AS turn FROM n)
 SELECT q.norm, arg_min(q.answer, c_custkey) AS first_form, count(*) AS n, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ';') AS systems, string_agg(c_custkey::VARCHAR, ';' ORDER BY turn) FILTER (turn <= 5) AS first_items,
+array_to_string(list_sort(list(DISTINCT c_custkey % 2)), ';') AS conditions, array_to_string(list_sort(list(DISTINCT truth)), ';') AS truths_seen,
 CASE WHEN q.norm = '__ABSENT__' THEN 'absent' WHEN any_value(v.id) IS NOT NULL THEN 'automatic' ELSE 'unresolved' END AS status FROM q LEFT JOIN v ON q.norm = v.alias GROUP BY q.norm""")
 def prediction_inventory(spark, sf_dir):
     rows, _, index = label_rows(spark, sf_dir)
-    out = labels.prediction_inventory(rows, "answer", "c_mktsegment", "c_custkey", "c_custkey", index)
-    return out.withColumns({"systems": F.array_join("systems", ";"), "first_items": F.array_join(F.col("first_items").cast("array<string>"), ";")})
+    out = labels.prediction_inventory(rows.withColumn("cond", F.col("c_custkey") % 2), "answer", "c_mktsegment", "cond", "c_custkey", "truths", "c_custkey", index)
+    return out.withColumns({"systems": F.array_join("systems", ";"), "conditions": F.array_join(F.col("conditions").cast("array<string>"), ";"), "truths_seen": F.array_join("truths_seen", ";"), "first_items": F.array_join(F.col("first_items").cast("array<string>"), ";")})
 
 
 @query("SELECT p_name || ' ' || p_size AS alias, array_to_string(list_sort(list(DISTINCT p_brand)), ';') AS ids, count(DISTINCT p_brand) > 1 AS ambiguous FROM part GROUP BY ALL")
@@ -156,9 +169,9 @@ def top_values(spark, sf_dir):
     return selection.top_values(_table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("words")), "words", "word", 5)
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def excluded_ids(spark, sf_dir):
-    used = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return selection.without(_table(spark, sf_dir, "customer").select("c_custkey"), used, "c_custkey")
 
 
@@ -168,11 +181,56 @@ def leaked_ids(spark, sf_dir):
     return selection.leaked(_table(spark, sf_dir, "orders"), own, "o_custkey")
 
 
-@query()
+@query("""WITH r AS (SELECT *, md5(o_orderkey::VARCHAR || ':42') AS draw FROM orders), c AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) AS place, count(*) OVER () AS k FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)),
+t AS (SELECT r.*, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY draw, o_orderkey) AS turn FROM r)
+SELECT o_orderkey, t.o_orderpriority, t.o_orderstatus FROM t JOIN c ON t.o_orderpriority = c.o_orderpriority AND t.o_orderstatus = c.o_orderstatus WHERE turn <= 200 // k + CASE WHEN place <= 200 % k THEN 1 ELSE 0 END""")
 def stratified_sample(spark, sf_dir):
     return dataset.stratified_sample(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"], "o_orderkey", 200, 42)
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || ':42'), o_orderkey LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return selection.seeded_sample(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, 42)
+
+
+@query(V + ", g AS (SELECT item, model, min(ok) AS lo, max(ok) AS hi FROM (SELECT item, model, CASE WHEN predicted IS NOT NULL THEN predicted = truth END AS ok FROM v) GROUP BY ALL) SELECT model, 'ok' AS field, count(*) AS n_groups, count(*) FILTER (lo = hi) AS n_agree, round(count(*) FILTER (lo = hi) / count(*), 6) AS rate FROM g WHERE lo IS NOT NULL GROUP BY ALL")
+def verdict_agreement(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir).withColumn("ok", agreement.nullable_verdict(F.col("predicted"), F.col("truth")))
+    return _rounded(agreement.verdict_agreement(rows, ["item", "model"], ["model"], ["ok"]))
+
+
+@query(V + """, f AS (SELECT model, cond, truth AS field, avg((outcome = 'Correct')::INT) AS rate FROM v GROUP BY ALL)
+SELECT model, count(DISTINCT field) AS n_fields, round(avg(rate) FILTER (cond = 0), 6) AS "before", round(avg(rate) FILTER (cond = 1), 6) AS "after", round(avg(rate) FILTER (cond = 1) - avg(rate) FILTER (cond = 0), 6) AS change FROM f GROUP BY ALL""")
+def mean_change(spark, sf_dir):
+    """Fields: the truths' classes stand for them."""
+    rates = eval_rows(spark, sf_dir).groupBy("model", "cond", F.col("truth").alias("field")).agg(F.avg((F.col("outcome") == "Correct").cast("double")).alias("rate"))
+    return _rounded(paired.mean_change(rates, "model", "cond", "field", "rate", 0, 1))
+
+
+@query(V + ", u AS (SELECT * FROM v WHERE (item + model * 3 + cond) % 5 <> 0), i AS (SELECT item, bool_or(model = 0 AND cond = 0) AS a, bool_or(model = 0 AND cond = 1) AS b FROM u GROUP BY ALL) SELECT count(*) FILTER (a <> b) AS unmatched, count(*) FILTER (NOT (a AND b)) AS lacking FROM i")
+def dropped_items(spark, sf_dir):
+    return paired.dropped_items(eval_rows(spark, sf_dir).filter("(item + model * 3 + cond) % 5 <> 0"), "item", "model", "cond", (0, 0), (0, 1))
+
+
+@query(V + ", u AS (SELECT item, model, cond, CASE WHEN item % 9 > 0 THEN truth END AS truth FROM v WHERE (item + model * 3 + cond) % 5 <> 0) SELECT (SELECT count(*) FROM u) AS rows, (SELECT count(*) FROM u WHERE truth IS NULL) AS without_truth, (SELECT count(*) * 6 FROM orders) AS expected, (SELECT count(*) FROM u) = (SELECT count(*) * 6 FROM orders) AS complete")
+def consolidation_check(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir).filter("(item + model * 3 + cond) % 5 <> 0").withColumn("truth", F.expr("CASE WHEN item % 9 > 0 THEN truth END"))
+    return verify.consolidation_check(rows, _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item")), "item", "truth", 3, 2)
+
+
+@query(V + " SELECT item, count(*) AS rows FROM v WHERE (item + model * 3 + cond) % 5 <> 0 GROUP BY item HAVING count(*) <> 5")
+def wrong_row_counts(spark, sf_dir):
+    return verify.wrong_row_counts(eval_rows(spark, sf_dir).filter("(item + model * 3 + cond) % 5 <> 0"), "item", 5)
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders) WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY ALL")
+def odd_truths(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.expr("CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END").alias("o_orderpriority"))
+    return verify.odd_truths(rows, "o_orderpriority", ["1-URGENT", "2-HIGH"])
+
+
+@query("""WITH n AS (SELECT 'CWE-' || p_size AS id, p_name || ' (' || p_brand || ')' AS name, p_brand, p_name FROM part), a AS (
+SELECT trim(regexp_replace(regexp_replace(lower(name), '[-_/().]', ' ', 'g'), ' +', ' ', 'g')) AS alias, id FROM n UNION SELECT lower(p_brand), id FROM n) SELECT alias, count(*) AS n_ids FROM a GROUP BY alias""")
+def alias_draft(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select(F.concat(F.lit("CWE-"), "p_size").alias("id"), F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("name"))
+    return labels.alias_draft(names).groupBy("alias").agg(F.count("*").alias("n_ids"))

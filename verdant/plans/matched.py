@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.functions import matching as M
-from verdant.operators import bootstrap, inventory, labels, matcher, responses, selection
+from verdant.operators import inventory, labels, matcher, responses, selection
 from verdant.plans.labelled import _WEAK, label_rows
-from verdant.plans.registry import _CPE, _RAW, CELL, V, _rounded, _table, eval_rows, query
+from verdant.plans.registry import _CPE, _RAW, V, _rounded, _table, eval_rows, query
 
 
 def _listed(words: list[str]) -> str:
@@ -169,7 +169,7 @@ def first_items(spark, sf_dir):
     return inventory.first_items(_table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], 50).select("o_orderkey", "o_orderstatus")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET (SELECT ('0x' || substr(md5('page:42'), 1, 13))::BIGINT % (greatest(count(*) - 50, 0) + 1) FROM orders)")
 def random_page(spark, sf_dir):
     return inventory.random_page(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 50)
 
@@ -190,34 +190,20 @@ def alias_sensitivity(spark, sf_dir):
     official = labels.alias_index(inventory.without_provenance(known, "author"))
 
     def summary(aliases: DataFrame) -> DataFrame:
-        verdicts = labels.layered_verdict(rows, "answer", "truths", labels.resolve(rows, "answer", aliases, vocabulary), vocabulary, ["denial of service"])
+        verdicts = labels.layered_verdict(rows, "answer", "truths", labels.resolve(rows, "answer", aliases, vocabulary), vocabulary)
         return labels.verdict_summary(verdicts, ["c_mktsegment"])
 
     return _rounded(inventory.sensitivity(summary(index), summary(official), ["c_mktsegment"]))
 
 
-@query(V + " SELECT item FROM v WHERE outcome = 'Declined' GROUP BY item HAVING count(DISTINCT model * 2 + cond) = 6")
+@query(V + " SELECT item FROM v WHERE outcome = 'Declined' GROUP BY item HAVING count(DISTINCT cond) = 2")
 def hard_core_everywhere(spark, sf_dir):
-    """Items that all systems decline under both conditions."""
+    """Items declined under both conditions, which stand for components."""
     declined = eval_rows(spark, sf_dir).filter("outcome = 'Declined'")
-    return selection.in_all(declined.withColumn("cell", F.struct(*CELL)), "item", "cell", 6)
+    return selection.in_all(declined, "item", "cond", 2)
 
 
 @query("""SELECT event_id, event_id % 7 IN (1, 3, 4, 6) AS valid, CASE event_id % 7 WHEN 0 THEN 'not a JSON object' WHEN 5 THEN 'not a JSON object' WHEN 2 THEN 'missing: v' END AS error FROM events""")
 def first_error(spark, sf_dir):
     out = responses.validated(_table(spark, sf_dir, "events").withColumn("raw", F.expr(_RAW)), "raw", ["k", "v"], {}, check_extra=False)
     return out.select("event_id", "valid", F.try_element_at("notes", F.lit(1)).alias("error"))
-
-
-@query()
-def error_share_bootstrap(spark, sf_dir):
-    rows = eval_rows(spark, sf_dir).filter("model = 0 and cond = 0")
-    ok = F.col("outcome") == "Correct"
-    patterns = rows.groupBy(ok.alias("ok"), F.when(~ok, F.col("outcome")).alias("category")).agg(F.count("*").alias("n"))
-    return bootstrap.interval(bootstrap.bootstrap(patterns, "n", bootstrap.accuracy_and_shares), 5000)
-
-
-@query()
-def mean_of_means_bootstrap(spark, sf_dir):
-    per_item = eval_rows(spark, sf_dir).filter("has_block").groupBy("item").agg(F.avg((F.col("outcome") == "Correct").cast("double")).alias("mean"))
-    return bootstrap.interval(bootstrap.bootstrap(per_item.groupBy("mean").agg(F.count("*").alias("n")), "n", bootstrap.mean_of_means), 5000, upper_exclusive=False)

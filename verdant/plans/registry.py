@@ -89,7 +89,7 @@ pr AS (SELECT *, tp + fn AS support, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (t
 c AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr)"""
 
 
-@query(_CLASS + """ SELECT a.model, a.cond, n, round(accuracy, 6) AS accuracy, round(commit_rate, 6) AS commit_rate, round(macro_f1, 6) AS macro_f1, round(macro_f1_supported, 6) AS macro_f1_supported
+@query(_CLASS + """ SELECT a.model, a.cond, n, round(accuracy, 6) AS accuracy, round(commit_rate, 6) AS commit_rate, round(1 - commit_rate, 6) AS no_prediction_rate, round(macro_f1, 6) AS macro_f1, round(macro_f1_supported, 6) AS macro_f1_supported
 FROM (SELECT model, cond, count(*) AS n, count(*) FILTER (outcome = 'Correct') / count(*) AS accuracy, count(*) FILTER (outcome IN ('Correct', 'Incorrect')) / count(*) AS commit_rate FROM v GROUP BY ALL) a
 JOIN (SELECT model, cond, avg(f1) AS macro_f1, avg(f1) FILTER (support >= 20) AS macro_f1_supported FROM c GROUP BY ALL) b ON a.model = b.model AND a.cond = b.cond""")
 def score_table(spark, sf_dir):
@@ -124,13 +124,14 @@ def decline_sets(spark, sf_dir):
     return declines.system_sets(declines.declined_by(eval_rows(spark, sf_dir), "item", "model"))
 
 
-@query(_D + """, top AS (SELECT system AS top FROM (SELECT unnest(systems) AS system FROM d) GROUP BY system ORDER BY count(*) DESC, system LIMIT 1),
+@query(_D.replace("FROM v WHERE", "FROM u WHERE").replace(", d AS", ", u AS (SELECT * FROM v WHERE (item + model) % 7 <> 0), d AS") + """, top AS (SELECT system AS top FROM (SELECT unnest(systems) AS system FROM d) GROUP BY system ORDER BY count(*) DESC, system LIMIT 1),
 i AS (SELECT item, top FROM d, top WHERE list_contains(systems, top)),
-p AS (SELECT v.item, model, bool_and(outcome <> 'Correct') AS w FROM v JOIN i ON v.item = i.item WHERE model <> top GROUP BY ALL),
-e AS (SELECT item, bool_and(w) AS a, bool_or(w) AS s FROM p GROUP BY ALL)
-SELECT CASE WHEN coalesce(a, true) THEN 'all wrong' WHEN NOT s THEN 'none wrong' ELSE 'mixed' END AS verdict, count(*) AS n_items FROM i LEFT JOIN e ON i.item = e.item GROUP BY ALL""")
+o AS (SELECT i.item, m.model, coalesce((SELECT bool_and(outcome <> 'Correct') FROM u WHERE u.item = i.item AND u.model = m.model), true) AS w FROM i, (SELECT DISTINCT model FROM u) m WHERE m.model <> i.top),
+e AS (SELECT item, bool_and(w) AS a, bool_or(w) AS s FROM o GROUP BY ALL)
+SELECT CASE WHEN a THEN 'all wrong' WHEN NOT s THEN 'none wrong' ELSE 'mixed' END AS verdict, count(*) AS n_items FROM e GROUP BY ALL""")
 def decline_cross_reference(spark, sf_dir):
-    rows = eval_rows(spark, sf_dir)
+    """A seventh of the (item, system) pairs has no rows: such a system counts as wrong on the item."""
+    rows = eval_rows(spark, sf_dir).filter("(item + model) % 7 <> 0")
     return declines.cross_reference(rows, declines.declined_by(rows, "item", "model"), "item", "model")
 
 
@@ -192,8 +193,8 @@ def coverage(spark, sf_dir):
 
 @query("""WITH p AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n) FILTER (a = b) / sum(n) AS po,
 (sum(n) FILTER (a = 0)) / sum(n) * ((sum(n) FILTER (b = 0)) / sum(n)) + (sum(n) FILTER (a = 1)) / sum(n) * ((sum(n) FILTER (b = 1)) / sum(n)) AS pe FROM p)
-SELECT n::BIGINT AS n, round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) < 0 THEN 'poor' WHEN (po - pe) / (1 - pe) <= 0.2 THEN 'slight'
-WHEN (po - pe) / (1 - pe) <= 0.4 THEN 'fair' WHEN (po - pe) / (1 - pe) <= 0.6 THEN 'moderate' WHEN (po - pe) / (1 - pe) <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM t""")
+SELECT n::BIGINT AS n, round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) >= 0.8 THEN 'Almost perfect' WHEN (po - pe) / (1 - pe) >= 0.6 THEN 'Substantial'
+WHEN (po - pe) / (1 - pe) >= 0.4 THEN 'Moderate' WHEN (po - pe) / (1 - pe) >= 0.2 THEN 'Fair' ELSE 'Slight' END AS band FROM t""")
 def annotator_kappa(spark, sf_dir):
     return _rounded(agreement.kappa(_table(spark, sf_dir, "labels"), "quality", "toxic", [0, 1]))
 
@@ -266,14 +267,3 @@ def latency_and_cost(spark, sf_dir):
     return _rounded(responses.latency_and_cost(rows, prices))
 
 
-@query()
-def accuracy_bootstrap(spark, sf_dir):
-    rows = eval_rows(spark, sf_dir).filter("model = 0 and cond = 0")
-    patterns = rows.groupBy((F.col("outcome") == "Correct").alias("ok")).agg(F.count("*").alias("n"))
-    return bootstrap.interval(bootstrap.bootstrap(patterns, "n", bootstrap.accuracy_and_f1), 5000)
-
-
-@query()
-def macro_f1_bootstrap(spark, sf_dir):
-    rows = outcomes.confusion(eval_rows(spark, sf_dir).filter("model = 0 and cond = 0"), CELL).select("truth", "seen", "n")
-    return bootstrap.interval(bootstrap.bootstrap(rows, "n", bootstrap.macro_f1), 5000)

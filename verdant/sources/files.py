@@ -8,11 +8,22 @@ from pyspark.sql import types as T
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str]) -> DataFrame:
-    """One row per element of the files' arrays; required columns must be in the schema."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    if missing := [c for c in required if c not in df.columns]:
-        raise ValueError(f"no such columns: {missing}")
-    return df
+    """One row per object of the files' arrays (S1). A file that is no list of objects, or an object without a required field, is an error.
+
+    The fields are looked for in the data by one pass over the parsed elements; a field that is there and null is fine.
+    """
+    files = spark.read.option("wholetext", True).text(path)
+    array = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    each = files.select(F.explode_outer(F.coalesce(array, F.array(F.lit(None).cast("variant")))).alias("v"))
+    keys = F.json_object_keys(F.to_json("v"))
+    lacking = [F.count_if(~F.coalesce(F.array_contains(keys, c), F.lit(False))).alias(c) for c in required]
+    broken, *counts = each.agg(F.count_if(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")), *lacking).first()
+    empty = files.filter(F.regexp_like("value", F.lit(r"^\s*\[\s*\]\s*$"))).count()
+    if broken > empty:
+        raise ValueError(f"{path}: not a list of objects")
+    if missing := [c for c, n in zip(required, counts) if n > empty]:
+        raise ValueError(f"{path}: objects without {missing}")
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_feed_pages(spark: SparkSession, path: str, record: T.StructType, array: str = "vulnerabilities", field: str = "cve") -> DataFrame:
@@ -52,6 +63,11 @@ def write_csv(df: DataFrame, path: str, null: str = "<NULL>") -> None:
     df.withColumns(arrays).write.mode("overwrite").option("header", True).option("nullValue", null).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One object a line, nulls written, nested columns kept: results and details."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows to a table."""
     df.write.mode("append").parquet(path)
