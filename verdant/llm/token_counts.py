@@ -35,6 +35,8 @@ LIMIT, TABLE, PER_PARTITION, CACHE, SAMPLE = 1024, 32_768, 8_192, 400_000, 16
 #: Fixed value: how the vocabulary's library splits a text before it merges bytes.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _split = regex.compile(PRE_TOKEN).findall
+#: Runs of characters that need a look: all but ASCII and Latin letters that have been in Unicode from the start.
+_unusual = regex.compile(r"[^\t\n\r\x20-\x7E\u00A1-\u00AC\u00AE-\u017F]+").findall
 #: Beyond it every character counts as uncertain.
 _LAST = 0x30000
 
@@ -48,44 +50,43 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _ranges(codes: list[int]) -> str:
-    """A character class of these code points."""
-    out, begin = [], None
-    for c, after in zip(codes, [*codes[1:], None]):
-        begin = c if begin is None else begin
-        if after != c + 1:
-            out.append(f"\\U{begin:08x}-\\U{c:08x}")
-            begin = None
-    return "[" + "".join(out) + "]"
-
-
 @functools.lru_cache(maxsize=1)
-def uncertain():
-    """A search for characters that may be white space or not, and the runs between spaces with a character of uncertain class."""
+def uncertain() -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that may be white space or not, and those of uncertain class."""
 
     def kind(category: str) -> str:
         return category[0] if category[0] in "LN" else "space" if category[0] == "Z" else "other"
 
     spaces, classes = [], []
-    for c in range(_LAST):
-        old, now = (u.category(chr(c)) for u in (unicodedata.ucd_3_2_0, unicodedata))
-        if c in (9, 10, 13):
+    for c in map(chr, range(_LAST)):
+        old, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+        if c in "\t\n\r":
             continue
-        if "Z" in (old[0], now[0]) and old[0] != now[0] or now in ("Cc", "Zl", "Zp") or c in (0x200B, 0x180E, 0xFEFF):
+        if "Z" in (old[0], now[0]) and old[0] != now[0] or now in ("Cc", "Zl", "Zp") or c in "\u200b\u180e\ufeff":
             spaces.append(c)
         elif kind(old) != kind(now) or now == "Cn":
             classes.append(c)
-    classes += range(_LAST, 0x110000)
-    return regex.compile(_ranges(spaces)).search, regex.compile(_ranges(classes)).search, regex.compile(rf" ?[^\s]*{_ranges(classes)}[^\s]*")
+    return frozenset(spaces), frozenset(classes)
+
 
+@functools.lru_cache(maxsize=4096)
+def _runs_with(characters: str):
+    return regex.compile(rf" ?[^\s]*[{regex.escape(characters, special_only=False)}][^\s]*").finditer
 
-def pieces(text: str) -> list[str]:
-    """The pre-tokens of a text; runs with a character of uncertain class in one piece."""
-    _, search, runs = uncertain()
-    if text.isascii() or search(text) is None:
+
+def pieces(text: str) -> list[str] | None:
+    """The pre-tokens of a text, runs with a character of uncertain class in one piece; None if only the library may split it."""
+    odd = set().union(*_unusual(text))
+    if not odd:
+        return _split(text)
+    spaces, classes = uncertain()
+    if not odd.isdisjoint(spaces):
+        return None
+    doubtful = "".join(sorted(c for c in odd if c in classes or ord(c) >= _LAST))
+    if not doubtful:
         return _split(text)
     out, at = [], 0
-    for m in runs.finditer(text):
+    for m in _runs_with(doubtful)(text):
         before = text[at : m.start()]
         if before and before[-1].isspace() and m[0][0] != " ":
             out += _split(before + "x")[:-1]  # white space before a word, not at the end
@@ -110,9 +111,9 @@ def lengths(name: str, parts: list[str]) -> list[int]:
     return [len(e.ids) for e in library(name)[0].encode_batch(parts, add_special_tokens=False)]
 
 
-def whole(text: str, special: list[str]) -> bool:
-    """Whether only the library may split this text."""
-    return uncertain()[0](text) is not None or any(s in text for s in special)
+def looked_up(text: str, special: list[str]) -> list[str] | None:
+    """What to look up for a text; None if only the library may split it."""
+    return None if any(s in text for s in special) else pieces(text)
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in tx.chunks(batches):
         for text in chunk["text"].to_pylist():
             if text:
-                seen.update(pieces(text))
+                seen.update(pieces(text) or ())
         if len(seen) > 20 * PER_PARTITION:
             seen = Counter(dict(seen.most_common(10 * PER_PARTITION)))
     top = seen.most_common(PER_PARTITION)
@@ -144,10 +145,11 @@ def _count(name: str, table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             texts = chunk["text"].to_pylist()
             total, own, new = [0] * len(texts), {}, {}
             for i, text in enumerate(texts):
-                if not text or whole(text, special):
-                    total[i] = lengths(name, [text])[0] if text else 0
+                parts = looked_up(text, special) if text else []
+                if parts is None:
+                    total[i] = lengths(name, [text])[0]
                     continue
-                own[i] = parts = pieces(text)
+                own[i] = parts
                 new.update((p, 0) for p in set(parts) if p not in first and p not in second)
             missing = list(new)
             for at in range(0, len(missing), 5000):
