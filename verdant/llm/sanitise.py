@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
-from verdant.llm._shared import ID, KEY, TH, Scratch, keyed
+from verdant.llm._shared import ID, KEY, TH, Scratch, key_filter, keyed, let_through, partitions
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, MIN_TOGETHER, DISCLOSURE, SECRET_BITS = 4, 1, 0.8, 3.0
@@ -181,20 +181,16 @@ def _terms(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     """term, n: the partition's documents that have each wanted term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
-        mask = len(bits) - 1
         memo: dict[str, int] = {}
         total: dict[int, int] = {}
         for chunk in tx.chunks(batches):
-            for text in chunk["text"].to_pylist():
-                for word in set((text or "").split()):
-                    h = memo.get(word)
-                    if h is None:
-                        t = term(word)
-                        h = hash64(t) if t else 0
-                        h = memo[word] = h if t and bits[h & mask] else 0
-                    if h:
-                        total[h] = total.get(h, 0) + 1
+            texts = [set((t or "").split()) for t in chunk["text"].to_pylist()]
+            new = {w: hash64(t) for w in set().union(*texts) if w not in memo and (t := term(w))}
+            keep = let_through(wanted.value, np.array(list(new.values()), np.int64))
+            memo.update(zip(new, (h if k else 0 for h, k in zip(new.values(), keep.tolist()))))
+            for own in texts:
+                for h in {memo.get(w, 0) for w in own} - {0}:
+                    total[h] = total.get(h, 0) + 1
             if len(memo) > 300_000:
                 memo.clear()
             if len(total) > 300_000:
@@ -208,27 +204,15 @@ def _terms(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def _bitmap(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << bits, bool)
-        for batch in batches:
-            out[batch["term"].to_numpy() & ((1 << bits) - 1)] = True
-        yield pa.RecordBatch.from_arrays([tx.binary([pa.compress(np.packbits(out).tobytes(), codec="zstd", asbytes=True)])], ["bits"])
-
-    return run
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
     """entity, term: the pairs over the disclosure threshold, from counts over all documents."""
-    spark, bits = docs.sparkSession, 22
+    spark = docs.sparkSession
     near = found.select(*KEY, F.explode("contexts").alias("c")).select(*KEY, "c.entity", "c.term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_together)
     entities = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a filter of half a MB lets the pass over all texts drop words that no pair has; the join is exact
-    wanted = np.zeros((1 << bits) // 8, np.uint8)
-    for r in pairs.select("term").mapInArrow(_bitmap(bits), "bits binary").toLocalIterator():
-        wanted |= np.frombuffer(pa.decompress(bytes(r["bits"]), len(wanted), codec="zstd", asbytes=True), np.uint8)
-    terms = docs.select("text").mapInArrow(_terms(spark.sparkContext.broadcast(wanted.tobytes())), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # a filter of fixed size lets the pass over all texts drop words that no pair has; the join is exact
+    wanted = key_filter(pairs.select(F.col("term").alias("key")).distinct(), partitions(spark))
+    terms = docs.select("text").mapInArrow(_terms(spark.sparkContext.broadcast(wanted)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = float(docs.count())
     scored = pairs.join(entities, "entity").join(terms, "term")
     pmi = F.log2(F.lit(n) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
