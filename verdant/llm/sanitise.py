@@ -34,6 +34,7 @@ from verdant.llm._shared import ID, KEY, TH, Scratch, key_filter, keyed, let_thr
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, MIN_TOGETHER, DISCLOSURE, SECRET_BITS = 4, 1, 0.8, 3.0
+SAMPLED = 16  # of so many documents one is looked at first, to leave out terms that are surely too common
 
 # The patterns that the results are defined by. The first two are applied from where
 # their leftmost match must begin, which is the same and takes linear time.
@@ -46,6 +47,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NAMED_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([^\s\"',;]{6,})")
 DENSE_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _not_local = re.compile(r"[^A-Za-z0-9._%+-]")
+_other_space = re.compile(r"[\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")  # str.split() cuts there, WORD does not
 _digits = str.maketrans("", "", " ()-.+")
 
 
@@ -177,6 +179,10 @@ def _before(text: str, at: int, n: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text) if _other_space.search(text) else text.split()
+
+
 def _terms(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """term, n: the partition's documents that have each wanted term."""
 
@@ -184,7 +190,7 @@ def _terms(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         memo: dict[str, int] = {}
         total: dict[int, int] = {}
         for chunk in tx.chunks(batches):
-            texts = [set((t or "").split()) for t in chunk["text"].to_pylist()]
+            texts = [set(words_of(t or "")) for t in chunk["text"].to_pylist()]
             new = {w: hash64(t) for w in set().union(*texts) if w not in memo and (t := term(w))}
             keep = let_through(wanted.value, np.array(list(new.values()), np.int64))
             memo.update(zip(new, (h if k else 0 for h, k in zip(new.values(), keep.tolist()))))
@@ -204,26 +210,44 @@ def _terms(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return run
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term: the pairs over the disclosure threshold, from counts over all documents."""
+def _documents_with(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """term, n_term: how many of docs have each term of the table. A filter of fixed size lets the pass over
+    the texts drop other words; what it lets through by mistake goes when the caller joins."""
     spark = docs.sparkSession
+    wanted = key_filter(terms.select(F.col("term").alias("key")), partitions(spark))
+    counts = docs.select("text").mapInArrow(_terms(spark.sparkContext.broadcast(wanted)), "term long, n long")
+    return counts.groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
+    """entity, term: the pairs over the disclosure threshold, from counts over all documents.
+
+    The threshold allows a pair at most n(t, e) (n / n(e)) ** (1 - disclosure) documents with the term, few
+    where the entity is met once. So a term goes before the pass over all texts if it is already near
+    entities in more documents than any of its pairs allows, or is in more of one document in SAMPLED:
+    such counts are never above n(t), so no pair over the threshold is lost.
+    """
+    n = float(docs.count())
     near = found.select(*KEY, F.explode("contexts").alias("c")).select(*KEY, "c.entity", "c.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_together)
     entities = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # a filter of fixed size lets the pass over all texts drop words that no pair has; the join is exact
-    wanted = key_filter(pairs.select(F.col("term").alias("key")).distinct(), partitions(spark))
-    terms = docs.select("text").mapInArrow(_terms(spark.sparkContext.broadcast(wanted)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n = float(docs.count())
-    scored = pairs.join(entities, "entity").join(terms, "term")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_together)
+    allowed = F.col("together") * F.pow(F.lit(n) / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    pairs = scratch.write(pairs.join(entities.filter(F.col("n_entity") < n), "entity").withColumn("allowed", allowed), "pairs")
+    beside = near.select(*KEY, "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    rare = pairs.groupBy("term").agg(F.max("allowed").alias("allowed")).join(beside, "term").filter("n_near <= allowed").select("term", "allowed")
+    rare = scratch.write(rare, "terms")
+    seen = _documents_with(rare, docs.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(SAMPLED)) == 0))
+    rare = scratch.write(rare.join(seen, "term", "left").filter(F.coalesce("n_term", F.lit(0)) <= F.col("allowed")).select("term"), "rare_terms")
+    scored = pairs.join(_documents_with(rare, docs).join(rare, "term"), "term")
     pmi = F.log2(F.lit(n) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
-    return scored.filter(pmi >= disclosure * F.log2(F.lit(n) / F.col("n_entity"))).filter(F.col("n_entity") < n).select("entity", "term")
+    return scored.filter(pmi >= disclosure * F.log2(F.lit(n) / F.col("n_entity"))).select("entity", "term")
 
 
 def sanitise(docs: DataFrame, scratch: Scratch | None = None, context: int = CONTEXT, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, KEY, counts per kind, n_secrets, n_terms, n_spans, base (described base spans), spans (base, secrets, terms): a row per document row."""
     scratch = scratch or Scratch(docs.sparkSession, "sanitise")
     found = scratch.write(keyed(docs, "doc_id", "text").mapInArrow(_find(context), _SCHEMA), "found")
-    chosen = disclosing_terms(docs, found, min_together, disclosure)
+    chosen = disclosing_terms(docs, found, scratch, min_together, disclosure)
     each = found.filter("size(contexts) > 0").select(*KEY, F.explode("contexts").alias("c")).select(*KEY, "c.*")
     added = each.join(chosen, ["entity", "term"], "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("added"))
     terms = F.expr("array_join(transform(added, s -> concat('term:', s.begin, ':', s.end)), ',')")
