@@ -239,6 +239,35 @@ def test_base_spans_against_plain_patterns():
         assert sanitise.base_spans(text) == [[m.span() for m in p.finditer(text) if valid(k, m[0])] for k, p in BASE.items()], text
 
 
+def plain_terms(texts, context=4, disclosure=0.8):
+    """Spans of disclosing terms by text, from counts of pairs of a term and an address."""
+    words = [[(m[0], *m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    plain = [{sanitise.term(w) for w, _, _ in own} for own in words]
+    near = [{(own[at][0], sanitise.term(w), a, b) for at in range(len(own)) if "@" in own[at][0] for w, a, b in own[max(0, at - context) : at + context + 1] if "@" not in w} for own in words]
+    n, entities, together = len(texts), Counter(), Counter()
+    for own in near:
+        entities.update({e for e, *_ in own})
+        together.update({(e, t) for e, t, _, _ in own})
+    terms = Counter(t for own in plain for t in own)
+    reveals = {(e, t) for (e, t), k in together.items() if np.log2(n * k / (terms[t] * entities[e])) >= disclosure * np.log2(n / entities[e])}
+    return [[f"term:{a}:{b}" for a, b in sorted({(a, b) for e, t, a, b in own if (e, t) in reveals})] for own in near]
+
+
+def test_terms_against_plain_counts(spark):
+    rnd = random.Random(17)
+    vocabulary = [f"w{i}\xa0x" if i % 9 == 4 else f"w{i}" for i in range(9000)]
+    texts = []
+    for i in range(487):
+        own = [vocabulary[int(9000 * rnd.random() ** 2)] for _ in range(rnd.randint(12, 60))]
+        if i % 3 == 0:
+            own.insert(rnd.randrange(len(own)), f"p{rnd.randrange(90)}@mail.org")
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("term:")] for r in sanitise.sanitise(frame(spark, list(enumerate(texts)))).collect()}
+    want = plain_terms(texts)
+    assert sum(map(len, want)) > 100 and any("\xa0" in texts[i][int(a) : int(b)] for i, own in enumerate(want) for _, a, b in (x.split(":") for x in own))
+    assert got == dict(enumerate(want))
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
