@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,7 @@ from verdant.llm._shared import ID, KEY, TH, Scratch, key_filter, keyed, let_thr
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, MIN_TOGETHER, DISCLOSURE, SECRET_BITS = 4, 1, 0.8, 3.0
+MANY = 64  # spans of a text, from which its words are found once
 SAMPLED = 16  # of so many documents one is looked at first, to leave out terms that are surely too common
 
 # The patterns that the results are defined by. The first two are applied from where
@@ -78,7 +80,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans (code points, end exclusive) by kind, as KINDS lists them."""
     out: list[list[tuple[int, int]]] = [list(emails(text)) if "@" in text else [], [], [], []]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(own := p.lstrip("0") or "0") <= 3 and int(own) <= 255 for p in m[0].split(".")):
             out[1].append(m.span())
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -92,6 +94,24 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+class Ranges:
+    """Ranges that may overlap, for quick questions whether another one meets any."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(ranges):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+
 def bits_a_character(text: str) -> float:
     n = len(text)
     return -sum(k / n * math.log2(k / n) for k in Counter(text).values())
@@ -105,8 +125,9 @@ def secret_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
         if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and bits_a_character(run) >= SECRET_BITS:
             found.append(m.span())
     out: list[tuple[int, int]] = []
+    other = Ranges(taken)
     for a, b in sorted(found):
-        if all(b <= x or a >= y for x, y in [*taken, *out[-1:]]):
+        if not other.meets(a, b) and (not out or a >= out[-1][1]):
             out.append((a, b))
     return out
 
@@ -142,11 +163,13 @@ def _find(context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 secrets.append(described(more))
                 n_secrets.append(len(more))
                 spans += more
-                near = []
+                near, taken = [], Ranges([(a, b) for _, a, b in spans])
+                words = [m.span() for m in WORD.finditer(text)] if len(spans) > MANY else None
                 for kind, a, b in spans:
                     entity = hash64(f"{kind}:{text[a:b].lower()}")
-                    for word in [*_before(text, a, context), *_after(text, b, context)]:
-                        if all(word[1] <= x or word[0] >= y for _, x, y in spans) and (t := term(text[word[0] : word[1]])):
+                    around = [*_before(text, a, context), *_after(text, b, context)] if words is None else _around(words, a, b, context)
+                    for word in around:
+                        if not taken.meets(*word) and (t := term(text[word[0] : word[1]])):
                             near.append({"entity": entity, "term": hash64(t), "begin": word[0], "end": word[1]})
                 contexts.append(near)
             yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk[ID], chunk[TH], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(secrets, pa.string()), pa.array(n_secrets, pa.int64()), pa.array(contexts, _CONTEXTS)], ["doc_id", *KEY, *(f"n_{k}" for k in KINDS), "base", "secrets", "n_secrets", "contexts"])
@@ -179,6 +202,18 @@ def _before(text: str, at: int, n: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _around(words: list[tuple[int, int]], a: int, b: int, n: int) -> list[tuple[int, int]]:
+    """The same from all words of a text, for texts with many spans, whose words may be as long as the text."""
+    before = words[max(0, (i := bisect_left(words, (a, 0))) - n) : i]
+    j = bisect_right(words, b, key=lambda w: w[1])
+    after = words[j : j + n]
+    if before and before[-1][1] > a:
+        before[-1] = (before[-1][0], a)
+    if after and after[0][0] < b:
+        after[0] = (b, after[0][1])
+    return before + after
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text) if _other_space.search(text) else text.split()
 
