@@ -71,9 +71,9 @@ class Additive:
         if len(np.unique(y)) < 2:
             return self
         n, k = x.shape
-        self.edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(k)]
+        self.edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS - 3)[1:-1])) for i in range(k)]
         # a defect of a few rows must not vanish between quantiles: ends of the range get bins too
-        self.edges = [np.unique(np.r_[e, np.quantile(x[:, i], [0.002, 0.01, 0.99, 0.998])])[: BINS - 1] for i, e in enumerate(self.edges)]
+        self.edges = [np.unique(np.r_[e, np.quantile(x[:, i], [0.002, 0.01, 0.99, 0.998])]) for i, e in enumerate(self.edges)]
         codes = self.codes(x)
         self.main = [np.zeros(BINS) for _ in range(k)]
         self.base = float(np.log(y.mean() / (1 - y.mean())))
@@ -168,7 +168,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, scratch: Scratch | No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality-gam")
     table = scratch.write(docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES)), "features")
-    rows = table.join(F.broadcast(training_rows(labels, "quality", folds, held_out)), "doc_id").dropDuplicates(["doc_id"]).select(*FEATURES, "y").toArrow()  # of at most MOST_ROWS training rows
+    rows = table.join(F.broadcast(training_rows(labels, "quality", folds, held_out)), "doc_id")
+    # of several texts of one doc_id the one with the least features
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "y")).alias("r")).select("r.*").toArrow()  # of at most MOST_ROWS training rows
     x = np.stack([rows[c].to_numpy() for c in FEATURES], axis=1)
     order = np.lexsort(x.T)  # the same model whatever order the rows came in
     model = Additive(len(FEATURES)).fit(x[order], rows["y"].to_numpy()[order].astype(float))
