@@ -126,36 +126,48 @@ class Automaton:
         return self.verdict[state]
 
 
-def inside_quotes(line: str, begin: int, end: int) -> bool:
-    """Whether an odd number of quotation marks stands before the place in its line, and another after it."""
-    before = sum(c in QUOTES for c in line[:begin])
-    return before % 2 == 1 and any(c in QUOTES for c in line[end:])
+def quoted_words(raw: list[str], at: list[int], reporting: frozenset[str]) -> list[bool]:
+    """Whether the words at some places of a line are quoted.
+
+    So they are where an odd number of quotation marks stands before the word in its line and another after it
+    (marks at its own ends count as outside), or where a reporting word is within CONTEXT words.
+    """
+    near = np.concatenate([[0], np.cumsum([word_of(w) in reporting for w in raw])])
+    marks = np.concatenate([[0], np.cumsum([sum(c in QUOTES for c in w) for w in raw])])
+    out = []
+    for i in at:
+        w = raw[i]
+        core = w.strip(STRIP)
+        left = sum(c in QUOTES for c in w[: len(w) - len(w.lstrip(STRIP))])
+        inner = sum(c in QUOTES for c in core)
+        before = int(marks[i]) + left
+        said = near[min(len(raw), i + CONTEXT + 1)] > near[max(0, i - CONTEXT)]
+        out.append(bool(said or before % 2 == 1 and marks[-1] > before + inner))
+    return out
 
 
 def hit_features(text: str, seen: dict[str, int], automaton: Automaton, reporting: frozenset[str]) -> list[float]:
     out, n_words, hits = dict.fromkeys(FEATURES, 0.0), 0, []
     for line in text.split("\n"):
-        raw = line.split()
+        raw, own_hits = line.split(), []
         for i, w in enumerate(raw):
             d = seen.get(w)
             if d is None:
                 own = word_of(w)
                 d = seen[w] = automaton.distance(own) if own else -1
             if d >= 0:
-                hits.append((n_words + i, d, line, raw, i))
+                own_hits.append((i, d))
+        if own_hits:
+            hits += [(n_words + i, d, q) for (i, d), q in zip(own_hits, quoted_words(raw, [i for i, _ in own_hits], reporting))]
         n_words += len(raw)
     plain = []
-    for at, d, line, raw, i in hits:
-        # the place of word i in its line, quotation marks at the word's own ends outside it
-        begin = len(" ".join(raw[:i])) + (i > 0) + len(raw[i]) - len(raw[i].lstrip(STRIP))
-        quoted = inside_quotes(" ".join(raw), begin, begin + len(raw[i].strip(STRIP))) if any(q in line for q in QUOTES) else False
-        quoted = quoted or any(word_of(w) in reporting for w in raw[max(0, i - CONTEXT) : i + CONTEXT + 1])
+    for at, d, quoted in hits:
         out[("exact" if d == 0 else "near") if not quoted else ("quoted" if d == 0 else "near_quoted")] += 1.0
         if d == 0 and not quoted:
             plain.append(at)
     if not hits:
         return [0.0] * len(FEATURES)
-    dense = max((sum(1 for j in plain[k : k + 20] if j < i + WINDOW) for k, i in enumerate(plain)), default=0)
+    dense = int((np.searchsorted(plain, np.array(plain) + WINDOW) - np.arange(len(plain))).max(initial=0))
     out = {k: float(np.log1p(v)) for k, v in out.items()}
     out["dense"], out["rate"] = float(np.log1p(dense)), len(plain) / n_words
     return [out[k] for k in FEATURES]
@@ -258,7 +270,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, lexicon: list[str] | None = None, reporting: dict[str, str] = REPORTING) -> DataFrame:
     """doc_id, score of every document row; texts are not shuffled, but for the bounded training rows."""
     train = F.broadcast(training_rows(labels, "toxic", folds, held_out))
-    labelled = docs.join(train, "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    labelled = docs.join(train, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("y").alias("y"))  # of several texts of one doc_id, that of the least hash
     lexicon = learn_lexicon(labelled.select("text", "y")) if lexicon is None else lexicon
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in FEATURES)
     features = _features(lexicon, reporting_words(reporting))
