@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm import _text as tx
 
-LIMIT, TABLE, PER_PARTITION, CACHE, SAMPLE = 1024, 32_768, 8_192, 400_000, 16
+LIMIT, TABLE, PER_PARTITION, CACHE, CACHED_CHARS, SAMPLE = 1024, 32_768, 8_192, 400_000, 64, 16
 #: Fixed value: how the vocabulary's library splits a text before it merges bytes.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _split = regex.compile(PRE_TOKEN).findall
@@ -69,9 +69,22 @@ def uncertain() -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(spaces), frozenset(classes)
 
 
+_next_space, _last_space = regex.compile(r"\s").search, regex.compile(r"(?r)\s").search
+
+
 @functools.lru_cache(maxsize=4096)
-def _runs_with(characters: str):
-    return regex.compile(rf" ?[^\s]*[{regex.escape(characters, special_only=False)}][^\s]*").finditer
+def _any_of(characters: str):
+    return regex.compile(f"[{regex.escape(characters, special_only=False)}]").search
+
+
+def _runs_with(characters: str, text: str) -> Iterator[tuple[int, int]]:
+    """Runs without white space that have any of the characters, and the space before; each place is looked at once."""
+    end = 0
+    while found := _any_of(characters)(text, end):
+        before, after = _last_space(text, end, found.start()), _next_space(text, found.end())
+        begin = end if before is None else before.start() if before[0] == " " else before.end()
+        end = after.start() if after else len(text)
+        yield begin, end
 
 
 def pieces(text: str) -> list[str] | None:
@@ -86,14 +99,14 @@ def pieces(text: str) -> list[str] | None:
     if not doubtful:
         return _split(text)
     out, at = [], 0
-    for m in _runs_with(doubtful)(text):
-        before = text[at : m.start()]
-        if before and before[-1].isspace() and m[0][0] != " ":
+    for begin, end in _runs_with(doubtful, text):
+        before = text[at:begin]
+        if before and before[-1].isspace() and text[begin] != " ":
             out += _split(before + "x")[:-1]  # white space before a word, not at the end
         elif before:
             out += _split(before)
-        out.append(m[0])
-        at = m.end()
+        out.append(text[begin:end])
+        at = end
     return out + _split(text[at:])
 
 
@@ -158,6 +171,9 @@ def _count(name: str, table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             second.update(new)
             for i, parts in own.items():
                 total[i] = sum(map(both.__getitem__, parts))
+            for p in missing:
+                if len(p) > CACHED_CHARS:
+                    del second[p]
             if len(second) > CACHE:
                 second.clear()
             size = pc.fill_null(pc.binary_length(chunk["text"]), 0).cast(pa.int64())
