@@ -19,6 +19,7 @@ of their own. Ties do not arise: counts only.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from verdant.llm import _text as tx
 from verdant.llm._shared import ID, KEY, TH, Scratch, key_filter, keyed, let_through, partitions
 
 MIN_CHARS, MIN_DOCS, LEAST_SHARDS, KEYS_A_SHARD = 1, 10, 16, 200_000
-SLOTS, MOST_FILTER_BYTES, SALTS = 4, 64 << 20, 8
+SLOTS, MOST_FILTER_BYTES, SALTS, KEYS_A_TASK = 4, 64 << 20, 8, 1_000_000
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -156,11 +157,13 @@ def _counted(repeated, least: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def reference_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def reference_counts(docs: DataFrame, min_chars: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """line, refs: in how many documents each line key stands. Counts are combined before they are shuffled."""
     spark = docs.sparkSession
-    repeated = keyed(docs).groupBy(*KEY).count().filter("count > 1").select(F.col(ID).alias("key"))
-    rows = keyed(docs, "text").mapInArrow(_counted(spark.sparkContext.broadcast(key_filter(repeated, 1)), min_chars), f"{ID} long, {TH} int, line binary")
+    scratch = scratch or Scratch(spark, "line-counts")
+    repeated = scratch.write(keyed(docs).groupBy(*KEY).count().filter("count > 1").select(F.col(ID).alias("key")), f"repeated-{uuid.uuid4().hex}")
+    tasks = min(partitions(spark), -(-repeated.count() // KEYS_A_TASK)) or 1  # each sends a whole bitmap
+    rows = keyed(docs, "text").mapInArrow(_counted(spark.sparkContext.broadcast(key_filter(repeated, tasks)), min_chars), f"{ID} long, {TH} int, line binary")
     each = rows.groupBy("line", *KEY).agg(F.count("*").alias("n"))
     return each.groupBy("line").agg(F.sum(F.when(F.col(ID).isNull(), F.col("n")).otherwise(1)).alias("refs"))
 
@@ -263,14 +266,16 @@ def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineIndex:
     """Reference counts, members and filters of a set of documents, as tables in the shared folder.
 
-    Each change writes new tables beside the old ones, which go afterwards; so a change that fails leaves
-    the index as it was. The number of shards is set by the first insertion.
+    Each change writes new tables beside the old ones and takes them over together when all are written; so a
+    change that fails leaves the index as it was and can be repeated. Shards are as many as the first insertion
+    needs; when the keys need over twice as many, all filters are built again. Before any insertion all is empty.
     """
 
     def __init__(self, spark: SparkSession, scratch: Scratch | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS):
         self.spark, self.scratch, self.min_docs, self.min_chars = spark, scratch or Scratch(spark, "line-index"), min_docs, min_chars
         self.version, self.shards = 0, 0
         self.refs = self.members = self.filters = None
+        self.made: list[str] = []
 
     def insert(self, docs: DataFrame) -> None:
         """Documents that are members already are left out."""
@@ -284,45 +289,52 @@ class LineIndex:
             self._change(keyed(docs, "doc_id", "text").join(self.members, KEY, "left_semi").select("doc_id", "text"), -1)
 
     def frequent(self) -> DataFrame:
-        return self.refs.filter(F.col("refs") >= self.min_docs).select("line")
+        return self.spark.createDataFrame([], "line binary") if self.refs is None else self._often(self.refs)
+
+    def _often(self, refs: DataFrame) -> DataFrame:
+        return refs.filter(F.col("refs") >= self.min_docs).select("line")
 
     def _change(self, docs: DataFrame, sign: int) -> None:
-        change = reference_counts(docs, self.min_chars).select("line", (F.col("refs") * sign).alias("change"))
-        old = self.refs.select("line", F.col("refs").alias("before")) if self.refs is not None else None
-        both = change.withColumn("before", F.lit(0).cast("long")) if old is None else old.join(change, "line", "full").na.fill(0, ["before", "change"])
-        last, self.version = self.version, self.version + 1
-        table = self.scratch.write(both.select("line", (F.col("before") + F.col("change")).alias("refs"), "before"), f"counts-{self.version}")
+        name = f"{self.version + 1}-{uuid.uuid4().hex[:8]}"  # of this try alone
+        change = reference_counts(docs, self.min_chars, self.scratch).select("line", (F.col("refs") * sign).alias("change"))
+        both = change.withColumn("before", F.lit(0).cast("long"))
+        if self.refs is not None:
+            both = self.refs.select("line", F.col("refs").alias("before")).join(change, "line", "full").na.fill(0, ["before", "change"])
+        table = self.scratch.write(both.select("line", (F.col("before") + F.col("change")).alias("refs"), "before"), f"counts-{name}")
         keys = keyed(docs).distinct()
         if self.members is not None:
             keys = self.members.union(keys) if sign > 0 else self.members.join(keys, KEY, "left_anti")
-        members = self.scratch.write(keys, f"members-{self.version}")
-        self.refs = table.filter("refs > 0").select("line", "refs")
-        if old is None:
-            self.shards = max(LEAST_SHARDS, -(-self.frequent().count() // KEYS_A_SHARD))
-        self.filters = self._new_filters(table)
-        self.members = members
-        if last:
-            self.scratch.drop(*(f"{x}-{last}" for x in ("counts", "members", "filters", "rebuilt")))
-
-    def _new_filters(self, table: DataFrame) -> DataFrame:
-        was, now = F.col("before") >= self.min_docs, F.col("refs") >= self.min_docs
-        shard = _shard_column(self.shards).alias("shard")
+        members = self.scratch.write(keys, f"members-{name}")
+        refs = table.filter("refs > 0").select("line", "refs")
+        needed = max(LEAST_SHARDS, -(-self._often(refs).count() // KEYS_A_SHARD))
+        grown = needed > 2 * self.shards
+        shards = needed if grown else self.shards
+        filters = self._new_filters(table, refs, None if grown else self.filters, shards, name)
+        old, self.made = self.made, [f"{x}-{name}" for x in ("counts", "members", "filters", "rebuilt")]
+        self.version, self.refs, self.members, self.filters, self.shards = self.version + 1, refs, members, filters, shards
+        self.scratch.drop(*old)
+
+    def _new_filters(self, table: DataFrame, refs: DataFrame, old: DataFrame | None, shards: int, name: str) -> DataFrame:
+        was, now = (F.col("before") >= self.min_docs) & F.lit(old is not None), F.col("refs") >= self.min_docs
+        shard = _shard_column(shards).alias("shard")
         moved = table.filter(was != now).select(shard, F.when(now, 2).otherwise(1).alias("kind"), F.col("line").alias("value"))
-        if self.filters is not None:
-            moved = moved.union(self.filters.select("shard", F.lit(0).alias("kind"), F.col("filter").alias("value")))
+        if old is not None:
+            moved = moved.union(old.select("shard", F.lit(0).alias("kind"), F.col("filter").alias("value")))
 
         def updated(rows: DataFrame) -> DataFrame:
-            return rows.repartition(min(self.shards, partitions(self.spark)), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_changed_filters, "shard int, filter binary")
+            return rows.repartition(min(shards, partitions(self.spark)), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_changed_filters, "shard int, filter binary")
 
-        made = self.scratch.write(updated(moved), f"filters-{self.version}")
+        made = self.scratch.write(updated(moved), f"filters-{name}")
         full = made.filter("filter is null").select("shard")
         if full.isEmpty():
             return made
-        again = self.frequent().select(shard, F.lit(2).alias("kind"), F.col("line").alias("value")).join(F.broadcast(full), "shard", "left_semi")
-        return self.scratch.write(made.filter("filter is not null").union(updated(again)), f"rebuilt-{self.version}")
+        again = self._often(refs).select(shard, F.lit(2).alias("kind"), F.col("line").alias("value")).join(F.broadcast(full), "shard", "left_semi")
+        return self.scratch.write(made.filter("filter is not null").union(updated(again)), f"rebuilt-{name}")
 
     def dropped(self, docs: DataFrame, most_filter_bytes: int = MOST_FILTER_BYTES, salts: int = SALTS) -> DataFrame:
         """KEY, lines: the keys that each document must lose; documents without any are left out."""
+        if self.filters is None:
+            return keyed(docs, F.array(F.lit(b"")).alias("lines")).select(*KEY, "lines").limit(0)
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         own = keyed(docs, "text")
         if size <= most_filter_bytes:
