@@ -143,13 +143,15 @@ def test_broad_terms_and_methods(spark):
 
 
 def test_bootstrap_of_all_cells(spark):
-    rows = spark.createDataFrame([(i, c, str((i + c) % 4 > 0).lower()) for i in range(400) for c in range(2)], "item long, cell int, ok string")
-    patterns = bootstrap.item_patterns(rows, "item", ["cell"], "ok")
-    got = {r["metric"]: r for r in bootstrap.interval(bootstrap.bootstrap(patterns, "n", bootstrap.accuracies_of_cells, 1000), 1000).collect()}
-    assert set(got) == {"0 accuracy", "0 f1", "1 accuracy", "1 f1"} and 0.69 < got["0 accuracy"]["lo"] < 0.75 < got["0 accuracy"]["hi"] < 0.81
-    matrix = spark.createDataFrame([(0, "a", "a", 40), (0, "a", "b", 10), (0, "b", "b", 5), (0, "b", None, 5)], "cell int, truth string, seen string, n long")
-    own = {r["metric"]: r for r in bootstrap.cell_intervals(matrix, ["cell"], 1000).collect()}
-    assert own["f1_b"]["low_support"] and not own["f1_a"]["low_support"] and own["f1_a"]["lo"] < 2 * 40 / 90 < own["f1_a"]["hi"] and own["macro_f1_supported"]["lo"] == own["f1_a"]["lo"]
+    rows = spark.createDataFrame([(i, c, (i + c) % 4 > 0) for i in range(400) for c in range(2)], "item long, cell int, ok boolean")
+    got = {(r["cell"], r["metric"]): r for r in bootstrap.accuracy_intervals(rows, "item", ["cell"], F.col("ok"), 1000).collect()}
+    assert set(got) == {(0, "accuracy"), (0, "f1"), (1, "accuracy"), (1, "f1")} and 0.69 < got[0, "accuracy"]["lo"] < 0.75 < got[0, "accuracy"]["hi"] < 0.81
+    pairs = [("a", "a")] * 40 + [("a", "b")] * 10 + [("b", "b")] * 5 + [("b", None)] * 5
+    cells = spark.createDataFrame([(i, 0, t, s) for i, (t, s) in enumerate(pairs)], "item long, cell int, truth string, seen string")
+    own = {r["metric"]: r for r in bootstrap.cell_intervals(cells, "item", ["cell"], F.col("truth"), F.col("seen"), ["a", "b"], 1000).collect()}
+    assert own["f1_b"]["low_support"] and not own["f1_a"]["low_support"] and own["f1_a"]["lo"] < 2 * 40 / 90 < own["f1_a"]["hi"]
+    both = {r["metric"]: r for r in bootstrap.f1_intervals(cells, "item", ["cell"], F.col("truth"), F.col("seen"), ["a", "b"], ["a"], 1000).collect()}
+    assert both["macro_f1_supported"]["lo"] == both["f1_a"]["lo"]
     places = bootstrap.dense_positions(spark.createDataFrame([(i * 7,) for i in range(500)], "item long"), "item", 100)
     assert all(r["pos"] * 7 == r["item"] for r in places.collect())
 

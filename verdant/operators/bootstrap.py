@@ -1,140 +1,164 @@
-"""Bootstrap intervals from counts of outcome patterns.
+"""Bootstrap intervals by Poisson weights, from one pass over the items.
 
-Drawing n items with replacement and counting is one multinomial draw over the distinct patterns, so
-a replicate costs as much as there are patterns, whatever the number of items. Replicates are spread
-over tasks; each block of them has its own seed.
+Resampling n items with replacement and counting is, for many items, a Poisson(1) count for each item. The count
+of (item, replicate) comes from an integer hash by inverse distribution, so any engine makes the same ones, in any
+order, and no item meets another. A task keeps one row of sums a replicate and cell; items are never copied once
+for each replicate, and there may be any number of them and of outcomes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_PATTERNS, BLOCK = 100_000, 100
+REPLICATES, SEED, BLOCK, SUPPORTED_FROM = 5000, 42, 512, 20
+PRIME = (1 << 31) - 1  # of the mixing
 
 
-def bootstrap(patterns: DataFrame, n: str, statistic: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]], replicates: int = 5000, seed: int = 42) -> DataFrame:
-    """metric, replicate, value. statistic takes the patterns and a matrix of counts (replicate x pattern).
+def poisson_steps() -> list[int]:
+    """Of u in 0..PRIME - 1, where the weight becomes 1, 2, 3, ...: the distribution of Poisson(1)."""
+    out, term, total, k = [], math.exp(-1), 0.0, 0
+    while (step := round((total := total + term) * PRIME)) < PRIME:
+        out.append(step)
+        k += 1
+        term /= k
+    return out
 
-    The patterns are bounded by outcomes, not by items; more than MOST_PATTERNS are refused.
-    """
-    spark = patterns.sparkSession
-    known = patterns.limit(MOST_PATTERNS + 1).toPandas()
-    if len(known) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} outcome patterns")
-    known = known.sort_values(list(known.columns)).reset_index(drop=True)
-    sent = spark.sparkContext.broadcast(known)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sent.value
-        counts = rows[n].to_numpy(np.int64)
-        for batch in batches:
-            for block in batch["id"]:
-                size = min(BLOCK, replicates - block * BLOCK)
-                drawn = np.random.default_rng([seed, int(block)]).multinomial(counts.sum(), counts / counts.sum(), size)
-                for metric, values in statistic(rows, drawn).items():
-                    yield pd.DataFrame({"metric": metric, "replicate": block * BLOCK + np.arange(size), "value": values})
 
-    return spark.range(-(-replicates // BLOCK)).mapInPandas(draw, "metric string, replicate long, value double")
+def replicate_factors(replicates: int, seed: int) -> np.ndarray:
+    return np.array([1 + int(hashlib.md5(f"replicate {r}:{seed}".encode()).hexdigest()[:8], 16) % (PRIME - 1) for r in range(replicates)], np.int64)
 
 
-def interval(draws: DataFrame, replicates: int, level: float = 0.95, upper_exclusive: bool = True) -> DataFrame:
-    """lo and hi per metric, by sorted index (W11); upper_exclusive: the index before int(R (1 + level) / 2)."""
-    lo, hi = int(round((1 - level) / 2 * replicates, 9)), int(round((1 + level) / 2 * replicates, 9)) - (1 if upper_exclusive else 0)
-    own = draws.groupBy("metric").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return own.select("metric", F.element_at("v", lo + 1).alias("lo"), F.element_at("v", min(hi, replicates - 1) + 1).alias("hi"))
+def item_factor(item: Column, seed: int) -> Column:
+    first = F.substring(F.md5(F.concat(item.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8)
+    return 1 + F.conv(first, 16, 10).cast("long") % (PRIME - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME of numbers below 2^62, by adding the upper bits."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def weights(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Counts (item x replicate): u = m * m + 12345 for m = item * factor, modulo PRIME, against the steps."""
+    m = _reduced(items[:, None] * factors)
+    u = _reduced(m * m + 12345)
+    out = np.zeros(u.shape, np.int8)
+    for step in poisson_steps():
+        out += u >= step
+    return out
+
 
+def weights_sql(items: str, item: str, replicates: int = REPLICATES, seed: int = SEED) -> str:
+    """The same as SQL of other engines: item, r, w for the rows of a query with distinct items; weights of 0 left out."""
+    steps = " + ".join(f"(u >= {t})::TINYINT" for t in poisson_steps())
+    factor = lambda x: f"1 + ('0x' || substr(md5({x} || ':{seed}'), 1, 8))::BIGINT % {PRIME - 1}"
+    return f"""SELECT {item}, r, ({steps})::DOUBLE AS w FROM (SELECT {item}, r, (m * m + 12345) % {PRIME} AS u FROM (SELECT {item}, r, (a * c) % {PRIME} AS m
+FROM (SELECT {item}, {factor(f"{item}::VARCHAR")} AS a FROM ({items})), (SELECT r, {factor("'replicate ' || r")} AS c FROM range({replicates}) t(r)))) WHERE u >= {poisson_steps()[0]}"""
 
-def item_patterns(rows: DataFrame, item: str, cell: list[str], value: str) -> DataFrame:
-    """pattern, n: an item's values in all cells, and how many items have them, so that all cells share a draw.
 
-    A pattern is a sorted array of cell=value; an item without a row in a cell counts for nothing there.
+def _sums(cell: list[str], values: list[str], factors: np.ndarray, types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, places, total = len(values), {}, np.zeros((len(factors), 0))
+        for batch in batches:
+            rows = batch["cells"].flatten()
+            item = np.repeat(np.arange(batch.num_rows), batch["cells"].value_lengths().to_numpy())
+            keys = list(zip(*(rows.field(c).to_pylist() for c in cell))) if cell else [()] * len(rows)
+            at = np.array([places.setdefault(key, len(places)) for key in keys], np.int64)
+            total = np.pad(total, ((0, 0), (0, len(places) * k - total.shape[1])))
+            x = np.stack([rows.field(v).to_numpy(zero_copy_only=False) for v in values], axis=1).reshape(len(rows), k)
+            first = np.searchsorted(item, np.arange(batch.num_rows + 1))
+            for a in range(0, batch.num_rows, BLOCK):
+                b = min(a + BLOCK, batch.num_rows)
+                own, wide = slice(first[a], first[b]), np.zeros((b - a, len(places), k))
+                np.add.at(wide, (item[own] - a, at[own]), x[own])
+                total += weights(batch["factor"][a : b].to_numpy(), factors).T.astype(float) @ wide.reshape(b - a, -1)
+        for key, i in places.items():
+            names = [pa.array([v] * len(factors), t) for v, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(len(factors))), *(pa.array(total[:, i * k + j]) for j in range(k))], [*cell, "replicate", *values])
+
+    return run
+
+
+def replicate_sums(rows: DataFrame, item: str, cell: list[str], values: dict[str, Column], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """cell, replicate, and the sum of each value over the items as often as the replicate draws them.
+
+    An item has the same weight in all cells (B1, B3-B5), so that cells can be compared; where it has no row, or a
+    null value, it adds nothing.
     """
-    own = rows.groupBy(item).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.concat_ws("/", *cell), F.lit("="), F.coalesce(value, F.lit(""))))), "|").alias("pattern"))
-    return own.groupBy("pattern").agg(F.count("*").alias("n"))
+    each = F.struct(*cell, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
+    own = rows.groupBy(item).agg(F.collect_list(each).alias("cells")).filter(F.col(item).isNotNull()).select(item_factor(F.col(item), seed).alias("factor"), "cells")
+    types = rows.select(*cell).limit(0).toArrow().schema.types if cell else []
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cell), "replicate long", *(f"`{v}` double" for v in values)])
+    part = own.mapInArrow(_sums(cell, list(values), replicate_factors(replicates, seed), types), schema)
+    return part.groupBy(*cell, "replicate").agg(*(F.sum(v).alias(v) for v in values))
 
 
-def _by_cell(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    """The value of each pattern in each cell, None where it has none."""
-    parts = [dict(x.split("=", 1) for x in p.split("|")) for p in rows["pattern"]]
-    return {c: np.array([p.get(c) for p in parts], object) for c in sorted({c for p in parts for c in p})}
+def intervals(sums: DataFrame, cell: list[str], metrics: dict[str, Column], replicates: int = REPLICATES, level: float = 0.95, upper_exclusive: bool = True) -> DataFrame:
+    """cell, metric, lo, hi by sorted index (W11); upper_exclusive: the index before int(R (1 + level) / 2), as published for all but B1."""
+    lo, hi = int(round((1 - level) / 2 * replicates, 9)), int(round((1 + level) / 2 * replicates, 9)) - (1 if upper_exclusive else 0)
+    each = sums.select(*cell, F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics.items()))).alias("m")).select(*cell, "m.*")
+    own = each.groupBy(*cell, "metric").agg(F.sort_array(F.collect_list("value")).alias("v"))  # a value for each replicate
+    return own.select(*cell, "metric", F.element_at("v", lo + 1).alias("lo"), F.element_at("v", min(hi, replicates - 1) + 1).alias("hi"))
 
 
-def _share(drawn: np.ndarray, of: np.ndarray, among: np.ndarray) -> np.ndarray:
-    total = drawn[:, among].sum(axis=1)
-    return np.where(total > 0, drawn[:, of & among].sum(axis=1) / np.maximum(total, 1), 0.0)
+def _over(a: Column, b: Column) -> Column:
+    return F.when(b != 0, a / b).otherwise(0.0)
 
 
-def accuracies_of_cells(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
-    """Of patterns of true and false (B3): each cell's accuracy a, and 2a / (1 + a)."""
-    out = {}
-    for c, v in _by_cell(rows).items():
-        a = _share(drawn, v == "true", v != None)  # noqa: E711
-        out |= {f"{c} accuracy": a, f"{c} f1": 2 * a / (1 + a)}
-    return out
+def accuracy_intervals(rows: DataFrame, item: str, cell: list[str], ok: Column, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """Each cell's accuracy a, and 2a / (1 + a)."""
+    sums = replicate_sums(rows, item, cell, {"_ok": ok, "_n": F.lit(1)}, replicates, seed)
+    a = _over(F.col("_ok"), F.col("_n"))
+    return intervals(sums, cell, {"accuracy": a, "f1": 2 * a / (1 + a)}, replicates)
 
 
-def class_f1(truth: np.ndarray, seen: np.ndarray, drawn: np.ndarray, supported_from: int = 20, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """F1 of every class among the truths, and their mean over all and over well-supported classes."""
-    out, supported = {}, []
-    for c in sorted({t for t in truth if t}):
-        t, s = truth == c, seen == c
-        both = drawn[:, t].sum(axis=1) + drawn[:, s].sum(axis=1)
-        out[f"f1_{c}"] = np.where(both > 0, 2 * drawn[:, t & s].sum(axis=1) / np.maximum(both, 1), 0.0)
-        if counts is not None and counts[t].sum() >= supported_from:
-            supported.append(out[f"f1_{c}"])
-    all_classes = list(out.values())
-    out["macro_f1"] = np.mean(all_classes, axis=0) if all_classes else np.zeros(len(drawn))
-    if supported:
-        out["macro_f1_supported"] = np.mean(supported, axis=0)
-    return out
+def f1_intervals(rows: DataFrame, item: str, cell: list[str], truth: Column, seen: Column, classes: list[str], supported: list[str] = (), replicates: int = REPLICATES, seed: int = SEED, upper_exclusive: bool = False) -> DataFrame:
+    """F1 of each of the classes, 0 for absent ones, and its mean over them and over the supported ones (B1).
 
+    The lists are fixed beforehand, so a class that is only predicted, or missing from a draw, counts.
+    """
+    values = {}
+    for i, c in enumerate(classes):
+        t, s = F.coalesce(truth == c, F.lit(False)), F.coalesce(seen == c, F.lit(False))
+        values |= {f"_b{i}": 2 * (t & s).cast("int"), f"_a{i}": t.cast("int") + s.cast("int")}
+    sums = replicate_sums(rows, item, cell, values, replicates, seed)
+    f1 = {c: _over(F.col(f"_b{i}"), F.col(f"_a{i}")) for i, c in enumerate(classes)}
+    mean = lambda own: sum((f1[c] for c in own), F.lit(0.0)) / len(own)
+    metrics = {f"f1_{c}": v for c, v in f1.items()} | {"macro_f1": mean(classes)} | ({"macro_f1_supported": mean(supported)} if supported else {})
+    return intervals(sums, cell, metrics, replicates, upper_exclusive=upper_exclusive)
 
-def f1_of_cells(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
-    """Of patterns of truth>class, - for no class (B1)."""
-    out = {}
-    for c, v in _by_cell(rows).items():
-        pairs = [x.split(">", 1) if x else (None, None) for x in v]
-        truth, seen = (np.array([p[i] for p in pairs], object) for i in (0, 1))
-        out |= {f"{c} {k}": x for k, x in class_f1(truth, seen, drawn, counts=rows["n"].to_numpy()).items()}
-    return out
 
+def cell_intervals(rows: DataFrame, item: str, cell: list[str], truth: Column, seen: Column, classes: list[str], replicates: int = REPLICATES, seed: int = SEED, supported_from: int = SUPPORTED_FROM) -> DataFrame:
+    """The same by cells with the published upper index, and each class's support, low below a bound (B2)."""
+    out = f1_intervals(rows, item, cell, truth, seen, classes, (), replicates, seed, upper_exclusive=True)
+    n = rows.groupBy(*cell).agg(*(F.count_if(truth == c).alias(f"f1_{c}") for c in classes), F.count("*").alias("macro_f1"))
+    support = n.select(*cell, F.explode(F.create_map(*(x for k in [*(f"f1_{c}" for c in classes), "macro_f1"] for x in (F.lit(k), F.col(f"`{k}`"))))).alias("metric", "support"))
+    return out.join(support, [*cell, "metric"]).withColumn("low_support", F.col("support") < supported_from)
 
-def shares_of_cells(rows: pd.DataFrame, drawn: np.ndarray, right: str = "Correct") -> dict[str, np.ndarray]:
-    """Of patterns of categories (B4): accuracy, and each wrong category's share of the wrong ones, 0 where none is."""
-    out = {}
-    for c, v in _by_cell(rows).items():
-        there = v != None  # noqa: E711
-        out[f"{c} accuracy"] = _share(drawn, v == right, there)
-        for kind in sorted({x for x in v if x and x != right}):
-            out[f"{c} share_{kind}"] = _share(drawn, v == kind, there & (v != right))
-    return out
 
+def share_intervals(rows: DataFrame, item: str, cell: list[str], outcome: Column, categories: list[str], right: str = "Correct", replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """Accuracy, and each category's share of the wrong answers, 0 where none is (B4). The categories are fixed beforehand."""
+    values = {"_ok": (outcome == right).cast("int"), "_n": F.lit(1)} | {f"_k{i}": (outcome == c).cast("int") for i, c in enumerate(categories)}
+    sums = replicate_sums(rows, item, cell, values, replicates, seed)
+    wrong = F.col("_n") - F.col("_ok")
+    return intervals(sums, cell, {"accuracy": _over(F.col("_ok"), F.col("_n"))} | {f"share_{c}": _over(F.col(f"_k{i}"), wrong) for i, c in enumerate(categories)}, replicates)
 
-def cell_intervals(matrix: DataFrame, cell: list[str], replicates: int = 5000, seed: int = 42, supported_from: int = 20) -> DataFrame:
-    """Cell, metric, lo, hi, support, low_support: each cell drawn by itself from its confusion table (B2).
 
-    matrix: cell, truth, seen, n; a few rows a cell, whatever the number of items.
-    """
-    def draw(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["truth", "seen"], na_position="last").reset_index(drop=True)
-        counts = own["n"].to_numpy(np.int64)
-        drawn = np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), replicates)
-        truth = own["truth"].to_numpy(object)
-        out = []
-        for metric, v in class_f1(truth, own["seen"].to_numpy(object), drawn, supported_from, counts).items():
-            v = np.sort(v)
-            support = int(counts[truth == metric[3:]].sum()) if metric.startswith("f1_") else int(counts.sum())
-            out.append({**{c: own[c].iloc[0] for c in cell}, "metric": metric, "lo": v[int(0.025 * replicates)], "hi": v[int(0.975 * replicates) - 1], "support": support, "low_support": support < supported_from})
-        return pd.DataFrame(out)
-
-    types = dict(matrix.dtypes)
-    return matrix.groupBy(*cell).applyInPandas(draw, ", ".join(f"{c} {types[c]}" for c in cell) + ", metric string, lo double, hi double, support long, low_support boolean")
+def mean_intervals(items: DataFrame, item: str, mean: Column, replicates: int = REPLICATES, seed: int = SEED, upper_exclusive: bool = False) -> DataFrame:
+    """The mean of the items' own means (B5). An item without a mean is not drawn."""
+    sums = replicate_sums(items.filter(mean.isNotNull()), item, [], {"_v": mean, "_n": F.lit(1)}, replicates, seed)
+    return intervals(sums, [], {"mean": _over(F.col("_v"), F.col("_n"))}, replicates, upper_exclusive=upper_exclusive)
 
 
 def dense_positions(items: DataFrame, item: str, width: int = 10_000) -> DataFrame:
@@ -162,8 +186,3 @@ def resampled(rows: DataFrame, item: str, cell: list[str], ok: str, draws: int,
     lo, hi = int(round(0.025 * draws, 9)), int(round(0.975 * draws, 9)) - 1
     own = rates.groupBy(*cell).agg(F.sort_array(F.collect_list("v")).alias("v"))
     return own.select(*cell, F.element_at("v", lo + 1).alias("lo"), F.element_at("v", hi + 1).alias("hi"))
-
-
-def mean_of_means(rows: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
-    """Of patterns with the items' own `mean` (B5): the mean over the items drawn."""
-    return {"mean": drawn @ rows["mean"].to_numpy(float) / drawn.sum(axis=1)}

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EXACT_BELOW = 25
 
@@ -40,9 +38,29 @@ def mean_change(rates: DataFrame, system: str, condition: str, field: str, rate:
     return rates.groupBy(system).agg(F.count_distinct(field).alias("n_fields"), *mean).withColumn("change", F.col("after") - F.col("before"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi_tail(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)))
+DEPTH, SERIES_BELOW = 60, 4.0  # of the recurrences; where the first one ends
+
+
+def chi_tail(x: Column) -> Column:
+    """P(chi-squared with one degree of freedom >= x), by expressions alone.
+
+    Below SERIES_BELOW 1 minus the series of the normal distribution, all of whose terms are positive; from there on
+    the continued fraction of its tail. Both from the inside out.
+    """
+    steps = F.sequence(F.lit(DEPTH), F.lit(1), F.lit(-1))
+    series = F.aggregate(steps, F.lit(1.0), lambda t, k: 1 + x / (2 * k + 1) * t)
+    fraction = F.aggregate(steps, F.lit(1.0), lambda t, k: 1 + k / x / t)
+    small = 1 - F.sqrt(2 * x / math.pi) * F.exp(-x / 2) * series
+    large = F.exp(-x / 2) / F.sqrt(math.pi * x / 2) / fraction
+    return F.when(x < SERIES_BELOW, small).when(x.isNotNull(), large)
+
+
+def chi_tail_sql(x: str) -> str:
+    """The same recurrences written out as one SQL expression."""
+    series, fraction = "1.0::DOUBLE", "1.0::DOUBLE"
+    for k in range(DEPTH, 0, -1):
+        series, fraction = f"(1 + {x} / {2 * k + 1} * {series})", f"(1 + {k} / {x} / {fraction})"
+    return f"CASE WHEN {x} < {SERIES_BELOW} THEN 1 - sqrt(2 * {x} / pi()) * exp(-{x} / 2) * {series} ELSE exp(-{x} / 2) / sqrt(pi() * {x} / 2) / {fraction} END"
 
 
 def exact_p(b: Column, c: Column) -> Column:
@@ -55,7 +73,7 @@ def mcnemar(counts: DataFrame, exact_below: int = EXACT_BELOW) -> DataFrame:
     n = F.col("b") + F.col("c")
     stat = F.when(n >= exact_below, F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2) / n)
     out = counts.withColumn("statistic", stat)
-    return out.withColumn("p", F.when(n == 0, 1.0).when(n < exact_below, exact_p(F.col("b"), F.col("c"))).otherwise(_chi_tail("statistic")))
+    return out.withColumn("p", F.when(n == 0, 1.0).when(n < exact_below, exact_p(F.col("b"), F.col("c"))).otherwise(chi_tail(F.col("statistic"))))
 
 
 def holm(tests: DataFrame, family: list[str], order: list[str], p: str = "p", alpha: float = 0.05) -> DataFrame:

@@ -46,7 +46,17 @@ def component_scores(spark, sf_dir):
     return _rounded(outcomes.binary_scores(component_rows(spark, sf_dir), ["p_brand"]))
 
 
-@query()
+_BLOCK = "list_max(flatten([[CASE WHEN instr(y, substr(x, (i + 1)::BIGINT, l::BIGINT)) > 0 THEN l * 1000 + 999 - i ELSE 0 END FOR l IN range(1, length(x) - i + 1)] FOR i IN range(length(x))]))"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey, string_split(p_name, ' ') AS truth, [CASE p_partkey % 3 WHEN 0 THEN w || 's' WHEN 1 THEN reverse(w) ELSE w END FOR w IN string_split(p_name, ' ')] AS answer FROM part),
+e AS (SELECT p_partkey, truth[1] AS product, unnest(truth) AS a, answer FROM p), c AS (SELECT DISTINCT a, b FROM (SELECT a, unnest(answer) AS b FROM e)),
+k(a, b, x, y, m) AS (SELECT a, b, a, b, 0::BIGINT FROM c UNION ALL
+  SELECT a, b, u.x, u.y, u.m FROM (SELECT a, b, unnest([{{'x': substr(x, 1, i), 'y': substr(y, 1, j), 'm': size}}, {{'x': substr(x, i + size + 1), 'y': substr(y, j + size + 1), 'm': 0::BIGINT}}]) AS u
+    FROM (SELECT *, instr(y, substr(x, i + 1, size)) - 1 AS j FROM (SELECT *, v // 1000 AS size, 999 - v % 1000 AS i FROM (SELECT a, b, x, y, {_BLOCK} AS v FROM k WHERE x <> '' AND y <> '') WHERE v > 0)))),
+r AS (SELECT a, b FROM k GROUP BY a, b HAVING 2.0 * sum(m) / (length(a) + length(b)) >= 0.8),
+f AS (SELECT p_partkey, product, a, max((EXISTS (SELECT 1 FROM r WHERE r.a = e.a AND list_contains(e.answer, r.b)))::INT) AS hit FROM e GROUP BY ALL)
+SELECT p_partkey, round(avg(hit), 6) AS score, avg(hit) >= 0.5 AND coalesce(max(CASE WHEN a = product THEN hit END), 0) = 1 AS matched FROM f GROUP BY p_partkey""")
 def fuzzy_component_match(spark, sf_dir):
     """Truth tokens: the words of the name; answers have them with an s, reversed or unchanged."""
     words = F.split("p_name", " ")

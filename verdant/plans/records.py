@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.operators import bootstrap, dataset, outcomes, selection
-from verdant.plans.registry import _CONF, CELL, P, V, _rounded, _table, eval_rows, query
+from verdant.plans.registry import CELL, CLASSES, VERDICTS, P, V, _rounded, _table, eval_rows, query
 
 # one expression for both engines each
 _KIND = "CASE WHEN l_linenumber % 2 = 1 THEN 'Primary' ELSE 'Secondary' END"
@@ -106,34 +106,76 @@ def resampled_accuracy(spark, sf_dir):
     return _rounded(bootstrap.resampled(rows, "item", CELL, "ok", _DRAWS))
 
 
-@query()
+R = bootstrap.REPLICATES
+_CELLS = [(m, c) for m in range(3) for c in range(2)]
+_SHARED = [*CLASSES, "CRITICAL"]  # the last is neither a truth nor an answer
+_WRONG = ["Incorrect", "Unmapped", "Declined", "Malformed", "Skipped"]
+
+
+def _boot(values: dict[str, str], metrics: dict[str, str], upper_exclusive: bool) -> str:
+    """SQL: values are expressions over v, metrics over their weighted sums, for each cell."""
+    of = lambda m, c: {k: f"{k}_{m}{c}" for k in values}
+    wide = ", ".join(f"coalesce(sum({e}) FILTER (model = {m} AND cond = {c}), 0)::DOUBLE AS {of(m, c)[k]}" for m, c in _CELLS for k, e in values.items())
+    sums = ", ".join(f"sum(w * {k}) AS {k}" for m, c in _CELLS for k in of(m, c).values())
+    parts = " UNION ALL ".join(f"SELECT {m} AS model, {c} AS cond, '{name}' AS metric, list_sort(list({e.format(**of(m, c))})) AS v FROM s" for m, c in _CELLS for name, e in metrics.items())
+    return V + f""", x AS (SELECT item, {wide} FROM v GROUP BY item), w AS ({bootstrap.weights_sql("SELECT DISTINCT item FROM v", "item")}),
+s AS MATERIALIZED (SELECT r, {sums} FROM w JOIN x USING (item) GROUP BY r), o AS ({parts})
+SELECT model, cond, metric, round(v[{R * 25 // 1000 + 1}], 6) AS lo, round(v[{R * 975 // 1000 + (0 if upper_exclusive else 1)}], 6) AS hi FROM o"""
+
+
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} <> 0 THEN {a} / ({b}) ELSE 0.0 END"
+
+
+def _f1(classes: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Values of a class: twice the agreeing rows, and the rows of truths and of answers."""
+    seen = "CASE WHEN outcome IN ('Correct', 'Incorrect') THEN predicted END"
+    values = {}
+    for i, c in enumerate(classes):
+        t, s = f"(truth = '{c}')::INT", f"coalesce(({seen}) = '{c}', false)::INT"
+        values |= {f"b{i}": f"2 * {t} * {s}", f"a{i}": f"{t} + {s}"}
+    return values, {c: _share(f"{{b{i}}}", f"{{a{i}}}") for i, c in enumerate(classes)}
+
+
+_F1_VALUES, _F1 = _f1(_SHARED)
+_F1_METRICS = {f"f1_{c}": e for c, e in _F1.items()} | {"macro_f1": "(0.0::DOUBLE + " + " + ".join(_F1[c] for c in _SHARED) + f") / {len(_SHARED)}"}
+_ACCURACY = {"ok": "(outcome = 'Correct')::INT", "n": "1"}
+_A = "(" + _share("{ok}", "{n}") + ")"
+
+
+@query(_boot(_ACCURACY, {"accuracy": _A, "f1": f"2 * {_A} / (1 + {_A})"}, True))
 def accuracy_bootstrap(spark, sf_dir):
     """Accuracy and F1 of all six cells from one draw of items."""
-    rows = eval_rows(spark, sf_dir).withColumn("value", (F.col("outcome") == "Correct").cast("string"))
-    return _rounded(bootstrap.interval(bootstrap.bootstrap(bootstrap.item_patterns(rows, "item", CELL, "value"), "n", bootstrap.accuracies_of_cells), 5000))
+    return _rounded(bootstrap.accuracy_intervals(eval_rows(spark, sf_dir), "item", CELL, F.col("outcome") == "Correct"))
+
+
+def _seen():
+    return F.when(F.col("outcome").isin("Correct", "Incorrect"), F.col("predicted"))
 
 
-@query()
+@query(_boot(_F1_VALUES, _F1_METRICS | {"macro_f1_supported": "(0.0::DOUBLE + " + " + ".join(_F1[c] for c in ("NONE", "LOW")) + ") / 2"}, False))
 def macro_f1_bootstrap(spark, sf_dir):
-    """Macro-F1 over all and over supported classes, and F1 per class, of all six cells from one draw (B1)."""
-    rows = eval_rows(spark, sf_dir).withColumn("value", F.concat_ws(">", "truth", F.when(F.col("outcome").isin("Correct", "Incorrect"), F.col("predicted")).otherwise("-")))
-    return _rounded(bootstrap.interval(bootstrap.bootstrap(bootstrap.item_patterns(rows, "item", CELL, "value"), "n", bootstrap.f1_of_cells), 5000))
+    """F1 of a fixed list of classes, one of them absent, and macro-F1 over all and over a fixed list of supported ones, from one draw (B1)."""
+    return _rounded(bootstrap.f1_intervals(eval_rows(spark, sf_dir), "item", CELL, F.col("truth"), _seen(), _SHARED, ["NONE", "LOW"]))
 
 
-@query()
+@query(f"""SELECT b.model, b.cond, b.metric, lo, hi, support, support < 20 AS low_support FROM ({_boot(_F1_VALUES, _F1_METRICS, True)}) b
+JOIN (SELECT model, cond, metric, count(*) FILTER (metric = 'macro_f1' OR metric = 'f1_' || truth) AS support FROM ({VERDICTS}), (SELECT unnest({["macro_f1", *(f"f1_{c}" for c in _SHARED)]}) AS metric) GROUP BY ALL) n
+ON b.model = n.model AND b.cond = n.cond AND b.metric = n.metric""")
 def cell_bootstrap(spark, sf_dir):
-    """The same for each cell by itself, with its support (B2)."""
-    return _rounded(bootstrap.cell_intervals(outcomes.confusion(eval_rows(spark, sf_dir), CELL), CELL))
+    """F1 with the support of each class (B2)."""
+    return _rounded(bootstrap.cell_intervals(eval_rows(spark, sf_dir), "item", CELL, F.col("truth"), _seen(), _SHARED))
 
 
-@query()
+@query(_boot(_ACCURACY | {f"k{i}": f"(outcome = '{k}')::INT" for i, k in enumerate(_WRONG)}, {"accuracy": _A} | {f"share_{k}": _share(f"{{k{i}}}", "{n} - {ok}") for i, k in enumerate(_WRONG)}, True))
 def error_share_bootstrap(spark, sf_dir):
-    """Accuracy and the categories' shares of the wrong answers, of all six cells from one draw."""
-    rows = eval_rows(spark, sf_dir).withColumn("value", F.col("outcome"))
-    return _rounded(bootstrap.interval(bootstrap.bootstrap(bootstrap.item_patterns(rows, "item", CELL, "value"), "n", bootstrap.shares_of_cells), 5000))
+    """Accuracy and the shares of a fixed list of categories, one of them absent, among the wrong answers."""
+    return _rounded(bootstrap.share_intervals(eval_rows(spark, sf_dir), "item", CELL, F.col("outcome"), _WRONG))
 
 
-@query()
+@query(V + f""", i AS (SELECT item, avg((outcome = 'Correct')::INT::DOUBLE) AS mean FROM v WHERE has_block GROUP BY item), w AS ({bootstrap.weights_sql("SELECT item FROM i", "item")}),
+o AS (SELECT list_sort(list(m)) AS v FROM (SELECT r, sum(w * mean) / sum(w) AS m FROM w JOIN i USING (item) GROUP BY r))
+SELECT 'mean' AS metric, round(v[{R * 25 // 1000 + 1}], 6) AS lo, round(v[{R * 975 // 1000 + 1}], 6) AS hi FROM o""")
 def mean_of_means_bootstrap(spark, sf_dir):
     per_item = eval_rows(spark, sf_dir).filter("has_block").groupBy("item").agg(F.avg((F.col("outcome") == "Correct").cast("double")).alias("mean"))
-    return _rounded(bootstrap.interval(bootstrap.bootstrap(per_item.groupBy("mean").agg(F.count("*").alias("n")), "n", bootstrap.mean_of_means), 5000, upper_exclusive=False))
+    return _rounded(bootstrap.mean_intervals(per_item, "item", F.col("mean")))

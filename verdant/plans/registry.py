@@ -148,7 +148,11 @@ def paired_mcnemar_counts(spark, sf_dir):
     return _rounded(paired.mcnemar(paired.paired_counts(rows, "item", "model", "cond", "ok")).drop("p"))
 
 
-@query()
+@query(_PAIRS + f""", t AS (SELECT *, CASE WHEN b > c THEN 'a' WHEN b < c THEN 'b' ELSE 'neither' END AS favours, CASE WHEN b + c >= 25 THEN pow(abs(b - c) - 1, 2) / (b + c) END AS statistic FROM q),
+z AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 WHEN b + c < 25 THEN least(1.0, 2 * pow(0.5, b + c) * list_sum([factorial((b + c)::INT) / (factorial(k::INT) * factorial((b + c - k)::INT)) FOR k IN range(least(b, c) + 1)])) ELSE {paired.chi_tail_sql("statistic")} END AS p FROM t),
+h AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, system_a, condition_a, system_b, condition_b) + 1)) AS raw FROM z)
+SELECT system_a, condition_a, system_b, condition_b, "both", b, c, neither, n, favours, round(statistic, 6) AS statistic, round(p, 6) AS p, 'all' AS family,
+round(max(raw) OVER w, 6) AS p_holm, max(raw) OVER w < 0.05 AS significant FROM h WINDOW w AS (ORDER BY p, system_a, condition_a, system_b, condition_b)""")
 def paired_mcnemar_holm(spark, sf_dir):
     rows = eval_rows(spark, sf_dir).withColumn("ok", F.col("outcome") == "Correct")
     tests = paired.mcnemar(paired.paired_counts(rows, "item", "model", "cond", "ok")).withColumn("family", F.lit("all"))
