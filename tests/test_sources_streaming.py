@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import types as T
 
 from verdant.sources import files
+from verdant.sources.arrays import read_elements
 from verdant.streaming import responses
 
 ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
@@ -12,11 +14,11 @@ ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.S
 def test_json_sources(spark, tmp_path):
     (tmp_path / "array.json").write_text(json.dumps([{"id": 1, "name": "a"}, {"id": 2, "name": None}]))
     assert files.read_json_array(spark, str(tmp_path / "array.json"), ROW, ["id"]).count() == 2
-    with pytest.raises(ValueError, match="other"):
-        files.read_json_array(spark, str(tmp_path / "array.json"), ROW, ["other"])
+    with pytest.raises(Exception, match="other"):  # with the one pass that reads the rows
+        files.read_json_array(spark, str(tmp_path / "array.json"), ROW, ["other"]).count()
     (tmp_path / "lacks.json").write_text(json.dumps([{"id": 1, "name": "a"}, {"id": 2}]))
-    with pytest.raises(ValueError, match="name"):  # the field is in the schema, but not in the data
-        files.read_json_array(spark, str(tmp_path / "lacks.json"), ROW, ["id", "name"])
+    with pytest.raises(Exception, match="objects without name"):  # the field is in the schema, but not in the data
+        files.read_json_array(spark, str(tmp_path / "lacks.json"), ROW, ["id", "name"]).count()
     for k, text in enumerate(["{\"id\": 1}", "[1, 2]", "not json"]):
         (tmp_path / f"bad{k}.json").write_text(text)
         with pytest.raises(ValueError, match="list of objects"):
@@ -26,8 +28,9 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "page.json").write_text(json.dumps({"totalResults": 2, "vulnerabilities": [{"cve": {"id": 3, "name": "c"}}, {"cve": {"id": 4, "name": "d"}}]}))
     assert sorted(r["id"] for r in files.read_feed_pages(spark, str(tmp_path / "page.json"), ROW).collect()) == [3, 4]
     (tmp_path / "keyed.json").write_text(json.dumps({"one": [{"id": 5, "name": "e"}], "two": [{"id": 6, "name": "f"}], "total_time": 1.5}))
-    rows = files.read_keyed_arrays(spark, str(tmp_path / "keyed.json"), ["one", "two"], ROW)
-    assert sorted((r["model"], r["id"]) for r in rows.collect()) == [("one", 5), ("two", 6)]
+    rows = files.read_keyed_arrays(spark, str(tmp_path / "keyed.json"), ROW)  # nobody lists the keys
+    assert sorted((r["model"], r["id"], r["name"]) for r in rows.collect()) == [("one", 5, "e"), ("two", 6, "f")]
+    assert [r["id"] for r in files.read_keyed_arrays(spark, str(tmp_path / "keyed.json"), ROW, ["two"]).collect()] == [6]
 
 
 def test_json_lines(spark, tmp_path):
@@ -67,3 +70,37 @@ def test_landing_responses(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r["item"] for r in spark.table("once").collect()) == [1, 2]
     assert [(r["n_valid"], r["n_invalid"]) for r in spark.table("counts").collect()] == [(3, 1)]
+
+
+AWKWARD = ["", "}", "{", "],[{", 'say "x"', "back\\slash", 'ends with "', "\\", '\\"}', "é日😀", "line\nfeed }, {", "[", "]"]
+
+
+@pytest.mark.parametrize("style", [{"indent": 2}, {"separators": (",", ":")}])
+@pytest.mark.parametrize("split", ["134217728b", "400b"])
+def test_arrays_in_splits(spark, tmp_path, style, split):
+    """Elements come out whole whatever the splits: braces in strings, escapes, nested values, several files, none at all."""
+    rnd = random.Random(len(split) + len(style))
+    rows = [{"id": i, "name": rnd.choice(AWKWARD) + rnd.choice(AWKWARD), "more": {"a": [rnd.choice(AWKWARD), {"b": {}}], rnd.choice(AWKWARD): []}} for i in range(60)]
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate((rows[:40], rows[40:41], rows[41:], [])):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(part, ensure_ascii=k % 2 > 0, **style) + "\n" * k)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = read_elements(spark, str(tmp_path / "in")).collect()
+        assert sorted((json.loads(r["element"]) for r in got), key=lambda x: x["id"]) == rows
+        again = files.read_json_array(spark, str(tmp_path / "in"), ROW, ["id", "more"])
+        assert sorted((r["id"], r["name"]) for r in again.collect()) == [(x["id"], x["name"]) for x in rows]
+        if split == "400b":
+            assert again.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", ['[{"id": 1}, 3, {"id": 2}]', '[{"id": 1}', '[{"id": 1}]]', '[{"id": "x}]', '{"id": 1}', "[[]]", '[{"id": 1}] {"id": 2}', "[3]"])
+def test_no_arrays_of_objects(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception, match="list of objects"):
+        files.read_json_array(spark, str(tmp_path / "x.json"), ROW, ["id"]).collect()

@@ -6,24 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str]) -> DataFrame:
-    """One row per object of the files' arrays (S1). A file that is no list of objects, or an object without a required field, is an error.
-
-    The fields are looked for in the data by one pass over the parsed elements; a field that is there and null is fine.
-    """
-    files = spark.read.option("wholetext", True).text(path)
-    array = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    each = files.select(F.explode_outer(F.coalesce(array, F.array(F.lit(None).cast("variant")))).alias("v"))
-    keys = F.json_object_keys(F.to_json("v"))
-    lacking = [F.count_if(~F.coalesce(F.array_contains(keys, c), F.lit(False))).alias(c) for c in required]
-    broken, *counts = each.agg(F.count_if(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")), *lacking).first()
-    empty = files.filter(F.regexp_like("value", F.lit(r"^\s*\[\s*\]\s*$"))).count()
-    if broken > empty:
-        raise ValueError(f"{path}: not a list of objects")
-    if missing := [c for c, n in zip(required, counts) if n > empty]:
-        raise ValueError(f"{path}: objects without {missing}")
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+from verdant.sources.arrays import read_json_array  # noqa: F401
 
 
 def read_feed_pages(spark: SparkSession, path: str, record: T.StructType, array: str = "vulnerabilities", field: str = "cve") -> DataFrame:
@@ -43,12 +26,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
 
 
-def read_keyed_arrays(spark: SparkSession, path: str, keys: list[str], row: T.StructType, key_name: str = "model") -> DataFrame:
-    """{key: [rows], scalars}: one row per element, the key as a column."""
-    schema = T.StructType([T.StructField(k, T.ArrayType(row)) for k in keys])
-    wide = spark.read.schema(schema).option("multiLine", True).json(path)
-    each = wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias(key_name), F.col(f"`{k}`").alias("rows")) for k in keys))).alias("x"))
-    return each.select(f"x.{key_name}", F.explode("x.rows").alias("r")).select(key_name, "r.*")
+def read_keyed_arrays(spark: SparkSession, path: str, row: T.StructType, keys: list[str] | None = None, key_name: str = "model") -> DataFrame:
+    """{key: [rows], scalars}: one row per element, the key as a column.
+
+    The keys are those that the files have; keys: take these alone. Values that are no arrays are left out.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    each = files.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", "value").filter(F.schema_of_variant("value").startswith("ARRAY"))
+    if keys is not None:
+        each = each.filter(F.col("key").isin(keys))
+    return each.select(F.col("key").alias(key_name), F.explode(F.try_variant_get("value", "$", "array<variant>")).alias("x")).select(key_name, F.from_json(F.to_json("x"), row).alias("r")).select(key_name, "r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, booleans: list[str] = (), null: str = "<NULL>") -> DataFrame:
