@@ -42,16 +42,19 @@ def weakness_ids(weaknesses: str = "weaknesses", feed: str = FEED_SOURCE, lang:
 def affected_components(configurations: Column | str = "configurations", affected: Column | str = "affected") -> Column:
     """source, components, raw_cpes (P7): distinct vendor and product of vulnerable CPEs, else of the affected list.
 
-    CPE strings are split at every colon here; cpe_component respects escapes and is for correcting them.
+    CPE strings are split at every colon here; cpe_component respects escapes and is for correcting them. Absent
+    lists count as empty, at every level, and do not hide what stands beside them.
     """
-    nodes = F.flatten(F.transform(configurations, lambda c: c["nodes"]))
-    matches = F.flatten(F.transform(nodes, lambda n: n["cpeMatch"]))
+    def inner(lists: Column | str, field: str) -> Column:
+        return F.flatten(F.transform(F.coalesce(F.col(lists) if isinstance(lists, str) else lists, F.array()), lambda x: F.coalesce(x[field], F.array())))
+
+    matches = inner(inner(configurations, "nodes"), "cpeMatch")
     good = F.filter(F.transform(F.filter(matches, lambda m: m["vulnerable"]), lambda m: m["criteria"]), lambda c: F.size(F.split(c, ":")) >= 5)
 
     def pair(c: Column) -> Column:
         return F.concat_ws(" ", *(F.replace(F.split(c, ":")[i], F.lit("_"), F.lit(" ")) for i in (3, 4)))
 
-    named = F.transform(F.flatten(F.transform(affected, lambda a: a["affectedData"])), lambda d: F.trim(F.concat(F.coalesce(d["vendor"], F.lit("")), F.lit(" "), F.coalesce(d["product"], F.lit("")))))
+    named = F.transform(inner(affected, "affectedData"), lambda d: F.trim(F.concat(F.coalesce(d["vendor"], F.lit("")), F.lit(" "), F.coalesce(d["product"], F.lit("")))))
     none = F.array().cast("array<string>")
     fallback = F.struct(F.lit("affected").alias("source"), F.coalesce(F.array_distinct(F.filter(named, lambda p: p != "")), none).alias("components"), none.alias("raw_cpes"))
     own = F.struct(F.lit("cpe").alias("source"), F.array_distinct(F.transform(good, pair)).alias("components"), F.array_distinct(good).alias("raw_cpes"))
@@ -172,7 +175,11 @@ def stratified_sample(df: DataFrame, cells: list[str], key: str, n: int, seed: i
     sizes = df.select(*cells).distinct()
     quota = sizes.withColumn("_rank", F.row_number().over(W.orderBy(*cells))).withColumn("_k", F.count("*").over(W.partitionBy()))
     quota = quota.withColumn("_quota", F.floor(F.lit(n) / F.col("_k")) + F.when(F.col("_rank") <= n % F.col("_k"), 1).otherwise(0))
-    own = df.join(F.broadcast(quota.select(*cells, "_quota")), cells).withColumn("_turn", F.row_number().over(W.partitionBy(*cells).orderBy(seeded_draw(key, seed), key)))
+    quota = quota.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(cells)), "_quota")
+    same = F.lit(True)
+    for i, c in enumerate(cells):  # a null is a cell like any other
+        same = same & df[c].eqNullSafe(quota[f"_{i}"])
+    own = df.join(quota, same).drop(*(f"_{i}" for i in range(len(cells)))).withColumn("_turn", F.row_number().over(W.partitionBy(*cells).orderBy(seeded_draw(key, seed), key)))
     return own.filter("_turn <= _quota").drop("_turn", "_quota")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,13 +13,14 @@ from verdant.functions.matching import stripped
 from verdant.functions.normalize import natural_key
 from verdant.operators.dataset import cpe_component
 
+SAMPLE_A_RANGE = 64  # keys, from which borders are taken
 PLACEHOLDERS = ["NVD-CWE-Other", "NVD-CWE-noinfo"]
 
 
 def first_weakness(weaknesses: str = "weaknesses", placeholders: list[str] | None = None, lang: str = "en") -> Column:
     """The first description in the language that is no placeholder, in order of the lists (P5)."""
     no = F.array(*map(F.lit, PLACEHOLDERS if placeholders is None else placeholders))
-    each = F.transform(weaknesses, lambda w: F.filter(w["description"], lambda d: (d["lang"] == lang) & ~F.coalesce(F.array_contains(no, d["value"]), F.lit(False))))
+    each = F.transform(weaknesses, lambda w: F.filter(F.coalesce(w["description"], F.array()), lambda d: (d["lang"] == lang) & ~F.coalesce(F.array_contains(no, d["value"]), F.lit(False))))
     return F.try_element_at(F.flatten(each), F.lit(1))["value"]
 
 
@@ -29,8 +31,8 @@ def recomputed_components(rows: DataFrame, key: str, cpes: str, old: str, source
 
 
 def blind_sheet(rows: DataFrame, order: list[str], keep: list[str], n: int, prefix: str = "VT", label: str = "your_label") -> DataFrame:
-    """item_id, the kept columns and an empty label, for the first n rows; n bounds the numbering's one task."""
-    own = rows.orderBy(*order).limit(n).withColumn("_turn", F.row_number().over(W.orderBy(*order)))
+    """item_id, the kept columns and an empty label, for the first n rows in order, however many."""
+    own = numbered(rows, order, "_turn", lambda _: (F.lit(1), F.lit(n)))
     return own.select(F.format_string(f"{prefix}-%03d", "_turn").alias("item_id"), *keep, F.lit("").alias(label))
 
 
@@ -114,11 +116,51 @@ def first_items(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def numbered(rows: DataFrame, order: list[str], turn: str = "turn", span: Callable[[Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """Adds each row's number in order, from 1, without one task for all; null keys first.
+
+    A sample by hash gives the borders of as many ranges as there are shuffle partitions; rows are numbered in their
+    range, and the counts of the ranges before, a row each, are added. The same rows give the same borders in every
+    run, so a repeated task numbers alike. Rows of equal keys share a range and have any order.
+
+    span: from the number of all rows, the first and last number wanted; ranges outside it are not sorted.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*order)
+    thin = max(1, rows.count() // (ranges * SAMPLE_A_RANGE))
+    sample = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(thin)) == 0).agg(F.sort_array(F.collect_list("k")).alias("s"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))), lambda i: F.get("s", F.floor(i * F.size("s") / ranges).cast("int")))
+    borders = sample.select(F.when(F.size("s") > 0, cut).otherwise(F.slice("s", 1, 0)).alias("_borders"))  # one row
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        right = F.get("_borders", middle) <= key
+        return F.when(s["a"] >= s["b"], s).otherwise(F.struct(F.when(right, middle + 1).otherwise(s["a"]).alias("a"), F.when(right, s["b"]).otherwise(middle).alias("b")))
+
+    steps = F.sequence(F.lit(0), F.lit(ranges.bit_length()))
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.size("_borders").alias("b")), halve, lambda s: s["a"])
+    own = rows.crossJoin(F.broadcast(borders)).withColumn("_range", place).drop("_borders")
+    counts = own.groupBy("_range").agg(F.count("*").alias("_k"))
+    before = counts.select("_range", "_k", (F.sum("_k").over(W.orderBy("_range")) - F.col("_k")).alias("_before"), F.sum("_k").over(W.partitionBy()).alias("_all"))
+    own = own.join(F.broadcast(before), "_range")  # a row for each range
+    if span:
+        first, last = span(F.col("_all"))
+        own = own.filter((F.col("_before") < last) & (F.col("_before") + F.col("_k") >= first))
+    own = own.withColumn(turn, F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    if span:
+        own = own.filter((F.col(turn) >= first) & (F.col(turn) <= last))
+    return own.drop("_range", "_k", "_before", "_all")
+
+
 def random_page(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows that follow each other by key, from a seeded offset; all rows where there are fewer."""
-    n = rows.count()
-    offset = int(hashlib.md5(f"page:{seed}".encode()).hexdigest()[:13], 16) % (max(n - k, 0) + 1)
-    return rows.orderBy(key).offset(offset).limit(k)
+    drawn = F.lit(int(hashlib.md5(f"page:{seed}".encode()).hexdigest()[:13], 16))
+
+    def span(n: Column) -> tuple[Column, Column]:
+        offset = drawn % (F.greatest(n - k, F.lit(0)) + 1)
+        return offset + 1, offset + k
+
+    return numbered(rows, [key], "_turn", span).drop("_turn")
 
 
 def field_agreement(rows: DataFrame, group: list[str], cell: list[str], fields: list[str], valid: str, reps: int) -> DataFrame:

@@ -48,10 +48,17 @@ def consolidate(responses: list[DataFrame], truth: DataFrame, item: str, fields:
 
 
 def latency_and_cost(rows: DataFrame, prices: DataFrame, system: str = "model", items: int = 1_000_000) -> DataFrame:
-    """Mean and total time, tokens, cost and its projection, per system."""
-    own = rows.groupBy(system).agg(F.count("*").alias("n"), F.avg("latency").alias("mean_latency"), F.sum("latency").alias("total_latency"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
-    cost = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
-    return own.join(F.broadcast(prices), system).withColumn("cost", cost).withColumn("projected", cost / F.col("n") * items).drop("price_in", "price_out")
+    """Mean and total time, tokens, cost and its projection, per system.
+
+    A system without a price costs nothing; the projection to so many items goes by the rows whose tokens are known
+    and is null where there are none.
+    """
+    used = F.count_if(F.col("tokens_in").isNotNull() | F.col("tokens_out").isNotNull())
+    own = rows.groupBy(system).agg(F.count("*").alias("n"), used.alias("_used"), F.avg("latency").alias("mean_latency"), F.sum("latency").alias("total_latency"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+    none = F.lit(0.0)
+    cost = (F.col("tokens_in") * F.coalesce("price_in", none) + F.col("tokens_out") * F.coalesce("price_out", none)) / 1e6
+    projected = F.when(F.col("_used") > 0, cost / F.col("_used") * items)
+    return own.join(prices, system, "left").withColumn("cost", cost).withColumn("projected", projected).drop("price_in", "price_out", "_used")
 
 
 def time_totals(rows: DataFrame, system: str, seconds: str) -> DataFrame:
