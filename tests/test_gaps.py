@@ -1,11 +1,12 @@
 """Numbering without one task, and inputs with gaps, by hand."""
 
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from verdant.operators import dataset, inventory, responses
+from verdant.operators import dataset, inventory, labels, responses, selection, verify
 
 
 @pytest.mark.parametrize("case", ["mixed", "one key", "empty", "few"])
@@ -59,3 +60,46 @@ def test_null_stratum(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else "x" if i % 3 == 1 else "y") for i in range(90)], "id long, s string")
     got = dataset.stratified_sample(rows, ["s"], "id", 30, 1).groupBy("s").count().collect()
     assert {r["s"]: r["count"] for r in got} == {None: 10, "x": 10, "y": 10}
+
+
+@pytest.mark.parametrize("target", [1, 9, 10, 11, 60, 500])
+def test_latest_days_only(spark, tmp_path, target):
+    """Of a table in day partitions only the days of the needed slices are read."""
+    anchor = date(2024, 3, 1)
+    rows = [(i, anchor - timedelta(days=i % 40)) for i in range(200)]
+    spark.createDataFrame(rows, "id long, day date").write.partitionBy("day").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = selection.latest(table, "day", anchor, dataset.slice_number, ["id"], target)
+    number = lambda back: 0 if back <= 2 else -(-back // 2) - 1
+    want = sorted((number((anchor - d).days), i) for i, d in rows)[:target]
+    assert sorted((r["slice"], r["id"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and ">=" in plan
+    last = want[-1][0]
+    oldest = max(b for b in range(40) if number(b) <= last)
+    assert len(got.inputFiles()) == len(table.inputFiles())  # as planned; what is read follows the filter
+    read = table.filter(f"day >= date'{anchor - timedelta(days=oldest)}'")
+    ends = selection.cut_off(selection.day_counts(table, "day"), dataset.slice_number(F.date_diff(F.lit(anchor), "day")), target)
+    assert ends == (anchor - timedelta(days=oldest), anchor) and read.count() >= len(want)
+
+
+def test_latest_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, day date")
+    assert selection.latest(none, "day", date(2024, 1, 1), dataset.slice_number, ["id"], 5).count() == 0
+
+
+def test_watched_rows(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "id int, v string")
+    own = verify.Watched(rows, {"v is given": F.col("v").isNotNull(), "v is x or z": F.col("v").isin("x", "z"), "ids": F.col("id") > 0})
+    assert own.rows.count() == 3 and own.broken() == {"v is given": 1, "v is x or z": 1}
+    with pytest.raises(ValueError, match="1 rows break: v is given"):
+        own.raise_broken()
+    fine = verify.Watched(rows, {"ids": F.col("id") > 0})
+    fine.rows.collect()
+    fine.raise_broken()
+
+
+def test_layer_totals(spark):
+    rows = spark.createDataFrame([("a", "correct"), ("a", "different_pillar"), ("b", "correct"), ("b", "something else"), ("c", None)], "cell string, verdict string")
+    got = {r["cell"]: (r["n"], r["correct"], r["incorrect"], r["categorised"], r["balanced"]) for r in labels.layer_totals(rows, ["cell"]).collect()}
+    assert got == {"a": (2, 1, 1, 1, True), "b": (2, 1, 1, 0, False), "c": (1, 0, 1, 0, False)}

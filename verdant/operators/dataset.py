@@ -61,10 +61,11 @@ def affected_components(configurations: Column | str = "configurations", affecte
     return F.when(F.size(good) > 0, own).otherwise(fallback)
 
 
-def flat_record(records: DataFrame, key: str = "id") -> DataFrame:
-    """The twelve fields of a labelled record from a nested one (P10)."""
+def flat_record(records: DataFrame, key: str = "id", *keep: Column) -> DataFrame:
+    """The twelve fields of a labelled record from a nested one (P10), and other columns to keep."""
     own = records.withColumn("_affected", affected_components())
     return own.select(
+        *keep,
         F.col(key).alias("cve_id"), "published", english_description().alias("description"), first_metric("vectorString").alias("cvss_vector"), weakness_ids().alias("cwe_ids"),
         first_metric("attackVector", "accessVector").alias("attack_vector"), *(first_metric(f"{k}Impact").alias(f"{k}_impact") for k in ("confidentiality", "integrity", "availability")),
         F.col("_affected.source").alias("affected_component_source"), F.col("_affected.components").alias("affected_components"), F.col("_affected.raw_cpes").alias("affected_cpes_raw"),
@@ -95,19 +96,19 @@ def only_fallback() -> Column:
 def build_funnel(records: DataFrame, cap: int, key: str = "id", status: str = "vulnStatus") -> DataFrame:
     """One row (A32): seen, rejected, examined, complete, fallback_only, missing by part (these overlap), over_quota, multi_cwe, days, most a day.
 
-    Over the whole input, not up to a target; cap: complete records kept of a publication day.
+    Over the whole input, not up to a target; cap: complete records kept of a publication day. The records are read
+    once.
     """
-    flat = flat_record(not_rejected(records, status), key).withColumns({"_missing": missing_parts(), "_day": publication_day(F.col("published"))})
-    complete = F.size("_missing") == 0
+    rejected = F.col(status).eqNullSafe(F.lit("Rejected")).alias("_rejected")
+    flat = flat_record(records, key, rejected).withColumns({"_missing": missing_parts(), "_day": publication_day(F.col("published"))})
+    kept, complete = ~F.col("_rejected"), ~F.col("_rejected") & (F.size("_missing") == 0)
     per_day = flat.groupBy("_day").agg(
-        F.count("*").alias("examined"), F.count_if(complete).alias("complete"), F.count_if(~complete & only_fallback()).alias("fallback_only"),
-        *(F.count_if(F.array_contains("_missing", m)).alias(f"missing_{m}") for m in ("description", "cvss_vector", "cwe_ids", "cpe")), F.count_if(complete & (F.size("cwe_ids") > 1)).alias("multi_cwe"),
+        F.count("*").alias("seen"), F.count_if("_rejected").alias("rejected"), F.count_if(kept).alias("examined"), F.count_if(complete).alias("complete"), F.count_if(kept & ~complete & only_fallback()).alias("fallback_only"),
+        *(F.count_if(kept & F.array_contains("_missing", m)).alias(f"missing_{m}") for m in ("description", "cvss_vector", "cwe_ids", "cpe")), F.count_if(complete & (F.size("cwe_ids") > 1)).alias("multi_cwe"),
     )
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_day.columns if c != "_day"]
     days = [F.coalesce(F.sum(F.greatest(F.col("complete") - cap, F.lit(0))), F.lit(0)).alias("over_quota"), F.count_if(F.col("complete") > 0).alias("days"), F.coalesce(F.max(F.least(F.col("complete"), F.lit(cap))), F.lit(0)).alias("most_a_day")]
-    own = per_day.agg(*sums, *days)
-    total = records.agg(F.count("*").alias("seen"), F.count_if(F.col(status).eqNullSafe(F.lit("Rejected"))).alias("rejected"))
-    return total.crossJoin(own).withColumn("completion_rate", F.when(F.col("examined") > 0, F.col("complete") / F.col("examined")))  # one row each
+    return per_day.agg(*sums, *days).withColumn("completion_rate", F.when(F.col("examined") > 0, F.col("complete") / F.col("examined")))
 
 
 def first_vendor(cpes: Column) -> Column:

@@ -107,6 +107,14 @@ def verdict_summary(rows: DataFrame, cell: list[str], verdicts: list[str] | None
     return rows.groupBy(*cell).agg(F.count("*").alias("n"), (F.count_if(F.col("verdict") == kinds[0]) / F.count("*")).alias("strict_accuracy"), *counts)
 
 
+def layer_totals(rows: DataFrame, cell: list[str], verdicts: list[str] | None = None) -> DataFrame:
+    """Per cell: rows, correct and incorrect ones, rows in the error categories, and whether both layers add up."""
+    kinds = verdicts or VERDICTS
+    right = F.col("verdict") == kinds[0]
+    out = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if(right).alias("correct"), F.count_if(F.coalesce(~right, F.lit(True))).alias("incorrect"), F.count_if(F.col("verdict").isin(kinds[1:])).alias("categorised"))
+    return out.withColumn("balanced", (F.col("correct") + F.col("incorrect") == F.col("n")) & (F.col("categorised") == F.col("incorrect")))
+
+
 def prediction_inventory(rows: DataFrame, answer: str, system: str, condition: str, item: str, truths: str, sequence: str, index: DataFrame, examples: int = 5) -> DataFrame:
     """Per normalised answer: first raw form, frequency, systems, conditions, first items, truths seen, status."""
     forms = rows.select(answer).distinct().select(F.col(answer).alias("_form"), F.coalesce(weakness_label(F.col(answer)), F.lit("__ABSENT__")).alias("norm"))

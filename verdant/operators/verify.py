@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -61,3 +63,23 @@ def coverage(rows: DataFrame, cell: list[str], valid: str) -> DataFrame:
     out = rows.groupBy(*cell).agg(F.count_if(F.col(valid)).alias("n_valid"), F.count_if(~F.col(valid)).alias("n_invalid"))
     rate = F.col("n_invalid") / (F.col("n_valid") + F.col("n_invalid"))
     return out.withColumn("failure_rate", rate).withColumn("verdict", F.when(rate <= 0.05, "PROCEED").otherwise("STOP"))
+
+
+class Watched:
+    """Checks of rows in the pass that uses them: rows are to be used in place of the given ones, then raise_broken() asked.
+
+    checks: conditions that every row must meet; null counts as broken.
+    """
+
+    def __init__(self, rows: DataFrame, checks: dict[str, Column]):
+        self._seen = Observation(f"checks-{uuid.uuid4().hex}")
+        counts = [F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()]
+        self.rows = rows.observe(self._seen, F.count("*").alias("_rows"), *counts)
+
+    def broken(self) -> dict[str, int]:
+        """How many rows break each condition, once the rows have been used by an action."""
+        return {k: n for k, n in self._seen.get.items() if k != "_rows" and n}
+
+    def raise_broken(self) -> None:
+        if broken := self.broken():
+            raise ValueError("; ".join(f"{n} rows break: {k}" for k, n in sorted(broken.items())))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdant.functions import normalize as N
-from verdant.operators import dataset, inventory, labels, outcomes, responses
-from verdant.plans.labelled import _WEAK, label_rows, region_terms
+from verdant.operators import dataset, inventory, labels, outcomes, responses, selection
+from verdant.plans.labelled import _WEAK, label_rows, region_terms, verdict_rows
+from verdant.plans.matched import _BACK
 from verdant.plans.records import _CRITERIA, _LANG, _ORDER, _VALUE, _VULNERABLE
-from verdant.plans.registry import _CLASS, CELL, V, _rounded, _table, eval_rows, query
+from verdant.plans.registry import _CLASS, _DAYS, CELL, V, _rounded, _table, eval_rows, query
 
 _LINES = f"""SELECT l.*, p_brand, p_name, {_LANG} AS lang, {_VALUE} AS val, {_CRITERIA} AS criteria, {_VULNERABLE} AS vulnerable,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_ORDER)}) AS pos FROM lineitem l JOIN part ON l_partkey = p_partkey"""
@@ -142,3 +143,28 @@ def unbalanced_cells_of_two_classes(spark, sf_dir):
 def label_sheet(spark, sf_dir):
     """A sheet of all rows."""
     return inventory.blind_sheet(_table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderpriority"], 1 << 40)
+
+
+@query(_WEAK + """ SELECT c_mktsegment, n, correct, n - correct AS incorrect, categorised, categorised = n - correct AS balanced FROM (SELECT c_mktsegment, count(*) AS n, count(*) FILTER (verdict = 'correct') AS correct,
+count(*) FILTER (verdict IN ('consequence_not_mechanism', 'same_pillar_wrong_cwe', 'different_pillar', 'unmapped_or_absent')) AS categorised FROM w GROUP BY ALL)""")
+def layer_totals(spark, sf_dir):
+    """Both layers of each cell add up."""
+    return labels.layer_totals(verdict_rows(spark, sf_dir), ["c_mktsegment"])
+
+
+def _anchor(rows):
+    return rows.agg(F.to_date(F.max("o_orderdate")).alias("d")).first()["d"]
+
+
+@query(f"SELECT o_orderkey, greatest(ceil((d - 90) / 90) + 1, 1)::INTEGER AS slice FROM ({_BACK}) WHERE d <= 1080 ORDER BY slice, o_orderkey LIMIT 1200")
+def latest_windows(spark, sf_dir):
+    """Only the windows that 1,200 rows need are read."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return selection.latest(rows, "o_orderdate", _anchor(rows), inventory.look_back_slice, ["o_orderkey"], 1200).select("o_orderkey", "slice")
+
+
+@query(f"SELECT o_orderkey, slice FROM (SELECT o_orderkey, o_orderdate, CASE WHEN d <= 2 THEN 0 ELSE ceil(d / 2) - 1 END::INTEGER AS slice FROM ({_DAYS})) ORDER BY slice, o_orderdate, o_orderkey LIMIT 700")
+def latest_slices(spark, sf_dir):
+    """The same for slices of two days."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return selection.latest(rows, "o_orderdate", _anchor(rows), dataset.slice_number, ["o_orderdate", "o_orderkey"], 700).select("o_orderkey", "slice")
