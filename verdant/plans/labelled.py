@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdant.functions.normalize import COMPONENT_STOPWORDS
 from verdant.operators import agreement, dataset, fuzzy, labels, outcomes, paired, responses, selection, verify
 from verdant.plans.registry import _CLASS, CELL, CLASSES, V, _rounded, _table, eval_rows, query
 
@@ -18,7 +19,7 @@ _ANSWER = f"CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN {_TRUTH} ||
 
 def _tokens(x: str) -> str:
     """As published: signs to spaces, words of more than one character that are not on the stop list."""
-    stop = "'a', 'an', 'and', 'api', 'app', 'application', 'component', 'extension', 'firmware', 'for', 'in', 'library', 'module', 'of', 'on', 'package', 'platform', 'plugin', 'service', 'software', 'system', 'the', 'tool', 'with'"
+    stop = ", ".join(f"'{w}'" for w in COMPONENT_STOPWORDS)
     return f"list_distinct([t for t in string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' ') if length(t) > 1 and t not in ({stop})])"
 
 
