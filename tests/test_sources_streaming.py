@@ -104,3 +104,32 @@ def test_no_arrays_of_objects(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text)
     with pytest.raises(Exception, match="list of objects"):
         files.read_json_array(spark, str(tmp_path / "x.json"), ROW, ["id"]).collect()
+
+
+@pytest.mark.parametrize("split", ["134217728b", "300b"])
+def test_pages_in_splits(spark, tmp_path, split):
+    """Heads with nested values, braces in strings, pages without records, whatever ends the file."""
+    rnd = random.Random(5)
+    (tmp_path / "in").mkdir()
+    want = []
+    for k in range(4):
+        rows = [] if k == 2 else [{"cve": {"id": 100 * k + i, "name": rnd.choice(AWKWARD), "deep": [{"vulnerabilities": [{"cve": 1}]}]}, "x": rnd.choice(AWKWARD)} for i in range(25)]
+        page = {"totalResults": len(rows), "note": '}, "vulnerabilities": [{', "meta": {"a": {"b": [1, 2]}, "c": {}}, "vulnerabilities": rows, "format": "f}"}
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(page, indent=k if k % 2 else None) + "\n" * (k % 3))
+        want += [(r["cve"]["id"], r["cve"]["name"]) for r in rows]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = files.read_feed_pages(spark, str(tmp_path / "in"), ROW).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["id"], r["name"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("text", ['[{"cve": {}}]', '{"other": [{"cve": {"id": 1}}]}', '{"vulnerabilities": [{"cve": {"id": 1}}], "other": [{"cve": {"id": 2}}]}', '{"vulnerabilities": [{"cve": {"id": 1}}'])
+def test_no_pages(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception, match="list of objects"):
+        files.read_feed_pages(spark, str(tmp_path / "x.json"), ROW).collect()

@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdant.sources.arrays import read_json_array  # noqa: F401
-
-
-def read_feed_pages(spark: SparkSession, path: str, record: T.StructType, array: str = "vulnerabilities", field: str = "cve") -> DataFrame:
-    """One row per record of a folder of pages."""
-    schema = T.StructType([T.StructField(array, T.ArrayType(T.StructType([T.StructField(field, record)])))])
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
-    return pages.select(F.explode(array).alias("x")).select(f"x.{field}.*")
+from verdant.sources.arrays import read_feed_pages, read_json_array  # noqa: F401
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> tuple[DataFrame, DataFrame | None]:
