@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REPLICATES, SEED, BLOCK, SUPPORTED_FROM = 5000, 42, 512, 20
+REPLICATES, SEED, BLOCK, FEW, SUPPORTED_FROM = 5000, 42, 256, 16, 20
 PRIME = (1 << 31) - 1  # of the mixing
 
 
@@ -41,20 +41,33 @@ def item_factor(item: Column, seed: int) -> Column:
     return 1 + F.conv(first, 16, 10).cast("long") % (PRIME - 1)
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Modulo PRIME of numbers below 2^62, by adding the upper bits."""
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x >= PRIME, x - PRIME, x)
-
-
-def weights(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Counts (item x replicate): u = m * m + 12345 for m = item * factor, modulo PRIME, against the steps."""
-    m = _reduced(items[:, None] * factors)
-    u = _reduced(m * m + 12345)
-    out = np.zeros(u.shape, np.int8)
-    for step in poisson_steps():
-        out += u >= step
+def _reduce(x: np.ndarray) -> None:
+    """In place, to 0..PRIME (which stands for 0) of numbers below 2^62, by adding the upper bits."""
+    for _ in range(2):
+        upper = x >> 31
+        x &= PRIME
+        x += upper
+
+
+#: Weights by the upper 16 bits of u; 255 where a step lies between.
+_BY_BITS = np.searchsorted(poisson_steps(), np.arange(1 << 16) << 15, "right").astype(np.uint8)
+_BY_BITS[np.array(poisson_steps()) >> 15] = 255
+
+
+def weights(items: np.ndarray, factors: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Counts (item x replicate): u = m * m + 12345 for m = item * factor, modulo PRIME, against the steps. out: takes them, if given."""
+    out, steps = np.empty((len(items), len(factors)), np.uint8) if out is None else out, poisson_steps()
+    for a in range(0, len(items), FEW):  # so few that their draws stay in the processor's cache
+        u = items[a : a + FEW, None] * factors
+        _reduce(u)
+        u *= u
+        u += 12345
+        _reduce(u)
+        u[u == PRIME] = 0
+        w = _BY_BITS[u >> 15]
+        between = w == 255
+        w[between] = np.searchsorted(steps, u[between], "right")
+        out[a : a + FEW] = w
     return out
 
 
@@ -68,7 +81,7 @@ FROM (SELECT {item}, {factor(f"{item}::VARCHAR")} AS a FROM ({items})), (SELECT
 
 def _sums(cell: list[str], values: list[str], factors: np.ndarray, types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, places, total = len(values), {}, np.zeros((len(factors), 0))
+        k, places, total, drawn = len(values), {}, np.zeros((len(factors), 0)), np.empty((BLOCK, len(factors)))
         for batch in batches:
             rows = batch["cells"].flatten()
             item = np.repeat(np.arange(batch.num_rows), batch["cells"].value_lengths().to_numpy())
@@ -81,7 +94,7 @@ def _sums(cell: list[str], values: list[str], factors: np.ndarray, types: list[p
                 b = min(a + BLOCK, batch.num_rows)
                 own, wide = slice(first[a], first[b]), np.zeros((b - a, len(places), k))
                 np.add.at(wide, (item[own] - a, at[own]), x[own])
-                total += weights(batch["factor"][a : b].to_numpy(), factors).T.astype(float) @ wide.reshape(b - a, -1)
+                total += weights(batch["factor"][a:b].to_numpy(), factors, drawn[: b - a]).T @ wide.reshape(b - a, -1)
         for key, i in places.items():
             names = [pa.array([v] * len(factors), t) for v, t in zip(key, types)]
             yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(len(factors))), *(pa.array(total[:, i * k + j]) for j in range(k))], [*cell, "replicate", *values])
@@ -97,6 +110,8 @@ def replicate_sums(rows: DataFrame, item: str, cell: list[str], values: dict[str
     """
     each = F.struct(*cell, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
     own = rows.groupBy(item).agg(F.collect_list(each).alias("cells")).filter(F.col(item).isNotNull()).select(item_factor(F.col(item), seed).alias("factor"), "cells")
+    # the work is in the draws: as many tasks as partitions, however few bytes these are
+    own = own.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "factor")
     types = rows.select(*cell).limit(0).toArrow().schema.types if cell else []
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cell), "replicate long", *(f"`{v}` double" for v in values)])
