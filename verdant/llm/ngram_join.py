@@ -15,7 +15,8 @@ Texts with the same set of shingles form a class (its id: a hash of the set); th
    the sets do not share, which may be at most (x + y) / 7. Pairs beyond that go before anything is written,
    as do pairs of too different sizes; so what is written is close to the threshold or above it. Shingles
    with the same least class go to one task (in parts of PART_ROWS rows), where overlaps are accumulated;
-   then over all tasks. Pairs under the size-derived bound (their shared prefix plus all that can follow is
+   then over all tasks. The classes of a shingle that has over TILE_ROWS of them are dealt to blocks, and each
+   pair of blocks is a tile of its own: so no task holds a hot shingle's classes, and its pairs spread. Pairs under the size-derived bound (their shared prefix plus all that can follow is
    under 3/7 of both sizes) go; the rest are verified on whole sets.
 Within a group of near copies the first products find the links that join it, so its pairs are not
 written out. Nothing is capped. Verification reads only documents that a filter of fixed size lets
@@ -43,7 +44,8 @@ from verdant.llm._shared import KEY, Scratch, key_filter, keyed, let_through, pa
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, LEADS = 22, 32
-PARITY_BITS, PART_ROWS = 1024, 10_000
+PARITY_BITS, PART_ROWS, TILE_ROWS = 1024, 10_000, 2_048
+FAN_IN = 64  # count tables that one task sums up at first
 EDGES_A_TASK, FEW_TASKS = 250_000, 16
 CHUNK_BYTES = 2 << 20  # text hashed at once: a worker holds some ten times that in arrays
 
@@ -78,20 +80,38 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), tx.binary([pa.compress(parts[i].tobytes(), codec="zstd", asbytes=True) for i in used])], ["part", "counts"])
 
 
-def _sum_counts(table: pa.Table) -> pa.Table:
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A table per run of rows of the same part, summed as they come: one table is held."""
     size = (1 << SKETCH_BITS) // 64
-    total = np.zeros(size, np.int64)
-    for blob in table["counts"].to_pylist():
-        total += np.frombuffer(pa.decompress(blob, size * 4, codec="zstd", asbytes=True), np.int32)
-    return pa.table({"part": pa.array(table["part"].to_pylist()[:1], pa.int32()), "counts": tx.binary([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])})
+    part, total = None, np.zeros(size, np.int64)
+
+    def row() -> pa.RecordBatch:
+        whole = np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), tx.binary([pa.compress(whole, codec="zstd", asbytes=True)])], ["part", "counts"])
+
+    for batch in batches:
+        for now, blob in zip(batch["part"].to_pylist(), batch["counts"]):
+            if now != part:
+                if part is not None:
+                    yield row()
+                part, total = now, np.zeros(size, np.int64)
+            total += np.frombuffer(pa.decompress(blob.as_buffer(), size * 4, codec="zstd", asbytes=True), np.int32)
+    if part is not None:
+        yield row()
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """Shingles of all documents, counted by the leading bits of their hash: 16 MB at any input size."""
-    rows = docs.select("text").mapInArrow(_count_shingles, "part int, counts binary").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary").collect()
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int32)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], np.int32)
+    """Shingles of all documents, counted by the leading bits of their hash: 16 MB at any input size.
+
+    The tables of all map tasks are summed as a tree: FAN_IN tasks' tables of a part first, then the sums.
+    """
+    schema, size = "part int, counts binary", (1 << SKETCH_BITS) // 64
+    rows = docs.select("text").mapInArrow(_count_shingles, schema).withColumn("fold", F.expr(f"spark_partition_id() div {FAN_IN}"))
+    for by in (["part", "fold"], ["part"]):
+        rows = rows.repartition(*by).sortWithinPartitions("part").select("part", "counts").mapInArrow(_sum_counts, schema)
+    out = np.zeros((64, size), np.int32)
+    for r in rows.collect():
+        out[r["part"]] = np.frombuffer(pa.decompress(bytes(r["counts"]), size * 4, codec="zstd", asbytes=True), np.int32)
     return out.reshape(-1)
 
 
@@ -182,16 +202,26 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
         return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
 
-    def partners(token: np.ndarray, comp: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarray) -> None:
-        """Rows of whole shingles, in order of shingles: row i meets row i + d where both are of one shingle."""
+    def starts(token: np.ndarray, tile: np.ndarray) -> np.ndarray:
+        return np.r_[True, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])]
+
+    def partners(token: np.ndarray, tile: np.ndarray, side: np.ndarray, comp: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarray) -> None:
+        """Rows of whole tiles of shingles, in order: row i meets row i + d where both are of one tile.
+
+        side: 0 for all rows of a tile within a block; 1 and 2 for the rows of two blocks, which meet each other.
+        """
+        if not len(token):
+            return
+        group = np.cumsum(starts(token, tile))
         d, at = 1, np.arange(len(token))
         while True:
             at = at[at < len(token) - d]
-            at = at[token[at] == token[at + d]]
+            at = at[group[at] == group[at + d]]
             if not len(at):
                 return
             other = at + d
             fit = (comp[at] != comp[other]) & (100 * np.minimum(n[at], n[other]) >= PERCENT * np.maximum(n[at], n[other]))
+            fit &= (side[at] == 0) | (side[at] != side[other])
             x, y = at[fit], other[fit]
             for k in range(0, len(x), step):
                 i, j = x[k : k + step], y[k : k + step]
@@ -205,7 +235,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def table(batch: pa.RecordBatch) -> list[np.ndarray]:
         words = PARITY_BITS // 64
-        return [*(batch[c].to_numpy() for c in ("token", "comp", "cls", "n")), np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(-1, words)]
+        return [*(batch[c].to_numpy() for c in ("token", "tile", "side", "comp", "cls", "n")), np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(-1, words)]
 
     held = None
     for batch in batches:
@@ -213,7 +243,7 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         now = table(batch)
         now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        cut = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])  # the last shingle may go on
+        cut = int(np.flatnonzero(starts(now[0], now[1]))[-1])  # the last tile may go on
         partners(*(x[:cut] for x in now))
         held = [x[cut:] for x in now]
     if held is not None:
@@ -301,12 +331,27 @@ def _still_apart(rows: DataFrame, comps: DataFrame, scratch: Scratch, name: str)
     return scratch.write(placed.join(mixed, "token", "left_semi"), name)
 
 
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows with blocks, tile, side: once each, or once for each block where a shingle has over TILE_ROWS classes.
+
+    The number of blocks is a power of two, so that shingles of about the same classes make the same tiles.
+    """
+    hot = rows.groupBy("token").agg(F.count("*").alias("classes")).filter(F.col("classes") > TILE_ROWS)
+    hot = hot.select("token", F.expr(f"shiftleft(1L, cast(ceil(log2(classes / {TILE_ROWS})) as int))").alias("blocks"))
+    placed = rows.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.expr("pmod(xxhash64(cls), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    tile = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return placed.select(*rows.columns, "blocks", tile.alias("tile"), side.alias("side"))
+
+
 def _second_product(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, shared: overlaps of the pairs that are left, accumulated over all shingles."""
     parts = rows.groupBy("lead").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).filter("parts > 1")
-    own = rows.join(classes.select("cls", "bits"), "cls").join(parts, "lead", "left")
-    own = own.select("token", "lead", F.expr("pmod(xxhash64(token), coalesce(parts, 1))").alias("part"), "comp", "cls", "n", "bits")
-    own = own.repartition(partitions(rows.sparkSession), "lead", "part").sortWithinPartitions("lead", "token").select("token", "comp", "cls", "n", "bits")
+    own = _tiled(rows.join(classes.select("cls", "bits"), "cls").join(parts, "lead", "left"))
+    own = own.select("token", "lead", F.expr("pmod(xxhash64(token), coalesce(parts, 1))").alias("part"), "blocks", "tile", "side", "comp", "cls", "n", "bits")
+    own = own.repartition(partitions(rows.sparkSession), "lead", "part", "blocks", "tile").sortWithinPartitions("lead", "token", "tile")
+    own = own.select("token", "tile", "side", "comp", "cls", "n", "bits")
     return own.mapInArrow(_cross_pairs, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
