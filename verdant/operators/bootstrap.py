@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verdant.operators.tasks import tasks_for
+
 REPLICATES, SEED, BLOCK, FEW, SUPPORTED_FROM = 5000, 42, 256, 16, 20
 PRIME = (1 << 31) - 1  # of the mixing
 
@@ -41,33 +43,38 @@ def item_factor(item: Column, seed: int) -> Column:
     return 1 + F.conv(first, 16, 10).cast("long") % (PRIME - 1)
 
 
-def _reduce(x: np.ndarray) -> None:
-    """In place, to 0..PRIME (which stands for 0) of numbers below 2^62, by adding the upper bits."""
-    for _ in range(2):
-        upper = x >> 31
-        x &= PRIME
-        x += upper
-
-
-#: Weights by the upper 16 bits of u; 255 where a step lies between.
-_BY_BITS = np.searchsorted(poisson_steps(), np.arange(1 << 16) << 15, "right").astype(np.uint8)
-_BY_BITS[np.array(poisson_steps()) >> 15] = 255
+#: Weights by the upper bits of s = m * m modulo PRIME, or that and PRIME more; 255 where a step lies between.
+_ADD, _SHIFT = 12345, 15
+_BY_BITS = np.searchsorted(poisson_steps(), ((np.arange(1 << (32 - _SHIFT)) << _SHIFT) + _ADD) % PRIME, "right").astype(np.uint8)
+_EDGES = (np.array([0, *poisson_steps()]) - _ADD) % PRIME
+_BY_BITS[np.r_[_EDGES, _EDGES + PRIME] >> _SHIFT] = 255
 
 
 def weights(items: np.ndarray, factors: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    """Counts (item x replicate): u = m * m + 12345 for m = item * factor, modulo PRIME, against the steps. out: takes them, if given."""
+    """Counts (item x replicate): u = m * m + 12345 for m = item * factor, modulo PRIME, against the steps. out: takes them, if given.
+
+    m * m is the product of the squares, so each draw is one multiplication and one look-up by its upper bits.
+    """
     out, steps = np.empty((len(items), len(factors)), np.uint8) if out is None else out, poisson_steps()
-    for a in range(0, len(items), FEW):  # so few that their draws stay in the processor's cache
-        u = items[a : a + FEW, None] * factors
-        _reduce(u)
-        u *= u
-        u += 12345
-        _reduce(u)
-        u[u == PRIME] = 0
-        w = _BY_BITS[u >> 15]
-        between = w == 255
-        w[between] = np.searchsorted(steps, u[between], "right")
-        out[a : a + FEW] = w
+    a, c = items * items % PRIME, factors * factors % PRIME
+    s, upper = np.empty((2, FEW, len(factors)), np.int64)  # so few that they stay in the processor's cache
+    between = np.zeros(-(-s.size // 8) * 8, bool)
+    for i in range(0, len(items), FEW):
+        w = out[i : i + FEW]
+        x, y = s[: len(w)], upper[: len(w)]
+        np.multiply(a[i : i + FEW, None], c, out=x)
+        np.right_shift(x, 31, out=y)
+        x &= PRIME
+        x += y  # below 2^32
+        np.right_shift(x, _SHIFT, out=y)
+        np.take(_BY_BITS, y, out=w, mode="wrap")
+        flat = w.reshape(-1)
+        between[len(flat) :] = False
+        np.equal(flat, 255, out=between[: len(flat)])
+        eights = np.flatnonzero(between.view(np.int64))
+        at = (eights[:, None] * 8 + np.arange(8)).ravel()
+        at = at[at < len(flat)]
+        flat[at] = np.searchsorted(steps, (x.reshape(-1)[at] + _ADD) % PRIME, "right")
     return out
 
 
@@ -79,25 +86,43 @@ def weights_sql(items: str, item: str, replicates: int = REPLICATES, seed: int =
 FROM (SELECT {item}, {factor(f"{item}::VARCHAR")} AS a FROM ({items})), (SELECT r, {factor("'replicate ' || r")} AS c FROM range({replicates}) t(r)))) WHERE u >= {poisson_steps()[0]}"""
 
 
+def _places(batch: pa.RecordBatch, cell: list[str], places: dict[tuple, int]) -> np.ndarray:
+    """The place of each row's cell; new cells get the next ones."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for c in cell:
+        own = batch[c].dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+    _, row, code = np.unique(code, return_index=True, return_inverse=True)
+    return np.array([places.setdefault(tuple(batch[c][i].as_py() for c in cell), len(places)) for i in row.tolist()], np.int64)[code]
+
+
 def _sums(cell: list[str], values: list[str], factors: np.ndarray, types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, places, total, drawn = len(values), {}, np.zeros((len(factors), 0)), np.empty((BLOCK, len(factors)))
+        k, places, total = len(values), {}, np.zeros((0, len(factors)))
+        drawn, floats = np.empty((BLOCK, len(factors)), np.uint8), {t: np.empty((BLOCK, len(factors)), t) for t in (np.float32, np.float64)}
         for batch in batches:
-            rows = batch["cells"].flatten()
-            item = np.repeat(np.arange(batch.num_rows), batch["cells"].value_lengths().to_numpy())
-            keys = list(zip(*(rows.field(c).to_pylist() for c in cell))) if cell else [()] * len(rows)
-            at = np.array([places.setdefault(key, len(places)) for key in keys], np.int64)
-            total = np.pad(total, ((0, 0), (0, len(places) * k - total.shape[1])))
-            x = np.stack([rows.field(v).to_numpy(zero_copy_only=False) for v in values], axis=1).reshape(len(rows), k)
-            first = np.searchsorted(item, np.arange(batch.num_rows + 1))
-            for a in range(0, batch.num_rows, BLOCK):
-                b = min(a + BLOCK, batch.num_rows)
-                own, wide = slice(first[a], first[b]), np.zeros((b - a, len(places), k))
-                np.add.at(wide, (item[own] - a, at[own]), x[own])
-                total += weights(batch["factor"][a:b].to_numpy(), factors, drawn[: b - a]).T @ wide.reshape(b - a, -1)
+            if not batch.num_rows:
+                continue
+            at, factor = _places(batch, cell, places), batch["factor"].to_numpy()
+            total = np.pad(total, ((0, len(places) * k - len(total)), (0, 0)))
+            x = [batch[v].to_numpy(zero_copy_only=False) for v in values]
+            first = np.flatnonzero(np.r_[True, factor[1:] != factor[:-1], True])  # an item's rows stand together
+            item = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            for a in range(0, len(first) - 1, BLOCK):
+                b = min(a + BLOCK, len(first) - 1)
+                own, n = slice(first[a], first[b]), b - a
+                where = at[own] * n + item[own] - a
+                wide = np.stack([np.bincount(where, v[own], len(places) * n) for v in x]).reshape(k, len(places), n).swapaxes(0, 1).reshape(-1, n)
+                some = wide.any(axis=1)
+                wide = wide[some]
+                # whole numbers whose sums single precision holds
+                small = len(poisson_steps()) * np.abs(wide).sum(axis=1).max(initial=0) < 1 << 24 and bool((wide == np.rint(wide)).all())
+                w = floats[np.float32 if small else np.float64][:n]
+                w[:] = weights(factor[first[a:b]], factors, drawn[:n])
+                total[some] += wide.astype(w.dtype) @ w
         for key, i in places.items():
             names = [pa.array([v] * len(factors), t) for v, t in zip(key, types)]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(len(factors))), *(pa.array(total[:, i * k + j]) for j in range(k))], [*cell, "replicate", *values])
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(len(factors))), *(pa.array(total[i * k + j]) for j in range(k))], [*cell, "replicate", *values])
 
     return run
 
@@ -106,12 +131,11 @@ def replicate_sums(rows: DataFrame, item: str, cell: list[str], values: dict[str
     """cell, replicate, and the sum of each value over the items as often as the replicate draws them.
 
     An item has the same weight in all cells (B1, B3-B5), so that cells can be compared; where it has no row, or a
-    null value, it adds nothing.
+    null value, it adds nothing. An item's rows need not meet: that they do only spares draws.
     """
-    each = F.struct(*cell, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
-    own = rows.groupBy(item).agg(F.collect_list(each).alias("cells")).filter(F.col(item).isNotNull()).select(item_factor(F.col(item), seed).alias("factor"), "cells")
+    own = rows.filter(F.col(item).isNotNull()).select(item_factor(F.col(item), seed).alias("factor"), *cell, *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()))
     # the work is in the draws: as many tasks as partitions, however few bytes these are
-    own = own.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "factor")
+    own = own.repartition(tasks_for(rows), "factor").sortWithinPartitions("factor")
     types = rows.select(*cell).limit(0).toArrow().schema.types if cell else []
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cell), "replicate long", *(f"`{v}` double" for v in values)])
