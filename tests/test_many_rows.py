@@ -1,4 +1,4 @@
-"""What grows with the number of rows: draws of the bootstrap."""
+"""What grows with the number of rows: draws of the bootstrap, and rows that one task sorts."""
 
 import time
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from test_inference import plain_weight
-from verdant.operators import bootstrap
+from verdant.operators import bootstrap, responses, tasks
 
 
 def test_weights_next_to_the_steps():
@@ -62,3 +62,16 @@ def test_no_item_is_gathered_in_one_row(spark):
     df = spark.range(100).select(F.col("id").alias("item"), F.lit("x").alias("cell"))
     plan = bootstrap.replicate_sums(df, "item", ["cell"], {"n": F.lit(1)}, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """A task sorts no more rows of a larger table; the rows are the same."""
+    monkeypatch.setattr(tasks, "ROWS_PER_TASK", 50)
+    rows = spark.range(1200).select((F.col("id") % 400).alias("item"), F.col("id").alias("answer"))
+    truth = spark.range(300).select(F.col("id").alias("item"), (F.col("id") * 2).alias("t"))
+    out = responses.consolidate([rows.filter("answer < 600"), rows.filter("answer >= 600")], truth, "item", ["answer"])
+    got = out.select("item", "extracted.answer", "ground_truth.t", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r["answer"], r["item"], r["t"]) for r in got) == [(a, a % 400, 2 * (a % 400) if a % 400 < 300 else None) for a in range(1200)]
+    assert len({r["p"] for r in got}) > 12
+    few = responses.consolidate([rows.filter("answer < 30")], truth, "item", ["answer"])
+    assert few.count() == 30

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.functions.normalize import without_fences
+from verdant.operators.tasks import tasks_for, usual_tasks
 
 _END = '"~end~"'
 
@@ -39,12 +40,18 @@ def field_of(name: str) -> Column:
 
 
 def consolidate(responses: list[DataFrame], truth: DataFrame, item: str, fields: list[str]) -> DataFrame:
-    """All conditions' rows beside their ground truth, as two structs."""
+    """All conditions' rows beside their ground truth, as two structs.
+
+    Where the rows are many, both sides are dealt to so many tasks that what one sorts stays bounded.
+    """
     both = responses[0]
     for more in responses[1:]:
         both = both.unionByName(more, allowMissingColumns=True)
     own = truth.select(item, F.struct(*(c for c in truth.columns if c != item)).alias("ground_truth"))
-    return both.withColumn("extracted", F.struct(*(F.col(f) for f in fields))).drop(*fields).join(own, item, "left")
+    both = both.withColumn("extracted", F.struct(*(F.col(f) for f in fields))).drop(*fields)
+    if (n := tasks_for(both)) > usual_tasks(truth.sparkSession):
+        both, own = both.repartition(n, item), own.repartition(n, item)
+    return both.join(own, item, "left")
 
 
 def latency_and_cost(rows: DataFrame, prices: DataFrame, system: str = "model", items: int = 1_000_000) -> DataFrame:
