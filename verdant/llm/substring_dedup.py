@@ -7,8 +7,8 @@ its windows by sorting, and verifies equal hashes word by word. Many strings of
 bucket make one compressed row.
 
 Hot passages: equal super-k-mers of a map batch are known to be repeated at once. Their ranges are
-reported from there and one string goes on for all of them, so a passage in a third of all documents
-sends a bucket a string per map batch. Nothing is capped or sampled.
+reported from there, joined where they touch, and one string goes on for all of them, so a passage in a
+third of all documents sends a bucket a string per map batch. Nothing is capped or sampled.
 
 A minimiser that stands in many different windows would make one bucket large. Minimisers that have
 more than half a bucket's share of a sample of the documents (one in HOT_SAMPLE, by hash) are hot: their
@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,19 @@ def _unpack(blob: bytes, types: str) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
+def joined_ranges(ids: np.ndarray, ths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same places of the same documents in as few ranges as can be."""
+    order = np.lexsort((begin, ths, ids))
+    ids, ths, begin, end = ids[order], ths[order], begin[order].astype(np.int64), end[order].astype(np.int64)
+    other = np.r_[True, (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])][: len(ids)]
+    above = np.cumsum(other) << 32  # keeps documents apart
+    reach = np.maximum.accumulate(end + above) - above
+    new = other.copy()
+    new[1:] |= begin[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return ids[at], ths[at], begin[at], reach[np.r_[at[1:], len(ids)][: len(at)] - 1]
+
+
 def super_kmers(words: tx.Words, window: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of windows and minimiser of each super-k-mer of a chunk.
 
@@ -103,7 +117,7 @@ def hot_minimisers(docs: DataFrame, window: int, m: int, buckets: int) -> np.nda
 
 def _send(window: int, m: int, buckets: int, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, split = 0, hot.value
+        turn, split = TaskContext.get().partitionId(), hot.value
         for chunk in tx.chunks(batches, most=BATCH_BYTES):
             words = tx.Words(*tx.buffers(chunk["text"]))
             first, n, least = super_kmers(words, window, m, split)
@@ -120,7 +134,7 @@ def _send(window: int, m: int, buckets: int, hot) -> Callable[[Iterator[pa.Recor
             rows: list[tuple[int, bytes]] = []
             if several.any():
                 k = np.flatnonzero(several)
-                rows.append((turn % buckets, struct.pack("<b", 1) + _pack([ids[k], ths[k], own[k].astype(np.int32), (own[k] + n[k] + window - 1).astype(np.int32)], b"")))
+                rows.append((turn % buckets, struct.pack("<b", 1) + _pack([a.astype(t) for a, t in zip(joined_ranges(ids[k], ths[k], own[k], own[k] + n[k] + window - 1), ("<i8", "<i4", "<i4", "<i4"))], b"")))
                 turn += 1
             go = np.flatnonzero(lead == np.arange(len(lead)))
             bucket = (least[go] % np.uint64(buckets)).astype(np.int64)
@@ -183,7 +197,7 @@ def _count(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         del parts
         order = np.argsort(group, kind="stable")
         order = order[~alone[order]]
-        at = 0
+        at, found = 0, []
         while at < len(order):  # whole minimisers, some MB of strings at a time
             to = int(np.searchsorted(np.cumsum(size[order[at:]]), 4 << 20, "right")) + at + 1
             while to < len(order) and group[order[to]] == group[order[to - 1]]:
@@ -201,7 +215,9 @@ def _count(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             i = np.flatnonzero(new)
             length = np.diff(np.r_[i, len(string)])
             begin = own[k][string[i]] + offset[i]
-            yield marks(ids[k][string[i]], ths[k][string[i]], begin, begin + length + window - 1)
+            found.append((ids[k][string[i]], ths[k][string[i]], begin, begin + length + window - 1))
+        if found:
+            yield marks(*joined_ranges(*(np.concatenate(x) for x in zip(*found))))
 
     def marks(ids: np.ndarray, ths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (ths, begin, end))], [ID, TH, "begin", "end"])
